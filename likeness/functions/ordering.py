@@ -122,17 +122,19 @@ def exact_quantiles(
     probs: dict[str, float],
     by: Sequence[str] = (),
     bins: int = 4096,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles of a score in [0, 1], one row per ``by`` group.
 
     Equal scores collapse into counts before any shuffle of the order, so a
-    score shared by a third of the rows is one row here.
+    score shared by a third of the rows is one row here.  ``weight`` names a
+    count column when the input is already collapsed.
     """
     by = list(by)
     seen = df.filter(F.col(value).isNotNull())
     counts = (
         seen.groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_bin", F.floor(F.col(value) * bins))
     )
     ranked = running_total(counts, "_bin", [value], "_n", "_lo", by)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.operators.frames import tokenise
-from likeness.plans.materialise import Stored, lookup, store
+from likeness.plans.materialise import Stored, keyed_join, lookup, store
 
 LEAF_TYPE = "array<string>"
 
@@ -57,6 +57,10 @@ class ConditionalModel:
         """Every table was counted and is below the broadcast bound."""
         return all(t.small for t in (self.tokens, self.leaves, self.edges) if t is not None)
 
+    @property
+    def training_rows(self) -> int:
+        return max((r[0] for r in self.roots.values()), default=0)
+
     def target_name(self, target="target") -> Column:
         return F.array(*[F.lit(f) for f in self.features])[F.col(target)]
 
@@ -139,18 +143,15 @@ def descend(long: DataFrame, model: ConditionalModel, leaf: str, split: str) ->
 
 def settle(placed: DataFrame, model: ConditionalModel, leaf: str = "leaf0") -> DataFrame:
     """Attach leaf statistics; an unseen context falls back to the column's marginal."""
-    stats = lookup(
-        model.leaves.df.select(
-            F.col("target").alias("_t"),
-            F.col("leaf").alias("_leaf"),
-            F.col("n").alias("leaf_n"),
-            F.col("n_max").alias("leaf_max"),
-            F.col("sq").alias("leaf_sq"),
-        ),
-        model.leaves.small,
+    stats = model.leaves.df.select(
+        F.col("target").alias("_t"),
+        F.col("leaf").alias("_leaf"),
+        F.col("n").alias("leaf_n"),
+        F.col("n_max").alias("leaf_max"),
+        F.col("sq").alias("leaf_sq"),
     )
-    joined = placed.join(
-        stats, (F.col("target") == F.col("_t")) & (F.col(leaf) == F.col("_leaf")), "left"
+    joined = keyed_join(
+        placed, stats, {"target": "_t", leaf: "_leaf"}, model.leaves.small, "leaf_n", model.training_rows
     )
     return (
         joined.withColumn(leaf, F.when(F.col("leaf_n").isNull(), root_leaf()).otherwise(F.col(leaf)))
@@ -162,7 +163,6 @@ def settle(placed: DataFrame, model: ConditionalModel, leaf: str = "leaf0") -> D
                 "k": model.root_value(2),
             }
         )
-        .drop("_t", "_leaf")
     )
 
 
@@ -196,19 +196,19 @@ def score(
 ) -> DataFrame:
     """Add p_obs, p_max, v, hit and expected for every placed coordinate."""
     settled = settle(placed, model, leaf)
-    counts = lookup(
-        model.tokens.df.select(
-            F.col("target").alias("_t"),
-            F.col("leaf").alias("_leaf"),
-            F.col("token").alias("_token"),
-            F.col("n").alias("_n"),
-        ),
-        model.tokens.small,
+    counts = model.tokens.df.select(
+        F.col("target").alias("_t"),
+        F.col("leaf").alias("_leaf"),
+        F.col("token").alias("_token"),
+        F.col("n").alias("_n"),
     )
-    on = (
-        (F.col("target") == F.col("_t"))
-        & (F.col(leaf) == F.col("_leaf"))
-        & (F.col("token") == F.col("_token"))
+    joined = keyed_join(
+        settled,
+        counts,
+        {"target": "_t", leaf: "_leaf", "token": "_token"},
+        model.tokens.small,
+        "_n",
+        model.training_rows,
     )
     n_obs = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
     parts = probabilities(n_obs, F.col("leaf_n"), F.col("leaf_max"), F.col("k"), epsilon)
@@ -216,9 +216,8 @@ def score(
         F.col("leaf_sq"), F.col("leaf_n"), F.col("leaf_max"), F.col("k"), epsilon
     )
     return (
-        settled.join(counts, on, "left")
-        .withColumns({f"{name}{suffix}": c for name, c in parts.items()})
-        .drop("_t", "_leaf", "_token", "_n", "leaf_n", "leaf_max", "leaf_sq", "k")
+        joined.withColumns({f"{name}{suffix}": c for name, c in parts.items()})
+        .drop("_n", "leaf_n", "leaf_max", "leaf_sq", "k")
     )
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,49 @@ def load_stored(spark: SparkSession, path: str) -> Stored:
 def lookup(side: DataFrame, small: bool) -> DataFrame:
     """Hint a broadcast for a side whose measured size allows it; otherwise leave it to AQE."""
     return F.broadcast(side) if small else side
+
+
+# Keys holding at least this share of the weight are looked up apart from the
+# rest; there can be only `1 / HOT_SHARE` of them per unit of total weight.
+HOT_SHARE = 1e-3
+
+
+def keyed_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    small: bool,
+    weight: str | None = None,
+    total: int | None = None,
+) -> DataFrame:
+    """Left join to a table with unique keys (``on`` maps left to right columns).
+
+    A small right side is broadcast.  A large one is shuffled, but its hot keys,
+    few by arithmetic, are broadcast and the left rows that hit them are spread
+    over all tasks instead of meeting in one.
+    """
+    payload = [c for c in right.columns if c not in on.values()]
+
+    def joined(side: DataFrame, extra=()) -> DataFrame:
+        named = side.select(
+            *[F.col(r).alias(f"_key{i}") for i, r in enumerate(on.values())],
+            *[c for c in side.columns if c not in on.values()],
+        )
+        named = F.broadcast(named) if "_salt" not in named.columns and (small or "_hot" in named.columns) else named
+        tests = [F.col(name) == F.col(f"_key{i}") for i, name in enumerate(on)]
+        tests += [out[c] == named[c] for c in extra]
+        merged = out.join(named, reduce(lambda a, b: a & b, tests), "left")
+        return merged.drop(*[f"_key{i}" for i in range(len(on))], *[named[c] for c in extra])
+
+    out = left
+    if small or weight is None or not total:
+        return joined(right)
+    hot = right.filter(F.col(weight) >= total * HOT_SHARE).select(
+        *on.values(), *[F.col(c).alias(f"_hot_{c}") for c in payload], F.lit(True).alias("_hot")
+    )
+    out = joined(hot)
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int")
+    out = out.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(-1)))
+    out = joined(right.withColumn("_salt", F.lit(-1)), ["_salt"])
+    merged = {c: F.coalesce(F.col(f"_hot_{c}"), F.col(c)) for c in payload}
+    return out.withColumns(merged).drop("_salt", "_hot", *[f"_hot_{c}" for c in payload])
