@@ -39,10 +39,15 @@ def stratified_folds(df: DataFrame, folds: int, seed=123, key: str = "key", labe
     return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int")).drop("_rank")
 
 
-def auc_rank(
-    df: DataFrame, score: str = "score", label: str = "y", by: Sequence[str] = (), bins: int = 4096
-) -> DataFrame:
-    """(by..., auc, n_pos, n_neg) of a score in [0, 1]; ties count half.
+def auc_rank(df: DataFrame, score: str = "score", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., auc, n_pos, n_neg) of a score in [0, 1]; ties count half."""
+    y = F.col(label)
+    counted = df.select(*by, score, y.alias("pos"), (F.lit(1) - y).alias("neg"))
+    return auc_counts(counted, score, by)
+
+
+def auc_counts(df: DataFrame, score: str = "score", by: Sequence[str] = (), bins: int = 4096) -> DataFrame:
+    """As :func:`auc_rank`, from rows that carry ``pos`` and ``neg`` counts.
 
     Equal scores collapse first, and the running count of negatives is cut into
     score bins, so no task ever holds the whole order.
@@ -50,7 +55,7 @@ def auc_rank(
     by = list(by)
     counts = (
         df.groupBy(*by, F.col(score).alias("_s"))
-        .agg(F.sum(F.col(label)).cast("bigint").alias("pos"), F.sum(F.lit(1) - F.col(label)).cast("bigint").alias("neg"))
+        .agg(F.sum("pos").cast("bigint").alias("pos"), F.sum("neg").cast("bigint").alias("neg"))
         .withColumn("_bin", F.floor(F.col("_s") * bins))
     )
     below = running_total(counts, "_bin", ["_s"], "neg", "below", by)
@@ -62,6 +67,28 @@ def auc_rank(
     return totals.select(*by, F.try_divide(F.col("_u"), pairs).alias("auc"), "n_pos", "n_neg")
 
 
+def pattern_counts(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by..., features..., pos, neg): distinct records with their class counts.
+
+    The classifier sees weights instead of repeated rows; its optimum is the same.
+    """
+    return store(
+        df.groupBy(*by, *features).agg(
+            F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+        )
+    ).df
+
+
+def weighted_rows(patterns: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(features..., y, w) over the given patterns, merged across folds."""
+    merged = patterns.groupBy(*features).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sides = F.array(
+        F.struct(F.lit(1.0).alias("y"), F.col("pos").cast("double").alias("w")),
+        F.struct(F.lit(0.0).alias("y"), F.col("neg").cast("double").alias("w")),
+    )
+    return merged.select(*features, F.inline(sides)).filter(F.col("w") > 0)
+
+
 def one_hot_stages(features: Sequence[str]) -> list:
     """Index, encode and assemble; tokens unseen in fitting get a slot of their own,
     which no training row uses and whose weight therefore stays 0.
@@ -80,10 +107,13 @@ def one_hot(train: DataFrame, features: Sequence[str]) -> PipelineModel:
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], max_iter: int = 2000) -> PipelineModel:
-    """One-hot logistic regression with unit inverse regularisation (``regParam = 1/n``)."""
-    n = train.count()
+    """One-hot logistic regression on (features..., y, w), ``regParam = 1 / sum(w)``.
+
+    That is the usual unit inverse regularisation strength, intercept unpenalised.
+    """
+    n = train.agg(F.sum("w")).first()[0] or 1.0
     lr = LogisticRegression(
-        featuresCol="x", labelCol="y", maxIter=max_iter, regParam=1.0 / max(1, n), elasticNetParam=0.0,
+        featuresCol="x", labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0,
         standardization=False, tol=1e-6,
     )
     return Pipeline(stages=[*one_hot_stages(features), lr]).fit(train)
@@ -112,12 +142,14 @@ def c2st_holdout(
     max_iter: int = 2000,
 ) -> DataFrame:
     """One row: mode, test_size, auc, n_real, n_synth."""
-    rows = store(stratified_split(prepare(real, synth, features, max_rows, seed, id_col), test_size, seed)).df
-    model = fit_classifier(rows.filter(~F.col("is_test")), features, max_iter)
-    auc = auc_rank(classifier_scores(model, rows.filter("is_test"), ["y"])).select("auc").scalar()
-    return rows.agg(
-        F.count_if(F.col("y") == 0).alias("n_real"), F.count_if(F.col("y") == 1).alias("n_synth")
-    ).select(F.lit("holdout").alias("mode"), F.lit(float(test_size)).alias("test_size"), auc.alias("auc"), "n_real", "n_synth")
+    rows = stratified_split(prepare(real, synth, features, max_rows, seed, id_col), test_size, seed)
+    patterns = pattern_counts(rows, features, ["is_test"])
+    model = fit_classifier(weighted_rows(patterns.filter(~F.col("is_test")), features), features, max_iter)
+    scored = classifier_scores(model, patterns.filter("is_test"), ["pos", "neg"])
+    auc = auc_counts(scored).select("auc").scalar()
+    return patterns.agg(F.sum("neg").alias("n_real"), F.sum("pos").alias("n_synth")).select(
+        F.lit("holdout").alias("mode"), F.lit(float(test_size)).alias("test_size"), auc.alias("auc"), "n_real", "n_synth"
+    )
 
 
 def c2st_cv(
@@ -134,13 +166,14 @@ def c2st_cv(
 
     The folds' out-of-fold scores are stacked and ranked together, one job for all AUCs.
     """
-    rows = store(stratified_folds(prepare(real, synth, features, max_rows, seed, id_col), folds, seed)).df
+    rows = stratified_folds(prepare(real, synth, features, max_rows, seed, id_col), folds, seed)
+    patterns = pattern_counts(rows, features, ["fold"])
     stacked = None
     for k in range(folds):
-        model = fit_classifier(rows.filter(F.col("fold") != k), features, max_iter)
-        part = classifier_scores(model, rows.filter(F.col("fold") == k), ["fold", "y"])
+        model = fit_classifier(weighted_rows(patterns.filter(F.col("fold") != k), features), features, max_iter)
+        part = classifier_scores(model, patterns.filter(F.col("fold") == k), ["fold", "pos", "neg"])
         stacked = part if stacked is None else stacked.unionByName(part)
-    per_fold = auc_rank(stacked, by=["fold"])
+    per_fold = auc_counts(stacked, by=["fold"])
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("fold", "auc"))), lambda s: s["auc"])
     return per_fold.agg(
         F.lit("cv").alias("mode"),

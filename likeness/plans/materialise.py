@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A join side is broadcast only below this many rows (measured, not guessed);
@@ -29,7 +29,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Stored:
-    """A written table and its row count (counted while writing)."""
+    """A written table and its measured row count."""
 
     df: DataFrame
     rows: int
@@ -48,14 +48,15 @@ def store(df: DataFrame, path: str | None = None) -> Stored:
     spark = df.sparkSession
     if path is None:
         path = f"{scratch_dir(spark)}/likeness/{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), int(seen.get["n"]))
+    df.write.mode("overwrite").parquet(path)
+    return load_stored(spark, path)
 
 
 def load_stored(spark: SparkSession, path: str) -> Stored:
     df = spark.read.parquet(path)
-    return Stored(df, df.count())  # answered from the parquet footers
+    # Answered from the parquet footers.  (An Observation would count while
+    # writing, but a session that holds one can no longer serialise ML models.)
+    return Stored(df, df.count())
 
 
 def lookup(side: DataFrame, small: bool) -> DataFrame:
