@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from likeness.functions.draws import as_col, hash_hex
+from likeness.plans.materialise import store
 
 # Up to this many rows `orderBy().limit()` keeps a bounded heap per task.
 TOP_N_ROWS = 100_000
@@ -132,11 +133,12 @@ def exact_quantiles(
     """
     by = list(by)
     seen = df.filter(F.col(value).isNotNull())
-    counts = (
+    # Stored because the order is read more than once and the scores may be dear.
+    counts = store(
         seen.groupBy(*by, value)
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_bin", F.floor(F.col(value) * bins))
-    )
+    ).df
     ranked = running_total(counts, "_bin", [value], "_n", "_lo", by)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     placed = ranked.join(totals, by) if by else ranked.withColumn(

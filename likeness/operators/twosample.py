@@ -53,11 +53,11 @@ def auc_counts(df: DataFrame, score: str = "score", by: Sequence[str] = (), bins
     score bins, so no task ever holds the whole order.
     """
     by = list(by)
-    counts = (
+    counts = store(
         df.groupBy(*by, F.col(score).alias("_s"))
         .agg(F.sum("pos").cast("bigint").alias("pos"), F.sum("neg").cast("bigint").alias("neg"))
         .withColumn("_bin", F.floor(F.col("_s") * bins))
-    )
+    ).df
     below = running_total(counts, "_bin", ["_s"], "neg", "below", by)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     totals = below.groupBy(*by).agg(

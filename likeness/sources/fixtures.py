@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CUST = ["region", "nation", "segment", "bal"]
@@ -57,10 +57,15 @@ def cust_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_id() -> Column:
+    """(order, line number) repeats in these tables; with part, supplier and date it does not."""
+    return F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").cast("string"))
+
+
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship = F.col("l_shipdate")
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        line_id().alias("row_id"),
         F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"),
         _int_token(F.round(F.col("l_discount") * 100)).alias("disc"),
@@ -93,6 +98,6 @@ def ord_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def num3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        line_id().alias("row_id"),
         *NUM3,
     )
