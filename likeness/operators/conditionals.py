@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.operators.frames import tokenise
-from likeness.plans.materialise import Stored, keyed_join, lookup, store
+from likeness.plans.materialise import BROADCAST_ROWS, Stored, keyed_join, lookup, store
 
 LEAF_TYPE = "array<string>"
 
@@ -148,6 +148,7 @@ def settle(placed: DataFrame, model: ConditionalModel, leaf: str = "leaf0") -> D
         F.col("leaf").alias("_leaf"),
         F.col("n").alias("leaf_n"),
         F.col("n_max").alias("leaf_max"),
+        F.col("k").alias("leaf_k"),
         F.col("sq").alias("leaf_sq"),
     )
     joined = keyed_join(
@@ -159,6 +160,7 @@ def settle(placed: DataFrame, model: ConditionalModel, leaf: str = "leaf0") -> D
             {
                 "leaf_n": F.coalesce("leaf_n", model.root_value(0)),
                 "leaf_max": F.coalesce("leaf_max", model.root_value(1)),
+                "leaf_k": F.coalesce("leaf_k", model.root_value(2)),
                 "leaf_sq": F.coalesce("leaf_sq", model.root_value(3)),
                 "k": model.root_value(2),
             }
@@ -217,7 +219,7 @@ def score(
     )
     return (
         joined.withColumns({f"{name}{suffix}": c for name, c in parts.items()})
-        .drop("_n", "leaf_n", "leaf_max", "leaf_sq", "k")
+        .drop("_n", "leaf_n", "leaf_max", "leaf_k", "leaf_sq", "k")
     )
 
 
@@ -317,7 +319,9 @@ def predict(
     on = (F.col("target") == F.col("_t")) & (F.col("leaf0") == F.col("_leaf"))
     eps = F.lit(float(epsilon))
     p = (F.coalesce(F.col("_n"), F.lit(0)) / F.col("leaf_n") + eps) / (F.lit(1.0) + F.col("k") * eps)
-    return settled.join(lookup(seen, model.small and not all_tokens), on).select(
+    widest = max((v[2] for v in model.roots.values()), default=0) if all_tokens else 1
+    small = model.small and model.leaves.rows * widest <= BROADCAST_ROWS
+    return settled.join(lookup(seen, small), on).select(
         *keep, model.target_name().alias("target"), F.col("y").alias("token"), p.alias("p")
     )
 

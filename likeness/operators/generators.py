@@ -97,10 +97,6 @@ def model_guide(model: ConditionalModel) -> Stored:
     return store(inverse_cdf_guide(model.tokens.df, ["target", "leaf"]))
 
 
-def leaf_sizes(model: ConditionalModel) -> DataFrame:
-    return model.leaves.df.select(F.col("target").alias("_t"), F.col("leaf").alias("_leaf"), F.col("k").alias("leaf_k"))
-
-
 def draw_column(
     rows: DataFrame, model: ConditionalModel, guide: Stored, i: int, drawn: Sequence[str], seed, id_col: str = "row_id"
 ) -> DataFrame:
@@ -115,8 +111,6 @@ def draw_column(
         )
         at = descend(at, model, "leaf0", "_split")
     at = settle(at, model)
-    sizes = leaf_sizes(model).filter(F.col("_t") == i)
-    at = at.join(lookup(sizes, model.leaves.small), F.col("leaf0") == F.col("_leaf")).drop("_t", "_leaf")
     at = at.withColumn("_idx", draw_index(uniform(seed, name, id_col), "leaf_n"))
     at = at.withColumn("_cell", guide_cell(F.col("_idx"), F.col("leaf_k"), F.col("leaf_n")))
     cells = guide.df.filter(F.col("target") == i).select(

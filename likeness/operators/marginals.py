@@ -66,37 +66,24 @@ def marginal_compare(datasets: dict[str, DataFrame], column: str) -> DataFrame:
     return marginal_categorical(stacked, [column], by=["dataset"])
 
 
-def pair_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., x, y, cov) for every column pair x <= y, population form, one aggregate."""
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    aggs = [
-        F.covar_pop(clean(columns[i]), clean(columns[j])).alias(f"c{i}_{j}") for i, j in pairs
-    ]
-    rows = [
-        F.struct(
-            F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.col(f"c{i}_{j}").alias("cov")
-        )
-        for i, j in pairs
-    ]
-    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*rows)))
-
-
 def moment_compare(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Means, variances and covariances of two tables side by side.
+    """Means, variances and covariances of two tables side by side, one scan of each.
 
     ``stat`` is ``mean`` (y = x), ``var`` (y = x) or ``cov``.
     """
     def stats(df: DataFrame, name: str) -> DataFrame:
-        means = marginal_numeric(df, columns).select(
-            F.lit("mean").alias("stat"), F.col("col").alias("x"), F.col("col").alias("y"), F.col("mean").alias(name)
-        )
-        covs = pair_moments(df, columns).select(
-            F.when(F.col("x") == F.col("y"), "var").otherwise("cov").alias("stat"),
-            "x",
-            "y",
-            F.col("cov").alias(name),
-        )
-        return means.unionByName(covs)
+        pairs = list(combinations_with_replacement(range(len(columns)), 2))
+        aggs = [F.avg(clean(c)).alias(f"m{i}") for i, c in enumerate(columns)]
+        aggs += [F.covar_pop(clean(columns[i]), clean(columns[j])).alias(f"c{i}_{j}") for i, j in pairs]
+
+        def row(stat: str, x: str, y: str, value: str):
+            return F.struct(
+                F.lit(stat).alias("stat"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(value).alias(name)
+            )
+
+        rows = [row("mean", c, c, f"m{i}") for i, c in enumerate(columns)]
+        rows += [row("var" if i == j else "cov", columns[i], columns[j], f"c{i}_{j}") for i, j in pairs]
+        return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
     a, b = stats(real, "real"), stats(synth, "synth")
     return a.join(b, ["stat", "x", "y"]).select(
