@@ -469,7 +469,7 @@ def gen_moment_pair(spark, sf):
 @query
 def moment_pair_alignment(spark, sf):
     """Same moments, different alignment: Gaussian conditionals on the Gaussian, bins on the cube."""
-    rows = fx.table(spark, sf, "lineitem").select(fx.line_id().alias("row_id"))
+    rows = fx.spread(fx.table(spark, sf, "lineitem")).select(fx.line_id().alias("row_id"))
     cube, bell = ge.gen_moment_pair(rows)
     names = ["x1", "x2", "x3"]
     width = 2.0 * 3.0**0.5 / 4.0

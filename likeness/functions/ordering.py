@@ -132,11 +132,11 @@ def exact_quantiles(
     count column when the input is already collapsed.
     """
     by = list(by)
-    seen = df.filter(F.col(value).isNotNull())
     # Stored because the order is read more than once and the scores may be dear.
     counts = store(
-        seen.groupBy(*by, value)
+        df.groupBy(*by, value)
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+        .filter(F.col(value).isNotNull())
         .withColumn("_bin", F.floor(F.col(value) * bins))
     ).df
     ranked = running_total(counts, "_bin", [value], "_n", "_lo", by)

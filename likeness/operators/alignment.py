@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +14,11 @@ from likeness.functions.ordering import exact_quantiles
 from likeness.operators.conditionals import (
     ConditionalModel,
     Probe,
-    expected_alignment,
     place,
     probabilities,
-    root_leaf,
     score,
 )
 from likeness.operators.frames import label_union, tokenise
-from likeness.plans.materialise import lookup
 
 # Wide scoring plans two joins per column; beyond this the long form plans better.
 WIDE_COLUMNS = 32
@@ -94,51 +93,55 @@ def can_score_wide(model: ConditionalModel) -> bool:
     return model.kind == "context" and model.small and len(model.features) <= WIDE_COLUMNS
 
 
-def score_wide(df: DataFrame, model: ConditionalModel, keep: Sequence[str], epsilon: float = 0.0) -> DataFrame:
-    """(keep..., scores ARRAY<STRUCT>): every coordinate of a row scored on the row itself.
+def wide_values(df: DataFrame, model: ConditionalModel, keep: Sequence[str], epsilon: float = 0.0) -> DataFrame:
+    """(keep..., v0, v1, ...): every coordinate of a row scored on the row itself.
 
-    Two broadcast lookups per column and no shuffle at all, so it also runs on
-    a stream.  Needs a model below the broadcast bound.
+    Two broadcast lookups per column on plain string keys and no shuffle at all,
+    so it also runs on a stream.  Needs a model below the broadcast bound.
     """
     features = model.features
-    wide = tokenise(df, features, keep)
-    structs = []
+    out = tokenise(df, features, keep)
+    values = []
     for i, f in enumerate(features):
-        probe = Probe(i, F.col(f), [F.col(g) for g in features])
-        n, top, k, sq = model.roots.get(i, (None, None, None, None))
-        stats = model.leaves.df.filter(F.col("target") == i).select(
-            F.col("leaf").alias("_leaf"), F.col("n").alias(f"_n{i}"), F.col("n_max").alias(f"_m{i}"), F.col("sq").alias(f"_s{i}")
+        ctx = model.contexts[i]
+        n, top = model.roots.get(i, (None, None))[:2]
+        keys = [f"_c{p}" for p in range(len(ctx))]
+        at_leaf = (F.col("target") == i) & (F.size("leaf") == len(ctx))
+        at_root = (F.col("target") == i) & (F.size("leaf") == 0)
+        path = [F.col("leaf")[p].alias(k) for p, k in enumerate(keys)]
+        leaf_n, leaf_max, known = F.lit(n).cast("bigint"), F.lit(top).cast("bigint"), F.lit(True)
+        if ctx:
+            stats = model.leaves.df.filter(at_leaf).select(
+                *path, F.col("n").alias(f"_n{i}"), F.col("n_max").alias(f"_m{i}")
+            )
+            on = [F.col(features[j]) == F.col(k) for j, k in zip(ctx, keys)]
+            out = out.join(F.broadcast(stats), reduce(and_, on), "left").drop(*keys)
+            known = F.col(f"_n{i}").isNotNull()
+            leaf_n, leaf_max = F.coalesce(f"_n{i}", leaf_n), F.coalesce(f"_m{i}", leaf_max)
+        counts = model.tokens.df.filter(at_leaf).select(
+            F.lit(True).alias("_known"), *path, F.col("token").alias("_token"), F.col("n").alias(f"_o{i}")
         )
-        counts = model.tokens.df.filter(F.col("target") == i).select(
-            F.col("leaf").alias("_leaf"), F.col("token").alias("_token"), F.col("n").alias(f"_o{i}")
-        )
-        wide = wide.withColumn("_at", model.start(probe))
-        wide = wide.join(F.broadcast(stats), F.col("_at") == F.col("_leaf"), "left").drop("_leaf")
-        wide = wide.withColumn("_at", F.when(F.col(f"_n{i}").isNull(), root_leaf()).otherwise(F.col("_at")))
-        wide = wide.join(
-            F.broadcast(counts), (F.col("_at") == F.col("_leaf")) & (F.col(f) == F.col("_token")), "left"
-        ).drop("_leaf", "_token", "_at")
-        leaf_n = F.coalesce(F.col(f"_n{i}"), F.lit(n).cast("bigint"))
-        leaf_max = F.coalesce(F.col(f"_m{i}"), F.lit(top).cast("bigint"))
-        leaf_sq = F.coalesce(F.col(f"_s{i}"), F.lit(sq).cast("double"))
-        levels = F.lit(k).cast("bigint")
+        if ctx:  # an unseen context looks its token up in the marginal
+            blank = [F.lit("").alias(k) for k in keys]
+            counts = counts.unionByName(
+                model.tokens.df.filter(at_root).select(
+                    F.lit(False).alias("_known"), *blank, F.col("token").alias("_token"), F.col("n").alias(f"_o{i}")
+                )
+            )
+        on = [known == F.col("_known"), F.col(f) == F.col("_token")]
+        on += [F.when(known, F.col(features[j])).otherwise("") == F.col(k) for j, k in zip(ctx, keys)]
+        out = out.join(F.broadcast(counts), reduce(and_, on), "left").drop("_known", "_token", *keys)
         obs = F.coalesce(F.col(f"_o{i}"), F.lit(0).cast("bigint"))
-        parts = probabilities(obs, leaf_n, leaf_max, levels, epsilon)
-        parts["expected"] = expected_alignment(leaf_sq, leaf_n, leaf_max, levels, epsilon)
-        structs.append(
-            F.struct(F.lit(f).alias("target"), F.col(f).alias("token"), *[c.alias(nm) for nm, c in parts.items()])
-        )
-    return wide.select(*keep, F.array(*structs).alias("scores"))
+        v = probabilities(obs, leaf_n, leaf_max, F.lit(0), epsilon)["v"]
+        values.append(v.alias(f"v{i}"))
+    return out.select(*keep, *values)
 
 
 def upsilon_matrix(
     df: DataFrame, model: ConditionalModel, keep: Sequence[str] = ("row_id",), epsilon: float = 0.0
 ) -> DataFrame:
-    """(keep..., target, p_obs, p_max, v) for every coordinate."""
-    if can_score_wide(model):
-        cells = score_wide(df, model, keep, epsilon).select(*keep, F.inline("scores"))
-    else:
-        cells = score(place(df, [model], keep), model, epsilon).withColumn("target", model.target_name())
+    """(keep..., target, p_obs, p_max, v) for every coordinate; no shuffle while the model is small."""
+    cells = score(place(df, [model], keep), model, epsilon).withColumn("target", model.target_name())
     return cells.select(*keep, "target", "p_obs", "p_max", "v")
 
 
@@ -147,11 +150,10 @@ def upsilon_rows(
 ) -> DataFrame:
     """(keep..., upsilon): mean alignment of each row; ``keep`` must identify a row."""
     if can_score_wide(model):
-        n = len(model.features)
-        vs = [F.col("scores")[i]["v"] for i in range(n)]
+        vs = [F.col(f"v{i}") for i in range(len(model.features))]
         total = sum((F.coalesce(v, F.lit(0.0)) for v in vs), F.lit(0.0))
         defined = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in vs), F.lit(0))
-        return score_wide(df, model, keep, epsilon).select(
+        return wide_values(df, model, keep, epsilon).select(
             *keep, F.when(defined > 0, total / defined).alias("upsilon")
         )
     scored = score(place(df, [model], keep), model, epsilon)

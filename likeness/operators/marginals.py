@@ -23,8 +23,7 @@ def split_types(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[
 
 def clean(c: str) -> Column:
     """A double with NaN read as NULL, so aggregates skip it."""
-    x = F.col(c).cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
 
 
 def marginal_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
