@@ -624,6 +624,23 @@ ORACLE["nearest_real"] = build(
     f"""SELECT b.row_id, round(max({agree(CUST)}) / 4.0, 9) AS eta
     FROM cust_base b, (SELECT DISTINCT {cols(CUST)} FROM cust) a GROUP BY b.row_id""",
 )
+# All pairs of distinct records, columns as integer codes to keep it affordable.
+_CODES = ", ".join(f"dense_rank() OVER (ORDER BY {c}) AS k{i}" for i, c in enumerate(LINE))
+_SAME = " + ".join(f"CAST(a.k{i} = b.k{i} AS UTINYINT)" for i in range(len(LINE)))
+ORACLE["nearest_real_line"] = build(
+    [
+        LINE_CTE,
+        *baseline("line", LINE, 7, "syn"),
+        ("distinct_f", f"SELECT DISTINCT 0 AS side, {cols(LINE)} FROM line UNION ALL SELECT DISTINCT 1, {cols(LINE)} FROM syn"),
+        ("coded", f"SELECT *, {_CODES} FROM distinct_f"),
+        (
+            "near",
+            f"""SELECT {cols(LINE, 'b.')}, max({_SAME}) AS m FROM (SELECT * FROM coded WHERE side = 1) b,
+            (SELECT * FROM coded WHERE side = 0) a GROUP BY {cols(LINE, 'b.')}""",
+        ),
+    ],
+    f"SELECT s.row_id, round(m / 7.0, 9) AS eta FROM syn s JOIN near n ON {' AND '.join(f's.{c} = n.{c}' for c in LINE)}",
+)
 _BOOT = ("boot", f"SELECT * FROM cust ORDER BY substr({h(9, 'sample', 'row_id')}, 1, 13), row_id LIMIT (SELECT count(*) FROM cust)")
 _THREE = [
     *CUST_PERM,
