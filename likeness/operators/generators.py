@@ -104,13 +104,16 @@ def draw_column(
     name = model.features[i]
     context = [F.col(f) if f in drawn else F.lit("") for f in model.features]
     kept = list(rows.columns)
+    splits = i in model.root_split if model.kind == "tree" else bool(model.contexts[i])
     at = rows.withColumn("target", F.lit(i)).withColumn("leaf0", model.start(Probe(i, F.lit(""), context)))
-    if model.kind == "tree":
-        at = at.withColumn("_toks", F.array(*context)).withColumn(
-            "_split", F.lit(model.root_split.get(i)).cast("int")
-        )
-        at = descend(at, model, "leaf0", "_split")
-    at = settle(at, model)
+    if not splits:  # the marginal: its size is known, nothing to look up
+        n, _, k, _ = model.roots[i]
+        at = at.withColumns({"leaf_n": F.lit(n).cast("bigint"), "leaf_k": F.lit(k).cast("bigint")})
+    else:
+        if model.kind == "tree":
+            at = at.withColumn("_toks", F.array(*context)).withColumn("_split", F.lit(model.root_split[i]).cast("int"))
+            at = descend(at, model, "leaf0", "_split")
+        at = settle(at, model)
     at = at.withColumn("_idx", draw_index(uniform(seed, name, id_col), "leaf_n"))
     at = at.withColumn("_cell", guide_cell(F.col("_idx"), F.col("leaf_k"), F.col("leaf_n")))
     cells = guide.df.filter(F.col("target") == i).select(
