@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -17,16 +16,34 @@ BROADCAST_ROWS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder for intermediates, shared by the driver and all executors.
+
+    It is the one ``spark.checkpoint.dir`` names.  Where that is unset, a local
+    master (one machine) uses a folder in the warehouse; a cluster gets an error.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     if not path:
-        path = tempfile.mkdtemp(prefix="likeness-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise RuntimeError(
+            "Intermediate tables need spark.checkpoint.dir: set it, when the session is built, "
+            "to a folder that the driver and all executors share."
+        )
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder below :func:`scratch_dir` that holds this application's tables."""
+    return f"{scratch_dir(spark)}/likeness/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the tables this application stored; frames that read them become invalid."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @dataclass(frozen=True)
 class Stored:
     """A written table and its measured row count."""
@@ -47,7 +64,7 @@ def store(df: DataFrame, path: str | None = None) -> Stored:
     """
     spark = df.sparkSession
     if path is None:
-        path = f"{scratch_dir(spark)}/likeness/{uuid.uuid4().hex}"
+        path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return load_stored(spark, path)
 
