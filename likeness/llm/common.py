@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from likeness.plans.materialise import store
 
@@ -31,6 +34,20 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def map_rows(df: DataFrame, make: Callable[[dict[str, list]], dict], schema: str) -> DataFrame:
+    """``make`` turns a batch of columns, as lists, into the columns of ``schema``.
+
+    Unlike pandas columns, lists keep large integers beside NULLs exact.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_pydict(make(part.to_pydict()), schema=arrow)
+
+    return df.mapInArrow(batches, schema)
+
+
 def smallest_first(id_col: str, *ties: str) -> Column:
     """A struct whose minimum is the smallest id; NULL ids come last."""
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *ties)

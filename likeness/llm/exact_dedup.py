@@ -233,8 +233,10 @@ def _unequal(docs, groups, total, id_col, text_col, hashed) -> DataFrame:
     several = groups.filter("n > 1").select(
         "digest", "n", F.col("keep.id").alias("keep_id"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("copies")
     )
-    members = keyed_join(norm, several, {"digest": "digest"}, False, "n", total).filter("n is not null")
-    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "norm"), F.col("copies")).cast("int"))
+    # Whole texts are shuffled here, once; the members, a fraction of them, are stored.
+    found = keyed_join(norm, several.hint("merge"), {"digest": "digest"}, False, "n", total)
+    salt = F.pmod(F.xxhash64("doc_id", "norm"), F.col("copies")).cast("int")
+    members = stored(found.filter("n is not null").withColumn("salt", salt).drop("n"))
     stays = (
         members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest", "copies")

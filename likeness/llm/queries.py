@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.llm import exact_dedup, mixing, packing, simhash, toxicity
+from likeness.llm import (
+    chat_format,
+    exact_dedup,
+    html_text,
+    license_scan,
+    mixing,
+    order_minhash,
+    packing,
+    simhash,
+    toxicity,
+)
 from likeness.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +47,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan(read(spark, sf_dir, "documents"), license_scan.template_table(spark))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and the components of those within two bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -48,6 +63,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return order_minhash.compare_with_edits(read(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as linked, ordered, validated tool traffic in canonical JSON."""
+    events = chat_format.conversation_events(read(spark, sf_dir, "conversations"))
+    return chat_format.format_chats(events, chat_format.REPLY_SCHEMA)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of each category for every document, and whether it counts as toxic."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -57,14 +83,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_text.extract(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op2_best_fit_packing,
         op3_exact_dedup,
         op4_source_mixing,
+        op5_license_scan,
         op6_simhash_near_dedup,
+        op7_order_minhash,
+        op8_chat_format,
         op9_toxicity,
+        op10_html_text,
     )
 }
 

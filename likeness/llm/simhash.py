@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.llm.common import smallest_first, stored, text_of
+from likeness.llm.common import map_rows, smallest_first, stored, text_of
 from likeness.llm.components import components
 from likeness.plans.materialise import keyed_join, store
 
@@ -60,14 +60,13 @@ def _majority(hashes: np.ndarray) -> int:
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) -> DataFrame:
     """(doc_id, fp): a signed 64-bit SimHash of each whole text."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            prints = np.array([fingerprint(t, words) for t in frame["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": prints.view(np.int64)})
+    def make(rows: dict[str, list]) -> dict:
+        prints = np.array([fingerprint(t, words) for t in rows["text"]], dtype=np.uint64)
+        return {"doc_id": rows["doc_id"], "fp": prints.view(np.int64)}
 
     kind = dict(docs.dtypes)[id_col]
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return chosen.mapInPandas(batches, f"doc_id {kind}, fp bigint")
+    return map_rows(chosen, make, f"doc_id {kind}, fp bigint")
 
 
 # -------------------------------------------------------------- Golay keys
