@@ -25,6 +25,8 @@ WORDS = 5
 BANDS = 16
 SMALLEST = 4
 CONTAINMENT = 0.8
+# Up to so many template shingles, texts without any of them are told apart first.
+SCREENED = 5000
 
 # Notices by which texts state these licenses.
 TEMPLATES = {
@@ -68,34 +70,46 @@ def _seed(band: int) -> Column:
     return F.lit(((band + 1) * 0x9E3779B97F4A7C15 ^ (band + 1) * 0xC2B2AE3D27D4EB4F << 7) % (1 << 63))
 
 
+def _least(hashes: str | Column, seed: Column) -> Column:
+    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(seed)))
+
+
 def _block_minima(shingles: Column, band: int) -> Column:
     """The band's minimum of each block of SMALLEST shingles."""
     blocks = F.ceil(F.size(shingles) / SMALLEST).cast("int")
     seed = _seed(band)
     return F.transform(
         F.sequence(F.lit(1), F.greatest(blocks, F.lit(1))),
-        lambda b: F.array_min(
-            F.transform(F.slice(shingles, (b - 1) * SMALLEST + 1, SMALLEST), lambda x: x.bitwiseXOR(seed))
-        ),
+        lambda b: _least(F.slice(shingles, (b - 1) * SMALLEST + 1, SMALLEST), seed),
     )
 
 
-def _pairs(minima: Column, step: int) -> Column:
-    """Minima of each two neighbours, one by one (windows) or two by two (larger blocks)."""
-    n = F.size(minima)
+def _larger_blocks(minima: str) -> Column:
+    """Minima of blocks twice as large."""
     return F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)) if step == 1 else n, F.lit(step)),
-        lambda i: F.least(F.element_at(minima, i), F.try_element_at(minima, i + 1)),
+        F.sequence(F.lit(1), F.size(minima), F.lit(2)), lambda i: F.least(F.get(minima, i - 1), F.get(minima, i))
     )
 
 
-def _windows(minima: str, half: int, band: int) -> Column:
-    """Structs (half, band, at, least) of all windows of two neighbouring blocks."""
-    return F.transform(
-        _pairs(F.col(minima), 1),
-        lambda x, i: F.struct(
-            F.lit(half).alias("half"), F.lit(band).alias("band"), i.cast("int").alias("at"), x.alias("least")
-        ),
+def _windows(minima: list[str], half: int) -> Column:
+    """Structs (half, at, window, least): all windows of two neighbouring blocks with their 16 minima."""
+    last = F.greatest(F.size(minima[0]) - 1, F.lit(1))
+
+    def one(i: Column) -> Column:
+        least = [F.least(F.get(m, i - 1), F.get(m, i)) for m in minima]
+        return F.struct(
+            F.lit(half).alias("half"),
+            (i - 1).cast("int").alias("at"),
+            F.slice("_h", (i - 1) * half + 1, 2 * half).alias("window"),
+            F.array(*least).alias("least"),
+        )
+
+    return F.transform(F.sequence(F.lit(1), last), one)
+
+
+def _single(x: Column, i: Column) -> Column:
+    return F.struct(
+        F.lit(0).alias("half"), i.cast("int").alias("at"), F.array(x).alias("window"), F.array(x).alias("least")
     )
 
 
@@ -115,13 +129,9 @@ def template_table(spark: SparkSession, templates: Mapping[str, list[str]] = TEM
 def _band_keys(table: DataFrame) -> DataFrame:
     """(half, band, least) of every template."""
     least = [
-        F.struct(
-            F.lit(j).alias("band"),
-            F.array_min(F.transform("shingles", lambda x, s=_seed(j): x.bitwiseXOR(s))).alias("least"),
-        )
-        for j in range(BANDS)
+        F.struct(F.lit(j).alias("band"), _least("shingles", _seed(j)).alias("least")) for j in range(BANDS)
     ]
-    itself = F.array(F.struct(F.lit(-1).alias("band"), F.get("shingles", F.lit(0)).alias("least")))
+    itself = F.array(F.struct(F.lit(0).alias("band"), F.get("shingles", F.lit(0)).alias("least")))
     keys = table.withColumn("key", F.explode(F.when(F.col("half") == 0, itself).otherwise(F.array(*least))))
     return keys.select("template", "license", F.col("shingles").alias("wanted"), "half", "key.band", "key.least")
 
@@ -145,33 +155,32 @@ def scan(
     keys = stored(_band_keys(templates))
     small = keys.count() <= BROADCAST_ROWS // 10
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(text_col).alias("_words"))
-    rows = rows.select("doc_id", shingles_of(F.col("_words")).alias("_h")).filter(F.size("_h") > 0)
-    looked = []
-    if 0 in halves:
-        looked.append(
-            F.transform(
-                "_h",
-                lambda x, i: F.struct(
-                    F.lit(0).alias("half"), F.lit(-1).alias("band"), i.cast("int").alias("at"), x.alias("least")
-                ),
-            )
-        )
+    rows = rows.select("doc_id", shingles_of(F.col("_words")).alias("_h"))
+    # A text that shares no shingle with any template has containment 0 everywhere; its windows
+    # need not be cut.  (Not a filter: pushed down, it would repeat the words inside the lambda.)
+    known = templates.select(F.explode("shingles")).distinct().limit(SCREENED + 1).collect()
+    if len(known) <= SCREENED:
+        shared = F.arrays_overlap("_h", F.array(*[F.lit(r[0]) for r in known]).cast("array<bigint>"))
+        rows = rows.select("doc_id", F.when(shared, F.col("_h")).alias("_h"))
+    looked = [F.transform("_h", _single)] if 0 in halves else []
     wide = [h for h in halves if h]
     level = SMALLEST
     while wide and level <= wide[-1]:
-        for j in range(BANDS):
-            name = f"_m{j}_{level}"
-            finer = _block_minima(F.col("_h"), j) if level == SMALLEST else _pairs(F.col(f"_m{j}_{level // 2}"), 2)
-            rows = rows.withColumn(name, finer)
-            if level in wide:
-                looked.append(_windows(name, level, j))
+        finer = [f"_m{j}_{level // 2}" for j in range(BANDS)]
+        names = [f"_m{j}_{level}" for j in range(BANDS)]
+        if level == SMALLEST:
+            rows = rows.withColumns({n: _block_minima(F.col("_h"), j) for j, n in enumerate(names)})
+        else:
+            rows = rows.withColumns({n: _larger_blocks(f) for f, n in zip(finer, names)})
+        if level in wide:
+            looked.append(_windows(names, level))
         level *= 2
-    found = rows.select("doc_id", "_h", F.explode(F.concat(*looked)).alias("w"))
-    found = found.select("doc_id", "_h", "w.*")
-    hits = found.join(F.broadcast(keys) if small else keys, ["half", "band", "least"])
+    # A window takes its shingles along, so that no row carries its whole text's.
+    windows = rows.select("doc_id", F.explode(F.concat(*looked)).alias("w")).select("doc_id", "w.*")
+    probes = windows.select("doc_id", "half", "at", "window", F.posexplode("least").alias("band", "least"))
+    hits = probes.join(F.broadcast(keys) if small else keys, ["half", "band", "least"])
     start = F.col("at") * F.greatest("half", F.lit(1))
-    window = F.slice("_h", start + 1, F.greatest(F.col("half") * 2, F.lit(1)))
-    share = F.size(F.array_intersect("wanted", window)) / F.size("wanted")
+    share = F.size(F.array_intersect("wanted", "window")) / F.size("wanted")
     sure = hits.select("doc_id", "license", "template", start.alias("first_word"), share.alias("containment"))
     sure = sure.filter(F.col("containment") >= containment)
     return sure.groupBy("doc_id", "license", "template").agg(
