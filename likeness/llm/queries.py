@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from likeness.llm import (
     chat_format,
+    context_mixing,
     exact_dedup,
     html_text,
     license_scan,
@@ -22,6 +23,11 @@ from likeness.llm.common import read
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the mixture and under the unigram base."""
+    return context_mixing.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), VOCABULARY)
@@ -92,6 +98,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_context_mixing,
         op2_best_fit_packing,
         op3_exact_dedup,
         op4_source_mixing,
