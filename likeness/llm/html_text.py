@@ -177,18 +177,26 @@ def hashed(root: Node) -> list[Node]:
 
 
 def _articles(root: Node) -> list[Node]:
-    """The outermost article elements; if there is none, the whole page."""
-    found, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.tag == "article" or (_is_article(node) and not any(n.tag == "article" for n in _post_order(node))):
-            if not _by_role(node):
+    """The outermost article elements, looked for under marked elements only if there are none elsewhere.
+
+    A page without any is its own article.
+    """
+    for under_marked in (False, True):
+        found, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            marked = _by_role(node)
+            if not marked and (node.tag == "article" or (_is_article(node) and not _holds_article(node))):
                 found.append(node)
-                continue
-        if _by_role(node) and not node.holds:
-            continue
-        stack.extend(p for p in reversed(node.parts) if isinstance(p, Node))
-    return found or [root]
+            elif not marked or (under_marked and node.holds):
+                stack.extend(p for p in reversed(node.parts) if isinstance(p, Node))
+        if found:
+            return found
+    return [root]
+
+
+def _holds_article(node: Node) -> bool:
+    return any(n.tag == "article" and not _by_role(n) for n in _post_order(node) if n is not node)
 
 
 def _has_title(node: Node) -> bool:
@@ -246,10 +254,10 @@ def main_text(page: str | None, templates=frozenset()) -> str:
 
 
 def _removed(node: Node, inside: bool, templates) -> bool:
-    if _by_role(node) or (node.tag == "header" and not (inside and _has_title(node))):
+    if _by_role(node) or node.tag == "header":
         titled = inside and (node.tag == "header" or "header" in node.marks) and _has_title(node)
-        return not (node.holds or titled)
-    if node.tag not in BLOCK or node.holds:
+        return not titled
+    if node.tag not in BLOCK:
         return False
     # Sentences of an article may well recur (quotations, copies): there only other blocks count as template.
     return node.hash in templates and not (inside and node.tag in PROSE)
