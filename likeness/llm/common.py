@@ -16,6 +16,9 @@ from likeness.plans.materialise import store
 # Words are separated by these six ASCII characters, never by other Unicode space.
 SPACE = r"[\x20\x09-\x0D]+"
 
+# Rows that a Python task unpacks at a time.
+SLICE_ROWS = 500
+
 # Rows of one key that a window sorts in one task are cut into this many parts.
 PARTS = 4096
 
@@ -43,7 +46,9 @@ def map_rows(df: DataFrame, make: Callable[[dict[str, list]], dict], schema: str
 
     def batches(parts):
         for part in parts:
-            yield pa.RecordBatch.from_pydict(make(part.to_pydict()), schema=arrow)
+            # A batch may hold many megabytes of text: only a slice of it is unpacked at a time.
+            for at in range(0, part.num_rows, SLICE_ROWS):
+                yield pa.RecordBatch.from_pydict(make(part.slice(at, SLICE_ROWS).to_pydict()), schema=arrow)
 
     return df.mapInArrow(batches, schema)
 
