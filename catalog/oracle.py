@@ -204,7 +204,9 @@ ORACLE["from_rows"] = build([ORD_CTE], "SELECT * FROM ord_f")
 ORACLE["assert_features"] = build([CUST_CTE], "SELECT * FROM cust")
 ORACLE["resolve_features"] = build([PART_CTE], "SELECT * FROM part_f")
 ORACLE["project_features"] = build([LINE_CTE], "SELECT row_id, ship_half, flag, tax FROM line")
-ORACLE["drop_ids"] = "SELECT o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderpriority FROM orders"
+ORACLE["drop_ids"] = """
+SELECT o_orderstatus, round(o_totalprice, 2) AS o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate,
+       o_orderpriority FROM orders"""
 ORACLE["rename_prefix"] = build(
     [PART_CTE], "SELECT row_id, " + ", ".join(f"{c} AS x{i}" for i, c in enumerate(PART)) + " FROM part_f"
 )
@@ -212,7 +214,9 @@ ORACLE["round_to_int"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        CAST(CAST(round_even(l_extendedprice, 0) AS BIGINT) AS VARCHAR) AS l_extendedprice,
        CAST(CAST(round_even(l_quantity / 2, 0) AS BIGINT) AS VARCHAR) AS half_qty FROM lineitem"""
-ORACLE["tokenise"] = "SELECT p_partkey, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part"
+ORACLE["tokenise"] = """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size,
+       CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS VARCHAR) AS p_retailprice FROM part"""
 ORACLE["normalise_missing"] = build(
     [CUST_CTE, MISSING_CTE],
     "SELECT row_id, " + ", ".join(f"coalesce(nullif({c}, ''), '__MISSING__') AS {c}" for c in CUST) + " FROM cust_missing",
@@ -237,7 +241,8 @@ ORACLE["label_union"] = build(CUST_PAIR, "SELECT * FROM pair")
 ORACLE["discretise"] = build(
     [NUM3_CTE],
     """SELECT row_id, CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS VARCHAR) AS l_quantity,
-       CAST(CAST(floor(l_extendedprice / 5000) AS BIGINT) AS VARCHAR) AS l_extendedprice FROM num3""",
+       CAST(CAST(floor(l_extendedprice / 5000) AS BIGINT) AS VARCHAR) AS l_extendedprice,
+       CAST(CAST(floor(l_discount / 0.0625) AS BIGINT) AS VARCHAR) AS l_discount FROM num3""",
 )
 
 # -- marginals and moments --
@@ -276,9 +281,15 @@ def moments(src: str, names: list[str], out: str) -> str:
     return " UNION ALL ".join(rows)
 
 
-_MC = ["l_quantity", "l_discount"]
+_THOUSANDS = ("num3k", "SELECT row_id, l_quantity, l_extendedprice / 1000 AS l_extendedprice, l_discount FROM num3")
 ORACLE["moment_compare"] = build(
-    [NUM3_CTE, *base_numeric("num3", NUM3, 7, "syn"), ("a", moments("num3", _MC, "real_v")), ("b", moments("syn", _MC, "synth_v"))],
+    [
+        NUM3_CTE,
+        _THOUSANDS,
+        *base_numeric("num3k", NUM3, 7, "syn"),
+        ("a", moments("num3k", NUM3, "real_v")),
+        ("b", moments("syn", NUM3, "synth_v")),
+    ],
     """SELECT stat, x, y, round(real_v, 5) + 0.0 AS real, round(synth_v, 5) + 0.0 AS synth, round(real_v - synth_v, 5) + 0.0 AS diff
     FROM a JOIN b USING (stat, x, y)""",
 )
@@ -332,19 +343,61 @@ ORACLE["chi2_screen"] = build([CUST_CTE, *chi2(_ALL)], _SCREEN)
 ORACLE["restrict_predictors"] = build(
     [CUST_CTE, *chi2({t: [p for p in v if p != "nation"] for t, v in _ALL.items()})], _SCREEN
 )
-ORACLE["fit_trees"] = build(
-    [
-        CUST_CTE,
-        *chi2(_ALL),
-        ("best", "SELECT target, pred FROM cr WHERE rejected AND n >= 20 QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(z, 9) DESC, pred) = 1"),
-        ("nx", "SELECT c.target, c.pred, x, sum(w) AS n_x FROM ct c JOIN best b ON c.target = b.target AND c.pred = b.pred GROUP BY ALL"),
-        ("lab", "SELECT *, CASE WHEN n_x >= 7 THEN pred || '=' || x ELSE pred || '*' END AS label FROM nx"),
-        ("kept", "SELECT target, label FROM lab GROUP BY target, label HAVING sum(n_x) >= 7"),
-    ],
-    """SELECT lab.target, lab.label AS path, c.y AS token, CAST(sum(c.w) AS BIGINT) AS n
-       FROM lab JOIN kept ON lab.target = kept.target AND lab.label = kept.label
-       JOIN ct c ON c.target = lab.target AND c.pred = lab.pred AND c.x = lab.x GROUP BY ALL
-       UNION ALL SELECT col, '', token, n FROM (""" + counts("cust", CUST) + ") r",
+_STUMPS = [
+    *chi2(_ALL),
+    ("best", "SELECT target, pred FROM cr WHERE rejected AND n >= 20 QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(z, 9) DESC, pred) = 1"),
+    ("nx", "SELECT c.target, c.pred, x, sum(w) AS n_x FROM ct c JOIN best b ON c.target = b.target AND c.pred = b.pred GROUP BY ALL"),
+    ("lab", "SELECT *, CASE WHEN n_x >= 7 THEN pred || '=' || x ELSE pred || '*' END AS label FROM nx"),
+    ("kept", "SELECT target, label FROM lab GROUP BY target, label HAVING sum(n_x) >= 7"),
+    (
+        "t_tok",
+        """SELECT lab.target, lab.label AS path, c.y AS token, CAST(sum(c.w) AS BIGINT) AS n
+           FROM lab JOIN kept ON lab.target = kept.target AND lab.label = kept.label
+           JOIN ct c ON c.target = lab.target AND c.pred = lab.pred AND c.x = lab.x GROUP BY ALL
+           UNION ALL SELECT col, '', token, n FROM (""" + counts("cust", CUST) + ") r",
+    ),
+]
+ORACLE["fit_trees"] = build([CUST_CTE, *_STUMPS], "SELECT target, path, token, n FROM t_tok")
+
+
+def stump_scores(src: str, keep: str) -> list[tuple[str, str]]:
+    """Every coordinate of ``src`` in the leaf that its split column's token leads to."""
+    split = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(CUST))
+    long = " UNION ALL ".join(
+        f"SELECT {keep}, '{c}' AS target, {c} AS token, CASE (SELECT pred FROM best WHERE target = '{c}') {split} END AS x "
+        f"FROM {src}"
+        for c in CUST
+    )
+    return [
+        ("t_leaf", "SELECT target, path, sum(n) AS n, max(n) AS n_max FROM t_tok GROUP BY ALL"),
+        ("q_long", long),
+        (
+            "q_at",
+            f"""SELECT {keep}, q.target, q.token, coalesce(k.label, '') AS path FROM q_long q
+                LEFT JOIN lab l ON l.target = q.target AND l.x = q.x
+                LEFT JOIN kept k ON k.target = l.target AND k.label = l.label""",
+        ),
+        (
+            "q_sc",
+            f"""SELECT {keep}, q.target, coalesce(o.n, 0) / f.n AS p_obs, f.n_max / f.n AS p_max,
+                coalesce(o.n, 0) / f.n_max AS v, CASE WHEN o.n = f.n_max THEN 1 ELSE 0 END AS hit
+                FROM q_at q JOIN t_leaf f ON f.target = q.target AND f.path = q.path
+                LEFT JOIN t_tok o ON o.target = q.target AND o.path = q.path AND o.token = q.token""",
+        ),
+    ]
+
+
+ORACLE["upsilon_matrix_trees"] = build(
+    [*CUST_PERM, *_STUMPS, *stump_scores("cust_perm", "row_id")],
+    "SELECT row_id, target, round(p_obs, 9) AS p_obs, round(p_max, 9) AS p_max, round(v, 9) AS v FROM q_sc",
+)
+ORACLE["upsilon_rows_trees"] = build(
+    [*CUST_PERM, *_STUMPS, *stump_scores("cust_perm", "row_id")],
+    "SELECT row_id, round(avg(v), 9) AS upsilon FROM q_sc GROUP BY row_id",
+)
+ORACLE["upsilon_by_target_trees"] = build(
+    [*CUST_PAIR, *_STUMPS, *stump_scores("pair", "dataset")],
+    """SELECT dataset, target, round(avg(v), 6) AS upsilon, round(avg(hit), 6) AS hit_rate FROM q_sc GROUP BY ALL""",
 )
 _FLOOR = build(
     score_all(CUST_PERM, "cust_perm", CUST, CUST_CONTEXTS, "row_id", 0.01, "cust"),
@@ -450,11 +503,13 @@ ORACLE["brook_logodds"] = build(
 )
 
 
-def gaussian_pair(src: str, a: str, b: str) -> str:
-    def side(y: str, x: str) -> str:
-        return f"""SELECT '{y}' AS target, round(avg(exp(-0.5 * power(({y} - m_{y}) - c / v_{x} * ({x} - m_{x}), 2)
-            / (v_{y} - c * c / v_{x}))), 6) AS upsilon FROM {src}, g"""
-    return f"{side(a, b)} UNION ALL {side(b, a)}"
+def gaussian_given_two(src: str, y: str, a: str, b: str) -> str:
+    """Alignment of ``y`` given two columns: the regression's coefficients solved by hand."""
+    beta_a = f"(c_{y}_{a} * c_{b}_{b} - c_{y}_{b} * c_{a}_{b}) / (c_{a}_{a} * c_{b}_{b} - c_{a}_{b} * c_{a}_{b})"
+    beta_b = f"(c_{y}_{b} * c_{a}_{a} - c_{y}_{a} * c_{a}_{b}) / (c_{a}_{a} * c_{b}_{b} - c_{a}_{b} * c_{a}_{b})"
+    rest = f"({y} - m_{y}) - {beta_a} * ({a} - m_{a}) - {beta_b} * ({b} - m_{b})"
+    left = f"(c_{y}_{y} - {beta_a} * c_{y}_{a} - {beta_b} * c_{y}_{b})"
+    return f"SELECT '{y}' AS target, round(avg(exp(-0.5 * power({rest}, 2) / {left})), 6) AS upsilon FROM {src}, g"
 
 
 ORACLE["gaussian_upsilon"] = build(
@@ -462,11 +517,16 @@ ORACLE["gaussian_upsilon"] = build(
         NUM3_CTE,
         (
             "g",
-            """SELECT avg(l_quantity) AS m_l_quantity, avg(l_discount) AS m_l_discount, var_pop(l_quantity) AS v_l_quantity,
-               var_pop(l_discount) AS v_l_discount, covar_pop(l_quantity, l_discount) AS c FROM num3""",
+            "SELECT "
+            + ", ".join(f"avg({c}) AS m_{c}" for c in NUM3)
+            + ", "
+            + ", ".join(f"covar_pop({x}, {y}) AS c_{x}_{y}" for x in NUM3 for y in NUM3)
+            + " FROM num3",
         ),
     ],
-    gaussian_pair("num3", "l_quantity", "l_discount"),
+    " UNION ALL ".join(
+        gaussian_given_two("num3", c, *[d for d in NUM3 if d != c]) for c in NUM3
+    ),
 )
 
 # -- generators --
@@ -499,9 +559,25 @@ def sequential(src: str, names: list[str], contexts: dict, seed: int) -> list[tu
 
 
 ORACLE["gen_sequential"] = build(
-    [CUST_CTE, *sequential("cust", CUST, {"nation": ["region"], "segment": ["nation"], "bal": ["segment"]}, 123)],
+    [CUST_CTE, *sequential("cust", CUST, {c: CUST[:i] for i, c in enumerate(CUST) if i}, 123)],
     "SELECT * FROM g4",
 )
+# The only hole of a row is its segment, drawn given the balance of rows that have one.
+ORACLE["complete_rows"] = build(
+    [
+        CUST_CTE,
+        MISSING_CTE,
+        ("seen", "SELECT bal, segment, count(*) AS n FROM cust_missing WHERE segment <> '' GROUP BY ALL"),
+        (
+            "upto",
+            """SELECT *, sum(n) OVER (PARTITION BY bal ORDER BY segment) AS hi, sum(n) OVER (PARTITION BY bal) AS total,
+               sum(n) OVER (PARTITION BY bal ORDER BY segment) - n AS lo FROM seen""",
+        ),
+        ("drawn", f"SELECT *, {u(5, 'fill|segment', 'row_id')} AS u FROM cust_missing"),
+    ],
+    """SELECT d.row_id, d.region, d.nation, CASE WHEN d.segment <> '' THEN d.segment ELSE t.segment END AS segment, d.bal
+    FROM drawn d JOIN upto t ON t.bal = d.bal AND floor(d.u * t.total) >= t.lo AND floor(d.u * t.total) < t.hi""",
+)
 ORACLE["gen_custom"] = build(
     [CUST_CTE, *baseline("cust", CUST, 3, "syn", f"SELECT col, token, 1 AS n FROM ({counts('cust', CUST)}) q")],
     "SELECT * FROM syn",

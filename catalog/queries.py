@@ -127,9 +127,8 @@ def project_features(spark, sf):
 
 @query
 def drop_ids(spark, sf):
-    return fr.drop_ids(fx.table(spark, sf, "orders"), ["o_orderkey", "o_custkey"]).select(
-        "o_orderstatus", r("o_totalprice", 2).alias("o_totalprice"), "o_orderpriority"
-    )
+    out = fr.drop_ids(fx.table(spark, sf, "orders"), ["o_orderkey", "o_custkey"])
+    return out.withColumns({"o_totalprice": r("o_totalprice", 2), "o_orderdate": F.to_date("o_orderdate").cast("string")})
 
 
 @query
@@ -147,9 +146,9 @@ def round_to_int(spark, sf):
 
 @query
 def tokenise(spark, sf):
-    return fr.tokenise(
-        fx.table(spark, sf, "part"), ["p_brand", "p_type", "p_size"], ["p_partkey"]
-    )
+    names = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    part = fx.table(spark, sf, "part").withColumn("p_retailprice", F.round(F.col("p_retailprice") * 100).cast("bigint"))
+    return fr.tokenise(part, names, ["p_partkey"])
 
 
 @query
@@ -183,8 +182,8 @@ def label_union(spark, sf):
 @query
 def discretise(spark, sf):
     return fr.discretise(
-        fx.num3(spark, sf), {"l_quantity": 10.0, "l_extendedprice": 5000.0}
-    ).select("row_id", "l_quantity", "l_extendedprice")
+        fx.num3(spark, sf), {"l_quantity": 10.0, "l_extendedprice": 5000.0, "l_discount": 0.0625}
+    )
 
 
 # -- marginals and moments ---------------------------------------------------
@@ -222,10 +221,10 @@ def marginal_compare(spark, sf):
 
 @query
 def moment_compare(spark, sf):
-    real = fx.num3(spark, sf)
+    # The price in thousands, so that its moments have as many digits as the others'.
+    real = fx.num3(spark, sf).withColumn("l_extendedprice", F.col("l_extendedprice") / 1000)
     synth = ge.gen_baseline(real, real.count(), fx.NUM3, 7)
-    out = ma.moment_compare(real, synth, ["l_quantity", "l_discount"])
-    return rounded(out, 5, "real", "synth", "diff")
+    return rounded(ma.moment_compare(real, synth, fx.NUM3), 5, "real", "synth", "diff")
 
 
 # -- the conditional model ---------------------------------------------------
@@ -263,6 +262,28 @@ def fit_trees_deep(spark, sf):
     return rounded(out, 6, "upsilon", "hit_rate")
 
 
+def cust_tree(spark, sf):
+    """Learned depth-one trees: SQL can still grow them."""
+    return tr.fit_trees(fx.cust(spark, sf), fx.CUST, max_depth=1)
+
+
+@query
+def upsilon_matrix_trees(spark, sf):
+    out = al.upsilon_matrix(cust_perm(spark, sf), cust_tree(spark, sf))
+    return rounded(out, 9, "p_obs", "p_max", "v")
+
+
+@query
+def upsilon_rows_trees(spark, sf):
+    return rounded(al.upsilon_rows(cust_perm(spark, sf), cust_tree(spark, sf)), 9, "upsilon")
+
+
+@query
+def upsilon_by_target_trees(spark, sf):
+    out = al.upsilon_by_target(cust_pair(spark, sf), cust_tree(spark, sf), ["dataset"])
+    return rounded(out, 6, "upsilon", "hit_rate")
+
+
 @query
 def chi2_screen(spark, sf):
     return rounded(tr.chi2_screen(fx.cust(spark, sf), fx.CUST), 5, "chi2", "z")
@@ -382,7 +403,7 @@ def brook_logodds(spark, sf):
 @query
 def gaussian_upsilon(spark, sf):
     real = fx.num3(spark, sf)
-    model = ga.fit_gaussian(real, ["l_quantity", "l_discount"])
+    model = ga.fit_gaussian(real, fx.NUM3)
     cells = ga.gaussian_matrix(real, model, [])
     return cells.groupBy("target").agg(r(F.avg("v"), 6).alias("upsilon"))
 
@@ -413,13 +434,15 @@ def gen_lsm(spark, sf):
 
 @query
 def complete_rows(spark, sf):
-    return lsm.complete_rows(fx.cust_missing(spark, sf), cust_model(spark, sf), seed=5)
+    """Blanks filled under a model of the same table, blanks and all."""
+    holes = fx.cust_missing(spark, sf)
+    return lsm.complete_rows(holes, co.fit_context(holes, fx.CUST, fx.CUST_CONTEXTS), seed=5)
 
 
 @query
 def gen_sequential(spark, sf):
     real = fx.cust(spark, sf)
-    model = ge.fit_sequential(real, fx.CUST, "context", window=1)
+    model = ge.fit_sequential(real, fx.CUST, "context")
     return ge.gen_sequential(ge.ids(real, real.count()), model, 123)
 
 
@@ -469,7 +492,7 @@ def gen_moment_pair(spark, sf):
 @query
 def moment_pair_alignment(spark, sf):
     """Same moments, different alignment: Gaussian conditionals on the Gaussian, bins on the cube."""
-    rows = fx.spread(fx.table(spark, sf, "lineitem")).select(fx.line_id().alias("row_id"))
+    rows = fx.table(spark, sf, "lineitem").select(fx.line_id().alias("row_id"))
     cube, bell = ge.gen_moment_pair(rows)
     names = ["x1", "x2", "x3"]
     width = 2.0 * 3.0**0.5 / 4.0
@@ -506,7 +529,8 @@ def pair_cosine(spark, sf):
 
 @query
 def similarity_histogram(spark, sf):
-    return no.similarity_histogram(fx.cust(spark, sf), cust_base(spark, sf), fx.CUST)
+    out = no.similarity_histogram(fx.cust(spark, sf), cust_base(spark, sf), fx.CUST)
+    return out.withColumn("pairs", F.col("pairs").cast("bigint"))
 
 
 @query

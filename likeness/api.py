@@ -59,7 +59,7 @@ def generate_syndata(
     """A synthetic DataFrame of ``num`` rows: ``row_id`` and the features in order.
 
     ``gen_algorithm`` is LSM, BASELINE, SEQUENTIAL, BOOTSTRAP, or any other name
-    together with ``data_generator(spark=, model=, num=, real=, features=)``.
+    together with ``data_generator(model=, num=, orig_df=, ...)``; see ``gen_custom``.
     """
     del n_workers, verbose
     if model is None and model_path is not None:

@@ -79,7 +79,7 @@ def hash_rank(
 
 
 def first_n(df: DataFrame, key: Column, tiebreak: Sequence[str], n: int) -> DataFrame:
-    """The ``n`` rows smallest by (numeric ``key``, ``tiebreak``).
+    """The ``n`` rows smallest by (numeric ``key``, ``tiebreak``); NULL keys are the largest.
 
     Small ``n`` is a top-n.  Beyond ``TOP_N_ROWS`` the boundary is located by
     narrowing a histogram, one aggregation of at most 1024 groups per round;
@@ -87,10 +87,11 @@ def first_n(df: DataFrame, key: Column, tiebreak: Sequence[str], n: int) -> Data
     """
     keyed = df.withColumn("_key", key.cast("double"))
     if n <= TOP_N_ROWS:
-        return keyed.orderBy("_key", *tiebreak).limit(n).drop("_key")
-    low, high = keyed.agg(F.min("_key"), F.max("_key")).first()
-    if low is None:
-        return df.limit(0)
+        return keyed.orderBy(F.col("_key").asc_nulls_last(), *tiebreak).limit(n).drop("_key")
+    low, high, known = keyed.agg(F.min("_key"), F.max("_key"), F.count("_key")).first()
+    if known <= n:
+        rest = keyed.filter(F.col("_key").isNull()).orderBy(*tiebreak).limit(n - known)
+        return keyed.filter(F.col("_key").isNotNull()).unionByName(rest).drop("_key")
     taken, inside = 0, None
     while low < high:
         width = (high - low) / _SCALE

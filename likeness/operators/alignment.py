@@ -133,7 +133,7 @@ def wide_values(df: DataFrame, model: ConditionalModel, keep: Sequence[str], eps
         out = out.join(F.broadcast(counts), reduce(and_, on), "left").drop("_known", "_token", *keys)
         obs = F.coalesce(F.col(f"_o{i}"), F.lit(0).cast("bigint"))
         v = probabilities(obs, leaf_n, leaf_max, F.lit(0), epsilon)["v"]
-        values.append(v.alias(f"v{i}"))
+        values.append(F.when(F.col(f) != "", v).alias(f"v{i}"))
     return out.select(*keep, *values)
 
 

@@ -214,6 +214,8 @@ def score(
     )
     n_obs = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
     parts = probabilities(n_obs, F.col("leaf_n"), F.col("leaf_max"), F.col("k"), epsilon)
+    # A blank is a missing value: nothing was observed, so its scores are undefined.
+    parts = {k: c if k == "p_max" else F.when(F.col("token") != "", c) for k, c in parts.items()}
     parts["expected"] = expected_alignment(
         F.col("leaf_sq"), F.col("leaf_n"), F.col("leaf_max"), F.col("k"), epsilon
     )
@@ -265,7 +267,9 @@ def context_indices(features: Sequence[str], contexts: Mapping[str, Sequence[str
 def fit_context(df: DataFrame, features: Sequence[str], contexts: Mapping[str, Sequence[str]]) -> ConditionalModel:
     """Frequency tables given named context columns: one scan, one shuffle of partial counts.
 
-    The marginals come from the already-aggregated counts.
+    The counts are stored, and the marginals come from the stored table.  Blanks are
+    missing values: they are no tokens, and a context with a blank is none, so its rows
+    count for the marginal alone.
     """
     features = list(features)
     idx = context_indices(features, contexts)
@@ -282,16 +286,19 @@ def fit_context(df: DataFrame, features: Sequence[str], contexts: Mapping[str, S
     counts = (
         tokenise(df, features)
         .select(F.inline(cells))
+        .filter("token <> ''")
         .groupBy("target", "leaf", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = store(counts).df
     marginals = (
         counts.filter(F.size("leaf") > 0)
         .groupBy("target", "token")
         .agg(F.sum("n").alias("n"))
         .select("target", root_leaf().alias("leaf"), "token", "n")
     )
-    return build_model(features, "context", counts.unionByName(marginals), contexts=idx)
+    known = counts.filter(~F.array_contains("leaf", ""))
+    return build_model(features, "context", known.unionByName(marginals), contexts=idx)
 
 
 def predict(

@@ -17,11 +17,13 @@ MISSING = "__MISSING__"
 def assert_features(df: DataFrame, features: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
     """Columns must equal ``features`` in the same order (``ignore`` names id columns)."""
     got = [c for c in df.columns if c not in set(ignore)]
-    if got != list(features):
-        raise ValueError(
-            "columns must exactly match the features in the same order.\n"
-            f"Got:      {got}\nExpected: {list(features)}"
-        )
+    wanted = list(features)
+    if got != wanted:
+        missing, extra = [c for c in wanted if c not in got], [c for c in got if c not in wanted]
+        if missing or extra:
+            raise ValueError(f"the table lacks the columns {missing} and has {extra} beside the features")
+        place = next(i for i, (a, b) in enumerate(zip(got, wanted)) if a != b)
+        raise ValueError(f"column {place} is {got[place]!r} where the features have {wanted[place]!r}; reorder with select()")
     return df
 
 
@@ -87,7 +89,8 @@ def normalise_missing(
 def head_tail_split(df: DataFrame, n: int, order: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """First ``n`` rows in ``order`` (a unique numeric column), and the rest.
 
-    Both sides are plain scans filtered by one scalar, so neither needs a join.
+    Both sides are plain scans filtered by one scalar, so neither needs a join.  Rows
+    without an order value are never among the first.
     """
     edge = first_n(df.select(order), F.col(order), [order], n).agg(F.max(order).alias("m")).scalar()
     head = df.filter(F.col(order) <= edge)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.functions.draws import gaussian, uniform
@@ -199,17 +200,28 @@ def gen_moment_pair(rows: DataFrame, rho: float | None = None, seed=0) -> tuple[
 
 def gen_custom(
     generator: Callable,
-    real: DataFrame,
+    real: DataFrame | None,
     num: int,
     features: Sequence[str],
     model: ConditionalModel | None = None,
 ) -> DataFrame:
     """A user callable returning a DataFrame with exactly these columns, or array-like rows.
 
-    A ``row_id`` column is allowed beside the features.
+    It is called with ``model``, ``num``, ``orig_df`` (the real table or None) and, if it
+    takes them, ``feature_names``, ``spark``, ``real`` and ``features``.  A ``row_id`` column is
+    allowed beside the features.
     """
-    spark = real.sparkSession
-    result = generator(spark=spark, model=model, num=num, real=real, features=list(features))
+    spark = real.sparkSession if real is not None else SparkSession.active()
+    offered = {
+        "model": model, "num": num, "orig_df": real, "feature_names": list(features),
+        "spark": spark, "real": real, "features": list(features),
+    }
+    takes = inspect.signature(generator).parameters.values()
+    if any(p.kind is p.VAR_KEYWORD for p in takes):
+        named = {p.name for p in takes} | {"model", "num", "orig_df", "feature_names"}
+    else:
+        named = {p.name for p in takes}
+    result = generator(**{k: v for k, v in offered.items() if k in named})
     if isinstance(result, DataFrame):
         return assert_features(result, features, ignore=["row_id"])
     return from_rows(spark, result, features)

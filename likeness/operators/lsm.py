@@ -12,24 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from likeness.functions.draws import uniform
 from likeness.operators.conditionals import ConditionalModel
 from likeness.operators.frames import tokenise
 
 
-def mix(seed: int, key: np.ndarray, step: int) -> np.ndarray:
-    """Uniforms in (0, 1) from a 64-bit finaliser of (seed, row key, step)."""
-    # The published splitmix64 increment and multipliers.
-    golden, m1, m2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-    with np.errstate(over="ignore"):
-        z = key.astype(np.uint64)
-        for salt in (seed, step):
-            z = z + golden * np.uint64((salt + 1) & 0xFFFFFFFFFFFFFFFF)
-            z = (z ^ (z >> np.uint64(30))) * m1
-            z = (z ^ (z >> np.uint64(27))) * m2
-            z = z ^ (z >> np.uint64(31))
-    return ((z >> np.uint64(12)).astype(np.float64) + 0.5) / float(2**52)
-
-
 class LeafSampler:
     """A model as flat arrays: token codes, leaf ranges, routes."""
 
@@ -56,7 +43,8 @@ class LeafSampler:
         self.upto = np.cumsum(np.array(counts, dtype=np.int64))
         self.size = np.bincount(np.array(owner), weights=np.array(counts), minlength=len(self.leaf_id)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        self.root = np.array([self.leaf_id[(t, ())] for t in range(n)])
+        # A column that was always blank has no token to draw; it stays blank.
+        self.root = np.array([self.leaf_id.get((t, ()), -1) for t in range(n)])
         self.routes(model, n)
 
     def routes(self, model: ConditionalModel, n: int) -> None:
@@ -65,7 +53,8 @@ class LeafSampler:
         self.context_keys: list[tuple[np.ndarray, np.ndarray]] = []
         if model.kind == "tree":
             for t, j in model.root_split.items():
-                self.split[self.root[t]] = j
+                if self.root[t] >= 0:
+                    self.split[self.root[t]] = j
             for r in model.edges.df.collect() if model.edges is not None else []:
                 t, child = r["target"], self.leaf_id[(r["target"], tuple(r["child"]))]
                 code = self.code[r["split"]].get(r["token"])
@@ -115,22 +104,17 @@ class LeafSampler:
         idx = np.minimum((u * self.size[leaf]).astype(np.int64), self.size[leaf] - 1)
         return self.codes[np.searchsorted(self.upto, self.first[leaf] + idx, side="right")]
 
-    def fill(self, state: np.ndarray, key: np.ndarray, seed: int, steps: int | None) -> np.ndarray:
-        """Resample missing coordinates; observed ones are never touched."""
+    def fill(self, state: np.ndarray, order: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Resample missing coordinates; observed ones are never touched.
+
+        ``order[:, s]`` is the column visited at step s, ``draws[:, s]`` its uniform draw.
+        """
         free = state < 0
-        n = state.shape[1]
-        if steps is None:
-            rank = np.column_stack([mix(seed, key, j) for j in range(n)])
-            order = np.argsort(rank, axis=1, kind="stable")
-            visits = n
-        else:
-            order = np.column_stack([(mix(seed, key, j) * n).astype(np.int64) for j in range(steps)])
-            visits = steps
-        for s in range(visits):
-            u = mix(seed, key, visits + s)
-            for target in range(n):
+        for s in range(order.shape[1]):
+            u = draws[:, s]
+            for target in range(state.shape[1]):
                 rows = np.flatnonzero((order[:, s] == target) & free[:, target])
-                if len(rows):
+                if len(rows) and self.root[target] >= 0:
                     state[rows, target] = self.draw(self.route(target, state[rows]), u[rows])
         return state
 
@@ -138,6 +122,7 @@ class LeafSampler:
 def run_sampler(rows: DataFrame, model: ConditionalModel, keep: Sequence[str], seed: int, steps: int | None) -> DataFrame:
     """``rows`` has ``keep`` and the features, ``''`` meaning missing."""
     features, keep = list(model.features), list(keep)
+    n = len(features)
     shipped = rows.sparkSession.sparkContext.broadcast(LeafSampler(model))
 
     def run(batches: Iterator):
@@ -150,7 +135,14 @@ def run_sampler(rows: DataFrame, model: ConditionalModel, keep: Sequence[str], s
             given = batch[features].to_numpy(dtype=object) != ""
             unknown = given & (state < 0)
             state[unknown] = np.iinfo(np.int64).max // (sampler.base + 1)
-            done = sampler.fill(state, batch["_key"].to_numpy(), seed, steps)
+            first = np.column_stack([batch[c].to_numpy() for c in firsts])
+            draws = np.column_stack([batch[c].to_numpy() for c in drawn])
+            if steps is None:  # every column once, in the order of its rank; the draw goes with the column
+                order = np.argsort(first, axis=1, kind="stable")
+                draws = np.take_along_axis(draws, order, axis=1)
+            else:
+                order = (first * n).astype(np.int64)
+            done = sampler.fill(state, order, draws)
             out = batch[keep].copy()
             for j, f in enumerate(features):
                 names = np.array([*sampler.alphabet[j], ""], dtype=object)
@@ -158,7 +150,15 @@ def run_sampler(rows: DataFrame, model: ConditionalModel, keep: Sequence[str], s
                 out[f] = np.where(unknown[:, j], batch[f].to_numpy(dtype=object), names[code])
             yield out
 
-    keyed = tokenise(rows, features, keep).withColumn("_key", F.xxhash64(*keep))
+    # Draws are md5 functions of (seed, what is drawn, id), computed before the batches.
+    names = features if steps is None else [str(s) for s in range(steps)]
+    firsts, drawn = [f"_first{j}" for j in range(len(names))], [f"_draw{j}" for j in range(len(names))]
+    key = F.concat_ws("|", *keep)
+    keyed = tokenise(rows, features, keep).select(
+        "*",
+        *[uniform(seed, f"visit|{name}", key).alias(c) for name, c in zip(names, firsts)],
+        *[uniform(seed, f"fill|{name}", key).alias(c) for name, c in zip(names, drawn)],
+    )
     kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
     schema = f"{kept}, " + ", ".join(f"`{f}` string" for f in features)
     return keyed.mapInPandas(run, schema)
@@ -177,5 +177,8 @@ def gen_lsm(rows: DataFrame, model: ConditionalModel, seed: int = 0, steps: int
 def complete_rows(
     df: DataFrame, model: ConditionalModel, keep: Sequence[str] = ("row_id",), seed: int = 0, steps: int | None = None
 ) -> DataFrame:
-    """Fill the missing coordinates of given rows, the observed ones held fixed."""
+    """Fill the missing coordinates of given rows, the observed ones held fixed.
+
+    Blank is missing, whether or not the model's training data had blanks.
+    """
     return run_sampler(df, model, keep, seed, steps)

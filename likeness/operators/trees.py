@@ -9,6 +9,7 @@ distributions, is computed from those counts alone.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +65,10 @@ def contingency(
     long = records.select(F.array(*features).alias("_toks"), "w", "w_leaf", F.inline(targets))
     if grown is not None:
         long = descend(long, grown, "leaf", "split").filter(F.size("leaf") == level)
+    # A blank target teaches nothing, and a row with a blank predictor stays at the node.
     return (
         long.select("_toks", "w", "w_leaf", "target", "leaf", "y", F.explode("preds").alias("pred"))
+        .filter((F.col("y") != "") & (F.col("_toks")[F.col("pred")] != ""))
         .groupBy("target", "leaf", "pred", F.col("_toks")[F.col("pred")].alias("x"), "y")
         .agg(F.sum("w").alias("w"), F.sum("w_leaf").alias("w_leaf"))
     )
@@ -173,15 +176,18 @@ def fit_trees(
     df: DataFrame,
     features: Sequence[str],
     alpha: float = 0.05,
-    max_depth: int = 3,
+    max_depth: int | None = None,
     min_node: int = 20,
     min_leaf: int = 7,
     allowed: Mapping[str, Sequence[str]] | None = None,
     honest_id: str | None = None,
     seed=0,
 ) -> ConditionalModel:
-    """One multiway tree per column; ``max_depth`` + 1 passes over the distinct records.
+    """One multiway tree per column; a pass over the distinct records for each level.
 
+    Growth ends where no predictor is significant or nodes are too small; a tree is at
+    most as deep as it has predictors, and ``max_depth`` may end it earlier.  Blanks are
+    missing values: no tokens, and no branches.
     ``honest_id`` names a row id and switches on honest splitting.  State
     between levels is the stored tree, not a per-record assignment, so lineage
     never grows.
@@ -196,12 +202,12 @@ def fit_trees(
         records.select("w_leaf", F.inline(root_cells))
         .groupBy("target", "token")
         .agg(F.sum("w_leaf").alias("n"))
-        .filter(F.col("n") > 0)
+        .filter((F.col("n") > 0) & (F.col("token") != ""))
         .select("target", root_leaf().alias("leaf"), "token", "n")
     )
     tokens, edges, root_split, depth = [roots], None, {}, 0
     grown = None
-    for level in range(max_depth):
+    for level in count() if max_depth is None else range(max_depth):
         if not any(preds.values()):
             break
         counts = store(contingency(records, features, preds, grown, level)).df

@@ -11,8 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from likeness.functions.draws import uniform
 from likeness.functions.ordering import hash_rank, running_total
-from likeness.operators.frames import assert_features, balanced_sample, tokenise
+from likeness.operators.frames import assert_features, tokenise
 from likeness.plans.materialise import store
 
 
@@ -125,10 +126,17 @@ def classifier_scores(model: PipelineModel, test: DataFrame, keep: Sequence[str]
 
 
 def prepare(real, synth, features, max_rows, seed, id_col) -> DataFrame:
+    """Labelled rows of both tables; ``fits`` marks those a classifier may learn from."""
     assert_features(real, features, [id_col])
     assert_features(synth, features, [id_col])
-    real, synth = balanced_sample(real, synth, max_rows, seed, id_col)
-    return labelled(real, synth, features, id_col)
+    rows = labelled(real, synth, features, id_col)
+    if max_rows is None:
+        return rows.withColumn("fits", F.lit(True))
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("y") == 1, F.lit(max_rows / max(1, sizes.get(1, 0)))).otherwise(
+        F.lit(max_rows / max(1, sizes.get(0, 0)))
+    )
+    return rows.withColumn("fits", uniform(seed, "fits", F.concat_ws("|", "y", "key")) < share)
 
 
 def c2st_holdout(
@@ -141,10 +149,14 @@ def c2st_holdout(
     id_col: str = "row_id",
     max_iter: int = 2000,
 ) -> DataFrame:
-    """One row: mode, test_size, auc, n_real, n_synth."""
+    """One row: mode, test_size, auc, n_real, n_synth.
+
+    ``max_rows`` bounds the fit: about so many rows per side, by a hash of the id, may
+    be learned from.  The AUC is over all held-out rows.
+    """
     rows = stratified_split(prepare(real, synth, features, max_rows, seed, id_col), test_size, seed)
-    patterns = pattern_counts(rows, features, ["is_test"])
-    model = fit_classifier(weighted_rows(patterns.filter(~F.col("is_test")), features), features, max_iter)
+    patterns = pattern_counts(rows, features, ["is_test", "fits"])
+    model = fit_classifier(weighted_rows(patterns.filter("fits and not is_test"), features), features, max_iter)
     scored = classifier_scores(model, patterns.filter("is_test"), ["pos", "neg"])
     auc = auc_counts(scored).select("auc").scalar()
     return patterns.agg(F.sum("neg").alias("n_real"), F.sum("pos").alias("n_synth")).select(
@@ -165,12 +177,13 @@ def c2st_cv(
     """One row: mode, cv_folds, auc_mean, auc_std, aucs, n_real, n_synth.
 
     The folds' out-of-fold scores are stacked and ranked together, one job for all AUCs.
+    ``max_rows`` bounds the rows learned from, as in :func:`c2st_holdout`; all rows are scored.
     """
     rows = stratified_folds(prepare(real, synth, features, max_rows, seed, id_col), folds, seed)
-    patterns = pattern_counts(rows, features, ["fold"])
+    patterns = pattern_counts(rows, features, ["fold", "fits"])
     stacked = None
     for k in range(folds):
-        model = fit_classifier(weighted_rows(patterns.filter(F.col("fold") != k), features), features, max_iter)
+        model = fit_classifier(weighted_rows(patterns.filter((F.col("fold") != k) & F.col("fits")), features), features, max_iter)
         part = classifier_scores(model, patterns.filter(F.col("fold") == k), ["fold", "pos", "neg"])
         stacked = part if stacked is None else stacked.unionByName(part)
     per_fold = auc_counts(stacked, by=["fold"])

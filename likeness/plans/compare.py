@@ -108,7 +108,7 @@ def generate(
         return project_features(gen_lsm(rows, model, seed, **options), names, ["row_id"])
     if gen_algorithm in ("BASELINE", "SEQUENTIAL", "BOOTSTRAP"):
         if real is None:
-            raise ValueError(f"orig_df must be provided for gen_algorithm={gen_algorithm!r}")
+            raise ValueError(f"{gen_algorithm} resamples a real table: pass it as orig_df")
         assert_features(real, names, [id_col])
         if gen_algorithm == "BASELINE":
             return gen_baseline(real, num, names, seed)
@@ -117,8 +117,6 @@ def generate(
         return gen_bootstrap(real, num, seed=seed, id_col=id_col, **options)
     if data_generator is None:
         raise NotImplementedError(f"no generator named {gen_algorithm!r} and no `data_generator` given")
-    if real is None:
-        raise ValueError("orig_df must be provided for a custom generator")
     return gen_custom(data_generator, real, num, names, model)
 
 

@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A join side is broadcast only below this many rows (measured, not guessed);
-# model rows are about 100 bytes, so this is on the order of 100 MB.
+# A join side is broadcast only below this many rows and this many bytes of its
+# stored files, both measured when it is written.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -46,14 +47,15 @@ def drop_intermediates(spark: SparkSession) -> None:
 
 @dataclass(frozen=True)
 class Stored:
-    """A written table and its measured row count."""
+    """A written table, its measured row count and the bytes of its files."""
 
     df: DataFrame
     rows: int
+    size: int = 0
 
     @property
     def small(self) -> bool:
-        return self.rows <= BROADCAST_ROWS
+        return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES
 
 
 def store(df: DataFrame, path: str | None = None) -> Stored:
@@ -73,7 +75,13 @@ def load_stored(spark: SparkSession, path: str) -> Stored:
     df = spark.read.parquet(path)
     # Answered from the parquet footers.  (An Observation would count while
     # writing, but a session that holds one can no longer serialise ML models.)
-    return Stored(df, df.count())
+    return Stored(df, df.count(), _bytes(spark, path))
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(where).getLength()
 
 
 def lookup(side: DataFrame, small: bool) -> DataFrame:

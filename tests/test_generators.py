@@ -153,7 +153,7 @@ def test_custom_generators(toy, tree):
     assert generate(7, tree, "mine", toy, array).columns == COLS
     with pytest.raises(ValueError, match="width 4"):
         generate(7, tree, "mine", toy, narrow)
-    with pytest.raises(ValueError, match="Expected"):
+    with pytest.raises(ValueError, match="where the features have"):
         generate(7, tree, "mine", toy, swapped)
 
 
@@ -185,3 +185,54 @@ def test_moment_pair_has_matching_moments(spark):
             assert row[2] == pytest.approx(r, abs=0.03) and row[3] == pytest.approx(0, abs=0.03)
         u = gaussian_upsilon(bell, fit_gaussian(bell, ["x1", "x2", "x3"])).first()["upsilon"]
         assert u == pytest.approx(2**-0.5, abs=0.01)
+
+
+@pytest.mark.parametrize("kind", ["context", "tree"])
+def test_blanks_in_training_are_never_drawn(spark, kind):
+    from likeness.operators import alignment as al
+    from likeness.operators.conditionals import fit_context
+    from likeness.operators.trees import fit_trees
+
+    names = ["a", "b", "c"]
+    rows = [(i, "xy"[i % 2], "" if i % 3 == 0 else "pq"[i % 2], "" if i % 5 == 0 else "uvw"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id bigint, a string, b string, c string")
+    model = fit_trees(df, names) if kind == "tree" else fit_context(df, names, {"b": ["a"], "c": ["b"]})
+    assert model.tokens.df.filter("token = ''").count() == 0
+    made = lsm.gen_lsm(df.select("row_id"), model, 3)
+    assert made.filter("a = '' or b = '' or c = ''").count() == 0
+    filled = {r.row_id: r for r in lsm.complete_rows(df, model, seed=4).collect()}
+    for i, a, b, c in rows:
+        r = filled[i]
+        assert r.a == a and r.b == (b or "pq"[i % 2]) and (r.c == c if c else r.c in "uvw")
+    # An unobserved coordinate has no score, on the row and in the matrix alike.
+    matrix = al.upsilon_matrix(df, model).filter("v is null").count()
+    assert matrix == sum(b == "" for _, _, b, _ in rows) + sum(c == "" for *_, c in rows)
+    scores = {r.row_id: r.upsilon for r in al.upsilon_rows(df, model).collect()}
+    means = {r.row_id: r.m for r in al.upsilon_matrix(df, model).groupBy("row_id").agg({"v": "avg"}).withColumnRenamed("avg(v)", "m").collect()}
+    assert scores == pytest.approx(means)
+
+
+def test_always_blank_column_stays_blank(spark):
+    from likeness.operators.conditionals import fit_context
+
+    df = spark.createDataFrame([(i, "x", "") for i in range(5)], "row_id bigint, a string, b string")
+    made = lsm.gen_lsm(df.select("row_id"), fit_context(df, ["a", "b"], {"b": ["a"]}), 1).collect()
+    assert {(r.a, r.b) for r in made} == {("x", "")}
+
+
+def test_custom_generator_with_old_keywords_and_no_real_table(spark):
+    def old(model, num, orig_df, **rest):
+        assert orig_df is None and rest["feature_names"] == ["a", "b"]
+        return [["1", "2"]] * num
+
+    def short(num):
+        return [["1", "2"]] * num
+
+    from likeness import generate_syndata
+    from likeness.operators.conditionals import fit_context
+
+    df = spark.createDataFrame([(1, "x", "y")], "row_id bigint, a string, b string")
+    model = fit_context(df, ["a", "b"], {})
+    for callable_ in (old, short):
+        made = generate_syndata(3, model, gen_algorithm="own", data_generator=callable_)
+        assert [(r.a, r.b) for r in made.collect()] == [("1", "2")] * 3

@@ -55,3 +55,39 @@ def test_counts_are_combined_before_the_shuffle(spark):
     model = co.fit_context(fx.cust(spark, SF), fx.CUST, fx.CUST_CONTEXTS)
     text = plan(al.score_counts(fx.cust(spark, SF), model))
     assert "partial_count" in text
+
+
+def test_cluster_without_a_shared_folder_is_told_which_setting():
+    from types import SimpleNamespace
+
+    from likeness.plans.materialise import scratch_dir
+
+    def session(master, folder=None):
+        conf = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "/w"}
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda k, d=None: conf.get(k) or d),
+            sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None),
+        )
+
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://x:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_dir(session(master))
+    assert scratch_dir(session("yarn", "hdfs:///c/")) == "hdfs:///c"
+    assert scratch_dir(session("local[2]")) == "/w/_checkpoints"
+
+
+def test_a_table_with_few_long_rows_is_not_broadcast(spark, monkeypatch):
+    from likeness.plans import materialise
+
+    kept = materialise.store(spark.range(10))
+    assert kept.small and kept.rows == 10 and kept.size > 0
+    monkeypatch.setattr(materialise, "BROADCAST_BYTES", kept.size - 1)
+    assert not kept.small
+
+
+def test_context_fit_counts_once(spark, toy):
+    from likeness.operators.conditionals import fit_context
+
+    model = fit_context(toy, ["a", "b"], {"b": ["a"]})
+    plan = model.tokens.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
