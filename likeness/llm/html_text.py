@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate, islice
 
 import numpy as np
 import xxhash
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 from likeness.llm.common import map_rows, text_of
 from likeness.plans.materialise import keyed_join, store
 
-# A subtree is template when it occurs on this many different pages of its host.
+# A subtree is template when it occurs on this many different pages of its host, and on
+# this share of them.
 MIN_PAGES = 5
+MIN_SHARE = 0.05
+# Pages whose longest blocks outside a subtree are the same hold copies of one article.
+BESIDE = 2
 # Template hashes up to this many (8 bytes each) are sent to every task; more are joined.
 SENT_HASHES = 2_000_000
 
@@ -203,13 +208,57 @@ def _has_title(node: Node) -> bool:
     return any(n.tag in ("h1", "h2") for n in _post_order(node))
 
 
-def subtrees(page: str) -> tuple[list[int], int]:
-    """Hashes of a page's block subtrees, and of its text without them being counted twice for exact copies."""
+def _main_blocks(articles: list[Node], place: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(length, hash, place) of the blocks of text that role lets stay, longest first."""
+    blocks, stack = [], list(articles)
+    while stack:
+        node = stack.pop()
+        own, inline = [], [*reversed(node.parts)]
+        while inline:
+            part = inline.pop()
+            if isinstance(part, str):
+                own.append(part)
+            elif part.tag in BLOCK:
+                if not (_by_role(part) or part.tag == "header"):
+                    stack.append(part)
+            elif not _by_role(part):
+                inline.extend(reversed(part.parts))
+        text = _SPACE.sub(" ", "".join(own)).strip()
+        if text:
+            hashed_text = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+            blocks.append((len(text), hashed_text, place[id(node)]))
+    return sorted(blocks, reverse=True)
+
+
+def subtrees(page: str) -> tuple[dict[int, int], int]:
+    """Hashes of a page's block subtrees, each with a hash of the main text beside it, and one of the page's articles.
+
+    Beside a subtree stand the longest blocks outside it: those of an article's
+    copies are the same whatever advert or menu each page has.
+    """
     root = parse(page)
     order = hashed(root)
-    kept = {n.hash for n in order if n.tag in BLOCK and n.tag not in ("html", "body", "article", "main", "head")}
-    context = xxhash.xxh64_intdigest("\n".join(f"{a.hash}" for a in _articles(root)))
-    return sorted(kept), context
+    articles = _articles(root)
+    blocks = _main_blocks(articles, {id(n): i for i, n in enumerate(order)})
+    # Blocks and characters before each place.
+    many, much = [0] * (len(order) + 1), [0] * (len(order) + 1)
+    for length, _, at in blocks:
+        many[at + 1], much[at + 1] = 1, length
+    many, much = list(accumulate(many)), list(accumulate(much))
+    size: dict[int, int] = {}
+    found: dict[int, int] = {}
+    for i, node in enumerate(order):
+        # A subtree is a run of the order that ends with its root.
+        size[id(node)] = n = 1 + sum(size[id(p)] for p in node.parts if isinstance(p, Node))
+        if node.tag not in BLOCK or node.tag in ("html", "body", "article", "main", "head"):
+            continue
+        beside = []
+        # A subtree of several blocks with most of the text is no template as a whole; its blocks may be.
+        if many[i + 1] - many[i + 1 - n] < 2 or 2 * (much[i + 1] - much[i + 1 - n]) <= much[-1]:
+            beside = list(islice((text for _, text, at in blocks if not i - n < at <= i), BESIDE))
+        context = xxhash.xxh64_intdigest(" ".join(map(str, beside)))
+        found[node.hash] = min(context, found.get(node.hash, context))
+    return found, xxhash.xxh64_intdigest("\n".join(f"{a.hash}" for a in articles))
 
 
 def main_text(page: str | None, templates=frozenset()) -> str:
@@ -273,8 +322,14 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit("")))
 
 
-def template_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, hash): subtrees found on at least ``min_pages`` pages of a host whose articles differ.
+def template_hashes(
+    pages: DataFrame,
+    url_col: str = "url",
+    html_col: str = "html",
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+) -> DataFrame:
+    """(host, hash, n): subtrees beside at least ``min_pages`` different main texts, and this share of the host's pages.
 
     Pages that are copies of each other count once.  ``host`` is a hash of the name.
     """
@@ -282,10 +337,11 @@ def template_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     def make(rows: dict[str, list]) -> dict:
         host, hashes, context = [], [], []
         for h, page in zip(rows["host"], rows["page"]):
-            found, ctx = subtrees(page)
-            host += [h] * len(found)
-            hashes += found
-            context += [ctx] * len(found)
+            found, own = subtrees(page)
+            # Hash 0 stands for the page itself.
+            host += [h] * (len(found) + 1)
+            hashes += [*found, 0]
+            context += [*found.values(), own]
         return {
             "host": host,
             "hash": np.array(hashes, np.uint64).view(np.int64),
@@ -294,7 +350,13 @@ def template_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "htm
 
     chosen = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), text_of(html_col).alias("page"))
     seen = map_rows(chosen, make, "host bigint, hash bigint, context bigint").distinct()
-    return seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    counts = store(counts)
+    hosts = store(counts.df.filter("hash = 0").select("host", F.col("n").alias("pages")))
+    # A host with fewer pages than ``min_pages`` has no row: there the minimum alone decides.
+    found = keyed_join(counts.df.filter("hash <> 0"), hosts.df, {"host": "host"}, hosts.small, "pages", counts.rows)
+    enough = F.col("n") >= F.coalesce("pages", F.lit(0)) * min_share
+    return found.filter(enough).select("host", "hash", "n")
 
 
 def extract(
@@ -334,7 +396,7 @@ def extract(
     def own(part: dict[str, list]) -> dict:
         keys, hashes, hosts = [], [], []
         for key, h, page in zip(part["key"], part["host"], part["page"]):
-            found = subtrees(page)[0]
+            found = list(subtrees(page)[0])
             keys += [key] * len(found)
             hosts += [h] * len(found)
             hashes += found

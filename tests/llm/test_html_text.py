@@ -70,6 +70,27 @@ def test_templates_of_a_host_go(pages, sent):
     assert all(found[100 + i] == ["all of it\n\nsame"] for i in range(9))
 
 
+def test_copied_articles_and_rare_headings_stay(spark):
+    rows = []
+    # Five near copies of one article, each under its own menu and with its own date.
+    story = "<h2>The heading</h2><p>The first long paragraph of it.</p><p>The second long paragraph of it.</p>"
+    for i in range(5):
+        page = f"<div>menu {i}</div><div>{story}<p>The third long paragraph of it.</p></div><p>on day {i}</p>"
+        rows.append((i, "http://copies.example/", page))
+    # A heading on six of 200 pages, a line on all.
+    for i in range(200):
+        body = f"{'<h2>Results</h2>' if i < 6 else ''}<p>own words {i}</p><p>other words {i}</p><div>On all pages</div>"
+        rows.append((100 + i, "http://large.example/", body))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.text.split("\n\n") for r in h.extract(pages).collect()}
+    for i in range(5):
+        assert found[i] == [
+            f"menu {i}", "The heading", *[f"The {n} long paragraph of it." for n in ("first", "second", "third")], f"on day {i}",
+        ]
+    for i in range(200):
+        assert found[100 + i] == [*(["Results"] if i < 6 else []), f"own words {i}", f"other words {i}"]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert h.extract(none).count() == 0
