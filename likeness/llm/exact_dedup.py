@@ -132,7 +132,7 @@ def _screen(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         for f in filters.itertuples():
             cells = np.frombuffer(f.cells, np.uint8)
             known |= FuseFilter(f.seed, f.segment, f.segments, cells).might_have(keys)
-    return incoming.loc[known, ["digest"]]
+    return pd.DataFrame({"digest": incoming["digest"], "known": known})
 
 
 # -------------------------------------------------------------- snapshots
@@ -170,27 +170,28 @@ def take_snapshot(groups: DataFrame, buckets: int | None = None) -> Snapshot:
 
 
 def screened(snapshot: Snapshot, groups: DataFrame) -> DataFrame:
-    """Digests of ``groups`` that the snapshot's filters may know: all it has, and about 1 in 256 others."""
+    """(digest, known) of ``groups``: whether the filters may know it, true for all the snapshot has and about 1 in 256 others."""
     keys = groups.select("digest", _bucket(snapshot.buckets).alias("bucket"))
     return (
         keys.groupBy("bucket")
         .cogroup(snapshot.filters.groupBy("bucket"))
-        .applyInPandas(_screen, "digest string")
+        .applyInPandas(_screen, "digest string, known boolean")
     )
 
 
 def admit(snapshot: Snapshot, groups: DataFrame) -> DataFrame:
     """Groups of the snapshot and of an incoming batch (grouped before) as one table of groups."""
-    positive = groups.join(screened(snapshot, groups), "digest", "left_semi")
-    new = positive.select("digest", F.col("keep").alias("new_keep"), F.col("n").alias("new_n"))
-    old = snapshot.groups.join(new, "digest", "left").select(
+    # Digests are distinct on both sides.  Stored, so that the filters run once.
+    told = stored(groups.join(screened(snapshot, groups), "digest"))
+    positive = told.filter("known").select("digest", F.col("keep").alias("new_keep"), F.col("n").alias("new_n"))
+    old = snapshot.groups.join(positive, "digest", "left").select(
         "digest",
         F.least("keep", F.coalesce("new_keep", "keep")).alias("keep"),
         (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"),
     )
-    return old.unionByName(
-        groups.join(snapshot.groups, "digest", "left_anti").select("digest", "keep", "n")
-    )
+    # What the filters do not know is new; only their false positives are left to the exact join.
+    wrong = told.filter("known").join(snapshot.groups, "digest", "left_anti")
+    return old.unionByName(told.filter("not known").unionByName(wrong).select("digest", "keep", "n"))
 
 
 # -------------------------------------------------------------- documents

@@ -54,3 +54,18 @@ def test_filter_has_no_false_negatives(n):
     others = rng.integers(0, 1 << 63, 20000).astype(np.uint64)
     assert made.might_have(others).mean() < 0.02
     assert len(made.cells) <= max(64, 2 * n + 4096)
+
+
+def test_texts_the_filters_do_not_know_skip_the_exact_join(spark):
+    number = {hashlib.sha256(str(i).encode()).hexdigest(): i for i in range(2000)}
+
+    def groups(low, high):
+        rows = [(d, (False, i, 0), 1) for d, i in number.items() if low <= i < high]
+        return spark.createDataFrame(rows, "digest string, keep struct<none:boolean,id:bigint,row:bigint>, n bigint")
+
+    snapshot, batch = exact_dedup.take_snapshot(groups(0, 300)), groups(200, 2000)
+    told = {number[r.digest]: r.known for r in exact_dedup.screened(snapshot, batch).collect()}
+    assert sorted(told) == list(range(200, 2000)) and all(told[i] for i in range(200, 300))
+    assert sum(told.values()) < 200
+    found = {number[r.digest]: (r.keep.id, r.n) for r in exact_dedup.admit(snapshot, batch).collect()}
+    assert found == {i: (i, 2 if 200 <= i < 300 else 1) for i in range(2000)}
