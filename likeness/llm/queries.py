@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from likeness.llm import (
     chat_format,
     context_mixing,
+    divergence,
     exact_dedup,
     html_text,
+    lattice,
     license_scan,
     mixing,
     order_minhash,
     packing,
     simhash,
+    spelling,
     toxicity,
 )
 from likeness.llm.common import read
@@ -95,6 +98,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language, and the terms that set a source apart."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings with a cosine of 0.9 or more, and their components."""
+    return lattice.similar_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart in all documents, and the form each goes back to."""
+    return spelling.group_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +126,9 @@ QUERIES = {
         op8_chat_format,
         op9_toxicity,
         op10_html_text,
+        op11_source_divergence,
+        op12_lattice_near_dedup,
+        op13_spelling_variants,
     )
 }
 
@@ -123,4 +144,43 @@ ORACLE = {
         )
         SELECT doc_id, text_sha256, keep_id, group_size, doc_id = keep_id AS kept FROM d JOIN g USING (text_sha256)
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), kept AS (
+            SELECT lang, term FROM d GROUP BY lang, term HAVING count(DISTINCT i) >= 10
+        ), sizes AS (
+            SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), groups AS (
+            SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS n FROM d JOIN kept USING (lang, term) GROUP BY ALL
+        ), dense AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), p AS (
+            SELECT lang, source, term, n,
+                   1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+            FROM dense JOIN sizes USING (lang)
+        ), q AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+            FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL) JOIN sizes USING (lang)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q)
+            FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        WHERE part = 'pair' OR rank <= 10
+    """,
 }
