@@ -9,7 +9,9 @@ the original strings decide.
 
 A reduced form is known by a polynomial hash modulo 2^64 whose every edit follows from
 the sums before and after the place, so a key costs a few operations however long the
-word is.  Forms that share a hash cost a comparison, no result.
+word is.  Forms that share a hash cost a comparison, no result.  Of 150 keys of a word a
+dozen are some word's form: a Bloom filter of the reduced vocabulary, of at most
+FILTER_BITS, spares the others the shuffle.  A vocabulary too large for it passes more keys.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from likeness.llm.common import SLICE_ROWS, stored, text_of
-from likeness.plans.materialise import keyed_join, lookup, store
+from likeness.plans.materialise import keyed_join, store
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 MIN_LENGTH, MIN_COUNT, DOMINANCE = 5, 3, 2
@@ -37,6 +39,10 @@ SLIP = 97
 # Distinct words a counting task holds, and keys a generating task holds.
 HELD = 500_000
 KEYS = 1 << 18
+# Bits of the filter for each word, up to 16 MB in all.
+BITS_A_WORD, FILTER_BITS = 16, 1 << 27
+# Longer words travel as numbers until they have met.
+LONG = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -89,9 +95,15 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def reduced_key(forms: np.ndarray) -> np.ndarray:
     """Hash of each row of symbols."""
-    return (forms * _powers(forms.shape[1])).sum(axis=1, dtype=np.uint64)
+    return _mixed((forms * _powers(forms.shape[1])).sum(axis=1, dtype=np.uint64))
 
 
 def neighbour_keys(forms: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +141,7 @@ def neighbour_keys(forms: np.ndarray, start: int, stop: int) -> tuple[np.ndarray
     for symbol in range(1, SYMBOLS + 1):
         other = np.uint64(symbol)
         add(moved + other * power[spots], ahead != other)
-    return np.concatenate(rows), np.concatenate(keys)
+    return np.concatenate(rows), _mixed(np.concatenate(keys))
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -145,29 +157,52 @@ def _by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
 
 
 def with_reduced(words: DataFrame) -> DataFrame:
-    """(word, n, key): the hash of each word's reduced form."""
-    arrow = to_arrow_schema(StructType.fromDDL("word string, n bigint, key bigint"))
+    """(word, n, key, ...): adds the hash of each word's reduced form."""
+    schema = StructType([*words.schema.fields]).add("key", "long")
+    arrow = to_arrow_schema(schema)
 
     def batches(parts):
         for part in parts:
             key = np.zeros(part.num_rows, np.uint64)
             for rows, forms in _by_length(part.column("word").to_pylist()):
                 key[rows] = reduced_key(forms)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("word"), part.column("n"), pa.array(key.view(np.int64))], schema=arrow
-            )
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key.view(np.int64))], schema=arrow)
+
+    return words.mapInArrow(batches, schema)
+
+
+def key_filter(reduced: DataFrame, words: int) -> np.ndarray:
+    """Bits set at two places of each key of ``reduced``, as 64-bit words; its size follows the number of words."""
+    bits = min(FILTER_BITS, max(64, 1 << (BITS_A_WORD * words - 1).bit_length()))
+    spots = F.array(F.col("key"), F.shiftrightunsigned("key", 32))
+    at = reduced.select(F.explode(spots).alias("at")).select(F.col("at").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    set_bits = at.groupBy(F.shiftright("at", 6).alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")
+    )
+    found = set_bits.toArrow()  # at most FILTER_BITS / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[found["cell"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
 
-    return words.select("word", "n").mapInArrow(batches, "word string, n bigint, key bigint")
 
+def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(keys), bool)
+    for at in (keys, keys >> np.uint64(32)):
+        at = at & np.uint64(len(bits) * 64 - 1)
+        ok &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return ok
 
-def with_neighbours(words: DataFrame) -> DataFrame:
-    """(word, key): the hashes of the reduced forms within one edit of each word's."""
-    arrow = to_arrow_schema(StructType.fromDDL("word string, key bigint"))
+
+def with_neighbours(words: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """(column, key): the hashes of the reduced forms within one edit of each word's, as far as the filter knows them."""
+    schema = StructType([words.schema[column]]).add("key", "long")
+    arrow = to_arrow_schema(schema)
+    shipped = words.sparkSession.sparkContext.broadcast(bits)
 
     def batches(parts):
         for part in parts:
-            column = part.column("word")
-            for rows, forms in _by_length(column.to_pylist()):
+            named = part.column(column)
+            for rows, forms in _by_length(part.column("word").to_pylist()):
                 of = np.array(rows)
                 each = 2 * SYMBOLS + 1
                 step = max(1, KEYS // each // len(rows))
@@ -175,20 +210,32 @@ def with_neighbours(words: DataFrame) -> DataFrame:
                 for low in range(0, len(rows), few):
                     for start in range(0, forms.shape[1] + 1, step):
                         row, key = neighbour_keys(forms[low : low + few], start, start + step)
+                        some = _passes(key, shipped.value)
                         yield pa.RecordBatch.from_arrays(
-                            [column.take(pa.array(of[low + row])), pa.array(key.view(np.int64))], schema=arrow
+                            [named.take(pa.array(of[low + row[some]])), pa.array(key[some].view(np.int64))], schema=arrow
                         )
 
-    return words.select("word").mapInArrow(batches, "word string, key bigint")
+    return words.mapInArrow(batches, schema)
 
 
-def near_words(words: DataFrame, small: bool = False) -> DataFrame:
+def near_words(words: DataFrame) -> DataFrame:
     """(word, other, other_n): all pairs of ``words`` (word, n) exactly one edit apart, both ways round."""
-    vocabulary = with_reduced(words).select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    close = (F.col("word") != F.col("other")) & (
-        F.abs(F.length("word") - F.length("other")) <= 1
-    ) & (F.levenshtein("word", "other", 1) == 1)
-    return with_neighbours(words).join(lookup(vocabulary, small), "key").filter(close).select("word", "other", "other_n")
+    one_edit = (F.abs(F.length("word") - F.length("other")) <= 1) & (F.levenshtein("word", "other", 1) == 1)
+    short = store(with_reduced(words.filter(F.length("word") <= LONG).select("word", "n")))
+    other = short.df.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    found = with_neighbours(short.df, "word", key_filter(short.df, short.rows)).join(other, "key").filter(one_edit)
+    found = found.select("word", "other", "other_n")
+    long = words.filter(F.length("word") >= LONG).withColumn("id", F.monotonically_increasing_id())
+    long = store(with_reduced(stored(long)))
+    if long.df.filter(F.length("word") > LONG).limit(1).count():
+        looking = with_neighbours(long.df, "id", key_filter(long.df, long.rows))
+        met = looking.join(long.df.select("key", F.col("id").alias("other_id")), "key").filter("id <> other_id")
+        strings = long.df.select("id", "word")
+        others = long.df.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+        both = stored(met.select("id", "other_id")).join(strings, "id").join(others, "other_id")
+        both = both.filter((F.greatest(F.length("word"), F.length("other")) > LONG) & one_edit)
+        found = found.unionByName(both.select("word", "other", "other_n"))
+    return found
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -227,7 +274,7 @@ def group_variants(
         word_counts(texts).groupBy("word").agg(F.sum("n").alias("n"))
         .filter((F.col("n") >= min_count) & (F.length("word") >= min_length))
     )
-    near = near_words(words.df, words.small).groupBy("word").agg(
+    near = near_words(words.df).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best")
     )
     named = words.df.join(near, "word", "left")
