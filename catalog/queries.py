@@ -262,6 +262,28 @@ def fit_trees_deep(spark, sf):
     return rounded(out, 6, "upsilon", "hit_rate")
 
 
+@query
+def fit_trees_rare(spark, sf):
+    """Fully grown trees, default arguments, where the strongest predictor has rare tokens only."""
+    model = tr.fit_trees(fx.runs(spark, sf), fx.RUNS)
+    return model.tokens.df.select(
+        model.target_name().alias("target"), F.concat_ws(",", "leaf").alias("path"), "token", "n"
+    )
+
+
+@query
+def permutation_screen(spark, sf):
+    """Every (target, predictor) of a table with rare tokens, by seeded permutations."""
+    return rounded(tr.permutation_screen(fx.runs(spark, sf), fx.RUNS, draws=199, seed=1), 5, "chi2", "z", "p_perm")
+
+
+@query
+def upsilon_rows_grown(spark, sf):
+    """Row scores under fully grown trees."""
+    model = tr.fit_trees(fx.cust(spark, sf), fx.CUST)
+    return rounded(al.upsilon_rows(cust_perm(spark, sf), model), 9, "upsilon")
+
+
 def cust_tree(spark, sf):
     """Learned depth-one trees: SQL can still grow them."""
     return tr.fit_trees(fx.cust(spark, sf), fx.CUST, max_depth=1)
@@ -432,6 +454,13 @@ def gen_lsm(spark, sf):
     return rounded(al.upsilon_by_target(synth, model), 6, "upsilon", "hit_rate")
 
 
+@query
+def gen_lsm_rows(spark, sf):
+    """The sampled rows themselves."""
+    real = fx.cust(spark, sf)
+    return lsm.gen_lsm(ge.ids(real, real.count()), tr.fit_trees(real, fx.CUST), 11)
+
+
 @query
 def complete_rows(spark, sf):
     """Blanks filled under a model of the same table, blanks and all."""

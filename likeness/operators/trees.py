@@ -9,7 +9,6 @@ distributions, is computed from those counts alone.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from likeness.functions.bounds import chi2_z, critical_z
 from likeness.functions.draws import uniform
 from likeness.operators.conditionals import ConditionalModel, build_model, descend, root_leaf
 from likeness.operators.frames import tokenise
+from likeness.operators.permutation import permutation_null
 from likeness.plans.materialise import Stored, store
 
 
@@ -75,10 +75,11 @@ def contingency(
 
 
 def association(counts: DataFrame) -> DataFrame:
-    """(target, leaf, pred, n, chi2, dof, z) from observed cells only.
+    """(target, leaf, pred, n, top, chi2, dof, z) from observed cells only.
 
     ``chi2 = n (sum O^2 / (r c) - 1)``: cells never seen contribute nothing.
-    Two aggregations, first per predictor token, then per predictor.
+    Two aggregations, first per predictor token, then per predictor.  ``top`` counts
+    the predictor's most frequent token.
     """
     seen = counts.filter(F.col("w") > 0)
     node_y = (
@@ -93,14 +94,19 @@ def association(counts: DataFrame) -> DataFrame:
     levels = node_y.groupBy("target", "leaf", "pred").agg(F.count(F.lit(1)).alias("ky"))
     stats = (
         per_x.groupBy("target", "leaf", "pred")
-        .agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("kx"), F.sum(F.col("s") / F.col("r")).alias("q"))
+        .agg(
+            F.sum("r").alias("n"),
+            F.max("r").alias("top"),
+            F.count(F.lit(1)).alias("kx"),
+            F.sum(F.col("s") / F.col("r")).alias("q"),
+        )
         .join(levels, ["target", "leaf", "pred"])
         .filter((F.col("kx") > 1) & (F.col("ky") > 1))
     )
     chi2 = F.col("n") * (F.col("q") - F.lit(1.0))
     dof = (F.col("kx") - 1) * (F.col("ky") - 1)
     return stats.select(
-        "target", "leaf", "pred", "n", chi2.alias("chi2"), dof.alias("dof"), F.round(chi2_z(chi2, dof), 9).alias("z")
+        "target", "leaf", "pred", "n", "top", chi2.alias("chi2"), dof.alias("dof"), F.round(chi2_z(chi2, dof), 9).alias("z")
     )
 
 
@@ -132,10 +138,48 @@ def chi2_screen(
     )
 
 
-def choose_splits(stats: DataFrame, preds: dict[int, list[int]], alpha: float, min_node: int) -> DataFrame:
-    """(target, leaf, split): the strongest significant predictor; ties go to the lower index."""
+def permutation_screen(
+    df: DataFrame,
+    features: Sequence[str],
+    alpha: float = 0.05,
+    allowed: Mapping[str, Sequence[str]] | None = None,
+    draws: int = 999,
+    seed: int = 0,
+) -> DataFrame:
+    """(target, predictor, n, chi2, z, p_perm, rejected): the screen's statistic beside its permutation null.
+
+    ``p_perm`` needs no large expected counts, so it also holds for rare tokens.
+    """
+    features = list(features)
+    preds = allowed_indices(features, allowed)
+    counts = store(contingency(record_weights(df, features, None, 0), features, preds, None, 0)).df
+    names = F.array(*[F.lit(f) for f in features])
+    tested = association(counts).join(permutation_null(counts, draws, seed), ["target", "leaf", "pred"])
+    return tested.select(
+        names[F.col("target")].alias("target"),
+        names[F.col("pred")].alias("predictor"),
+        "n",
+        "chi2",
+        "z",
+        "p_perm",
+        (F.col("p_perm") <= bonferroni(preds, alpha)).alias("rejected"),
+    )
+
+
+def bonferroni(preds: dict[int, list[int]], alpha: float, target="target") -> Column:
+    values = [alpha / len(preds[i]) if preds[i] else None for i in sorted(preds)]
+    return F.array(*[F.lit(v).cast("double") for v in values])[F.col(target)]
+
+
+def choose_splits(stats: DataFrame, significant: Column, min_node: int, min_leaf: int) -> DataFrame:
+    """(target, leaf, split): the strongest significant predictor; ties go to the lower index.
+
+    A predictor whose tokens are all rarer than ``min_leaf`` would have one child, the pool of
+    all rows, and is no split.  So a chosen predictor has a child of its own for some token and below
+    it is constant there, and rare throughout the pool: no path splits twice on one predictor.
+    """
     return (
-        stats.filter((F.col("n") >= min_node) & (F.col("z") > critical_for(preds, alpha)))
+        stats.filter((F.col("n") >= min_node) & (F.col("top") >= min_leaf) & significant)
         .groupBy("target", "leaf")
         .agg(F.max(F.struct(F.col("z"), (-F.col("pred")).alias("neg"))).alias("best"))
         .select("target", "leaf", (-F.col("best.neg")).cast("int").alias("split"))
@@ -182,18 +226,23 @@ def fit_trees(
     allowed: Mapping[str, Sequence[str]] | None = None,
     honest_id: str | None = None,
     seed=0,
+    draws: int | None = None,
 ) -> ConditionalModel:
     """One multiway tree per column; a pass over the distinct records for each level.
 
     Growth ends where no predictor is significant or nodes are too small; a tree is at
     most as deep as it has predictors, and ``max_depth`` may end it earlier.  Blanks are
-    missing values: no tokens, and no branches.
+    missing values: no tokens, and no branches.  ``draws`` tests by that many seeded permutations
+    instead of the chi-square limit; it must allow p-values below alpha over the predictors.
     ``honest_id`` names a row id and switches on honest splitting.  State
     between levels is the stored tree, not a per-record assignment, so lineage
     never grows.
     """
     features = list(features)
     preds = allowed_indices(features, allowed)
+    most = max(map(len, preds.values()), default=0)
+    if draws is not None and most and 1.0 / (draws + 1) > alpha / most:
+        raise ValueError(f"{draws} draws cannot reach a p-value of {alpha / most:.3g}")
     records = store(record_weights(df, features, honest_id, seed)).df
     root_cells = F.array(
         *[F.struct(F.lit(i).alias("target"), F.col(f).alias("token")) for i, f in enumerate(features)]
@@ -207,11 +256,15 @@ def fit_trees(
     )
     tokens, edges, root_split, depth = [roots], None, {}, 0
     grown = None
-    for level in count() if max_depth is None else range(max_depth):
-        if not any(preds.values()):
-            break
+    for level in range(most if max_depth is None else min(most, max_depth)):
         counts = store(contingency(records, features, preds, grown, level)).df
-        splits = store(choose_splits(association(counts), preds, alpha, min_node))
+        stats = association(counts)
+        if draws is None:
+            significant = F.col("z") > critical_for(preds, alpha)
+        else:
+            stats = stats.join(permutation_null(counts, draws, seed), ["target", "leaf", "pred"])
+            significant = F.col("p_perm") <= bonferroni(preds, alpha)
+        splits = store(choose_splits(stats, significant, min_node, min_leaf))
         if splits.rows == 0:
             break
         if level == 0:

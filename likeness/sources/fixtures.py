@@ -9,6 +9,7 @@ CUST = ["region", "nation", "segment", "bal"]
 LINE = ["flag", "status", "disc", "tax", "ship_year", "ship_qtr", "ship_half"]
 PART = ["brand", "type", "size_band", "price_band"]
 ORD = ["status", "priority", "year", "month"]
+RUNS = ["run", "wave", "segment", "mixed"]
 NUM3 = ["l_quantity", "l_extendedprice", "l_discount"]
 
 CUST_CONTEXTS = {
@@ -57,6 +58,19 @@ def cust_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``run`` has no token of more than three rows and decides ``wave``; ``mixed`` has rare and frequent tokens."""
+    key = F.col("c_custkey")
+    run = F.floor(key / 3)
+    return table(spark, sf_dir, "customer").select(
+        key.alias("row_id"),
+        _int_token(run).alias("run"),
+        _int_token(run % 10).alias("wave"),
+        F.col("c_mktsegment").alias("segment"),
+        F.when(key % 2 == 0, _int_token(F.col("c_nationkey"))).otherwise(_int_token(F.floor(key / 5))).alias("mixed"),
+    )
+
+
 def line_id() -> Column:
     """(order, line number) repeats in these tables; with part, supplier and date it does not."""
     return F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").cast("string"))

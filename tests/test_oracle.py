@@ -3,8 +3,8 @@
 import pytest
 
 from tests.conftest import SF
-from catalog.oracle import ORACLE
 from catalog.queries import QUERIES
+from catalog.tree_oracle import ORACLE
 from tools.check_oracle import compare, duck
 
 

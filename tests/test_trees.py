@@ -2,14 +2,17 @@
 
 import math
 from collections import Counter, defaultdict
+from itertools import permutations
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from likeness.operators import alignment as al
 from likeness.operators import conditionals as co
 from likeness.operators import frames as fr
+from likeness.operators import permutation
 from likeness.operators import trees as tr
 from likeness.plans import materialise as mat
 from likeness.sources import fixtures as fx
@@ -38,7 +41,11 @@ def brute(rows, target, depth, alpha=0.05, min_node=20, min_leaf=7, path=()):
         return leaves
     preds = [j for j in range(len(COLS)) if j != target]
     crit = NormalDist().inv_cdf(1 - alpha / len(preds))
-    scored = [(z, -j) for j in preds if (z := z_score(rows, j, target)) is not None and z > crit]
+    scored = [
+        (z, -j)
+        for j in preds
+        if (z := z_score(rows, j, target)) is not None and z > crit and max(Counter(r[j] for r in rows).values()) >= min_leaf
+    ]
     if not scored:
         return leaves
     j = -max(scored)[1]
@@ -130,3 +137,91 @@ def test_distance_between_a_tree_and_a_context_model(toy, tree):
     other = co.fit_context(toy, COLS, {"b": ["a"]})
     row = al.map_distance(toy, tree, other).first()
     assert 0.0 < row["distance"] < 1.0 and row["m"] == 300
+
+
+def test_growth_ends_where_every_token_is_rare(spark):
+    """Two columns that determine each other, all tokens rare: the pool of all rows is no split."""
+    rows = [(i, str(i // 3), str(i // 6)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id bigint, a string, b string")
+    model = tr.fit_trees(df, ["a", "b"])
+    assert model.depth == 0 and model.edges is None
+
+
+def test_no_tree_is_deeper_than_its_predictors(spark):
+    # Some frequent tokens, many rare ones, everything associated.
+    rows = [(i, str(i % 4) if i % 3 else f"r{i // 4}", str(i % 8) if i % 5 else f"q{i // 4}", str(i // 5 % 6)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id bigint, a string, b string, c string")
+    cols = ["a", "b", "c"]
+    model = tr.fit_trees(df, cols)
+    leaves = [tuple(r["leaf"]) for r in model.leaves.df.collect()]
+    assert 1 <= model.depth <= 2
+    for path in leaves:
+        used = [label.split("=")[0].rstrip("*") for label in path]
+        assert len(used) == len(set(used))
+    got = {(r["target"], tuple(r["leaf"]), r["token"]): r["n"] for r in model.tokens.df.collect()}
+    plain = [tuple(r[1:]) + ("",) for r in rows]
+    expected = {}
+    for t in range(3):
+        for path, seen in brute_three(plain, t).items():
+            expected |= {(t, path, tok): n for tok, n in seen.items()}
+    assert got == expected
+
+
+def brute_three(rows, target):
+    """The recursive fit over three columns, without a bound on the depth."""
+    global COLS
+    kept, COLS = COLS, ["a", "b", "c"]
+    try:
+        return brute(rows, target, 99)
+    finally:
+        COLS = kept
+
+
+def exact_p(pairs):
+    """Share of all matchings of the two columns that are at least as associated."""
+    xs, ys = zip(*pairs)
+
+    def q(y):
+        o, r, c = Counter(zip(xs, y)), Counter(xs), Counter(y)
+        return sum(n * n / (r[i] * c[j]) for (i, j), n in o.items())
+
+    here = q(ys) * (1 - 1e-9)
+    found = [q(y) >= here for y in permutations(ys)]
+    return sum(found) / len(found)
+
+
+@pytest.mark.parametrize("pairs", ["ap ap bq bq cq cr ap", "ap aq bp bq cp cq dr", "ap ap ap bq bq bq bp"])
+def test_permutation_null_equals_all_matchings(spark, pairs):
+    pairs = [tuple(p) for p in pairs.split()]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "row_id bigint, a string, b string")
+    got = {r["target"]: r["p_perm"] for r in tr.permutation_screen(df, ["a", "b"], draws=4999).collect()}
+    assert got["a"] == pytest.approx(exact_p(pairs), abs=0.03)
+    assert got["b"] == pytest.approx(exact_p(pairs), abs=0.03)
+
+
+def test_both_ways_of_drawing_agree():
+    rows, columns = np.array([40, 25, 35]), np.array([50, 30, 20])
+    by_cell = permutation.drawn_statistics(rows, columns, 4000, np.random.default_rng(1))
+    rng = np.random.default_rng(2)
+    x, y = np.repeat(np.arange(3), rows), np.repeat(np.arange(3), columns)
+    by_row = []
+    for _ in range(4000):
+        table = np.zeros((3, 3))
+        np.add.at(table, (x, rng.permutation(y)), 1)
+        by_row.append((table**2 / np.outer(rows, columns)).sum())
+    assert by_cell.mean() == pytest.approx(np.mean(by_row), rel=0.01)
+    for p in (0.5, 0.9, 0.99):
+        assert np.quantile(by_cell, p) == pytest.approx(np.quantile(by_row, p), rel=0.02)
+    # The mean under permutation is known: chi2 = n (q - 1) has n / (n - 1) * dof.
+    assert (100 * (by_cell - 1)).mean() == pytest.approx(100 / 99 * 4, rel=0.06)
+    huge = permutation.drawn_statistics(rows * 10**8, columns * 10**8, 4000, np.random.default_rng(3))
+    assert (10**10 * (huge - 1)).mean() == pytest.approx(4, rel=0.06)
+
+
+def test_trees_by_permutation_and_their_repeat(toy, tree):
+    by_draws = tr.fit_trees(toy, COLS, max_depth=1, draws=199, seed=3)
+    again = tr.fit_trees(toy.repartition(3), COLS, max_depth=1, draws=199, seed=3)
+    assert by_draws.root_split == again.root_split
+    assert {t: s for t, s in tree.root_split.items() if t != 3} == {t: s for t, s in by_draws.root_split.items() if t != 3}
+    with pytest.raises(ValueError, match="draws cannot reach"):
+        tr.fit_trees(toy, COLS, draws=19)
