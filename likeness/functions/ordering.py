@@ -183,6 +183,22 @@ def inverse_cdf_guide(
     )
 
 
+def token_order_guide(counts: DataFrame, by: Sequence[str], token: str = "token", n: str = "n") -> DataFrame:
+    """Like :func:`inverse_cdf_guide` with tokens in their own order.
+
+    The order is cut into ranges of (group, token), whose numbers are the buckets, so a
+    group with very many tokens spreads over tasks.
+    """
+    by = list(by)
+    ranged = store(counts.repartitionByRange(*by, token).withColumn("_bucket", F.spark_partition_id())).df
+    placed = running_total(ranged, "_bucket", [token], n, "lo", by)
+    totals = ranged.groupBy(*by).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("k"))
+    joined = placed.join(totals, by).withColumn("hi", F.col("lo") + F.col(n))
+    first = guide_cell(F.col("lo"), F.col("k"), F.col("total"))
+    last = guide_cell(F.col("hi") - 1, F.col("k"), F.col("total"))
+    return joined.select(*by, F.explode(F.sequence(first, last)).alias("cell"), token, "lo", "hi")
+
+
 def guide_cell(idx: Column, k: Column, total: Column) -> Column:
     # decimal keeps idx * k exact where a bigint product could overflow
     product = idx.cast("decimal(20,0)") * k.cast("decimal(18,0)")

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +13,15 @@ from likeness.operators.conditionals import (
     Probe,
     place,
     probabilities,
+    root_leaf,
     score,
 )
 from likeness.operators.frames import label_union, tokenise
+from likeness.operators.lsm import array_values
 
-# Wide scoring plans two joins per column; beyond this the long form plans better.
-WIDE_COLUMNS = 32
+# Scoring a row on the row itself plans two joins a column and one for each level of its tree.  Beyond so
+# many the plan itself is the burden, and a worker looks all columns up in arrays.
+WIDE_JOINS = 96
 
 
 def score_counts(df: DataFrame, model: ConditionalModel, by: Sequence[str] = (), epsilon: float = 0.0) -> DataFrame:
@@ -90,57 +90,105 @@ def upsilon_summary(
 
 
 def can_score_wide(model: ConditionalModel) -> bool:
-    return model.kind == "context" and model.small and len(model.features) <= WIDE_COLUMNS
+    """Whether rows can be scored where they are, without a shuffle."""
+    return model.small
 
 
-def wide_values(df: DataFrame, model: ConditionalModel, keep: Sequence[str], epsilon: float = 0.0) -> DataFrame:
-    """(keep..., v0, v1, ...): every coordinate of a row scored on the row itself.
+def tree_depths(model: ConditionalModel) -> dict[int, int]:
+    """Levels of each column's tree; one row per column comes to the driver."""
+    if model.kind != "tree" or model.edges is None:
+        return {}
+    rows = model.edges.df.groupBy("target").agg(F.max(F.size("child")).alias("d")).collect()
+    return {r["target"]: r["d"] for r in rows}
+
+
+def wide_descent(out: DataFrame, model: ConditionalModel, i: int, depth: int) -> DataFrame:
+    """Add ``_leaf``, the leaf of column ``i``'s tree that a row falls in: a broadcast lookup a level.
 
-    Two broadcast lookups per column on plain string keys and no shuffle at all,
-    so it also runs on a stream.  Needs a model below the broadcast bound.
+    A row that found no edge has no further split, and its lookups compare with NULL.
     """
+    out = out.withColumns({"_leaf": root_leaf(), "_split": F.lit(model.root_split.get(i)).cast("int")})
+    toks = F.array(*model.features)
+    for level in range(depth):
+        edges = model.edges.df.filter((F.col("target") == i) & (F.size("leaf") == level)).select(
+            F.col("leaf").alias("_from"), F.col("token").alias("_token"),
+            F.col("child").alias("_child"), F.col("child_split").alias("_next"),
+        )
+        on = (F.get(toks, F.col("_split")) == F.col("_token")) & (F.col("_leaf") == F.col("_from"))
+        out = out.join(F.broadcast(edges), on, "left").withColumns(
+            {"_leaf": F.coalesce("_child", "_leaf"), "_split": F.when(F.col("_child").isNotNull(), F.col("_next"))}
+        ).drop("_from", "_token", "_child", "_next")
+    return out.drop("_split")
+
+
+def wide_counts(df: DataFrame, model: ConditionalModel, keep: Sequence[str]) -> DataFrame:
+    """(keep..., features..., _o0, _n0, _m0, ...): observed count, leaf total and leaf maximum of every coordinate."""
     features = model.features
+    depths = tree_depths(model)
     out = tokenise(df, features, keep)
-    values = []
     for i, f in enumerate(features):
-        ctx = model.contexts[i]
-        n, top = model.roots.get(i, (None, None))[:2]
-        keys = [f"_c{p}" for p in range(len(ctx))]
-        at_leaf = (F.col("target") == i) & (F.size("leaf") == len(ctx))
-        at_root = (F.col("target") == i) & (F.size("leaf") == 0)
-        path = [F.col("leaf")[p].alias(k) for p, k in enumerate(keys)]
-        leaf_n, leaf_max, known = F.lit(n).cast("bigint"), F.lit(top).cast("bigint"), F.lit(True)
-        if ctx:
-            stats = model.leaves.df.filter(at_leaf).select(
-                *path, F.col("n").alias(f"_n{i}"), F.col("n_max").alias(f"_m{i}")
-            )
-            on = [F.col(features[j]) == F.col(k) for j, k in zip(ctx, keys)]
-            out = out.join(F.broadcast(stats), reduce(and_, on), "left").drop(*keys)
-            known = F.col(f"_n{i}").isNotNull()
-            leaf_n, leaf_max = F.coalesce(f"_n{i}", leaf_n), F.coalesce(f"_m{i}", leaf_max)
-        counts = model.tokens.df.filter(at_leaf).select(
-            F.lit(True).alias("_known"), *path, F.col("token").alias("_token"), F.col("n").alias(f"_o{i}")
+        n, top = (F.lit(v).cast("bigint") for v in model.roots.get(i, (None, None))[:2])
+        mine = model.leaves.df.filter(F.col("target") == i)
+        counts = model.tokens.df.filter(F.col("target") == i).select(
+            F.col("leaf").alias("_at"), F.col("token").alias("_token"), F.col("n").alias(f"_o{i}")
         )
-        if ctx:  # an unseen context looks its token up in the marginal
-            blank = [F.lit("").alias(k) for k in keys]
-            counts = counts.unionByName(
-                model.tokens.df.filter(at_root).select(
-                    F.lit(False).alias("_known"), *blank, F.col("token").alias("_token"), F.col("n").alias(f"_o{i}")
-                )
-            )
-        on = [known == F.col("_known"), F.col(f) == F.col("_token")]
-        on += [F.when(known, F.col(features[j])).otherwise("") == F.col(k) for j, k in zip(ctx, keys)]
-        out = out.join(F.broadcast(counts), reduce(and_, on), "left").drop("_known", "_token", *keys)
-        obs = F.coalesce(F.col(f"_o{i}"), F.lit(0).cast("bigint"))
-        v = probabilities(obs, leaf_n, leaf_max, F.lit(0), epsilon)["v"]
+        rooted = (not depths.get(i)) if model.kind == "tree" else not model.contexts[i]
+        if rooted:
+            out = out.withColumns({"_leaf": root_leaf(), f"_n{i}": n, f"_m{i}": top})
+        else:
+            if model.kind == "tree":
+                out = wide_descent(out, model, i, depths[i])
+            else:
+                out = out.withColumn("_leaf", F.array(*[F.col(features[j]) for j in model.contexts[i]]))
+            stats = mine.select(F.col("leaf").alias("_at"), F.col("n").alias("_ln"), F.col("n_max").alias("_lm"))
+            # A leaf nothing is known of falls back to the marginal.
+            out = out.join(F.broadcast(stats), F.col("_leaf") == F.col("_at"), "left").withColumns(
+                {
+                    "_leaf": F.when(F.col("_ln").isNull(), root_leaf()).otherwise(F.col("_leaf")),
+                    f"_n{i}": F.coalesce("_ln", n),
+                    f"_m{i}": F.coalesce("_lm", top),
+                }
+            ).drop("_at", "_ln", "_lm")
+        on = (F.col(f) == F.col("_token")) & (F.col("_leaf") == F.col("_at"))
+        out = out.join(F.broadcast(counts), on, "left").drop("_token", "_at", "_leaf")
+        out = out.withColumn(f"_o{i}", F.coalesce(f"_o{i}", F.lit(0).cast("bigint")))
+    return out
+
+
+def planned_joins(model: ConditionalModel) -> int:
+    return 2 * len(model.features) + len(model.features) * (model.depth if model.kind == "tree" else 0)
+
+
+def wide_values(df: DataFrame, model: ConditionalModel, keep: Sequence[str], epsilon: float = 0.0) -> DataFrame:
+    """(keep..., v0, v1, ...): every coordinate of a row scored on the row itself.
+
+    Broadcast lookups, or beyond ``WIDE_JOINS`` one pass over arrays, and no shuffle at all, so
+    it also runs on a stream.  Needs a model below the broadcast bound.
+    """
+    if planned_joins(model) > WIDE_JOINS:
+        return array_values(df, model, keep, epsilon)
+    values = []
+    for i, f in enumerate(model.features):
+        v = probabilities(F.col(f"_o{i}"), F.col(f"_n{i}"), F.col(f"_m{i}"), F.lit(0), epsilon)["v"]
         values.append(F.when(F.col(f) != "", v).alias(f"v{i}"))
-    return out.select(*keep, *values)
+    return wide_counts(df, model, keep).select(*keep, *values)
 
 
 def upsilon_matrix(
     df: DataFrame, model: ConditionalModel, keep: Sequence[str] = ("row_id",), epsilon: float = 0.0
 ) -> DataFrame:
-    """(keep..., target, p_obs, p_max, v) for every coordinate; no shuffle while the model is small."""
+    """(keep..., target, p_obs, p_max, v) for every coordinate; no shuffle while the model is small.
+
+    Trees are descended once on the row, instead of once for each of its coordinates with all its tokens.
+    """
+    if model.kind == "tree" and model.small and planned_joins(model) <= WIDE_JOINS:
+        cells = []
+        for i, f in enumerate(model.features):
+            k = F.lit(model.roots.get(i, (None, None, None))[2]).cast("bigint")
+            parts = probabilities(F.col(f"_o{i}"), F.col(f"_n{i}"), F.col(f"_m{i}"), k, epsilon)
+            seen = {name: parts[name] if name == "p_max" else F.when(F.col(f) != "", parts[name]) for name in ("p_obs", "p_max", "v")}
+            cells.append(F.struct(F.lit(f).alias("target"), *[c.alias(name) for name, c in seen.items()]))
+        return wide_counts(df, model, keep).select(*keep, F.inline(F.array(*cells)))
     cells = score(place(df, [model], keep), model, epsilon).withColumn("target", model.target_name())
     return cells.select(*keep, "target", "p_obs", "p_max", "v")
 

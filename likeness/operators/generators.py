@@ -238,7 +238,7 @@ def gen_batches(rows: DataFrame, features: Sequence[str], fill: Callable) -> Dat
         for batch in batches:
             made = pd.DataFrame(dict(fill(batch["row_id"].to_numpy())))
             if list(made.columns) != features:
-                raise ValueError(f"Got: {list(made.columns)} Expected: {features}")
+                raise ValueError(f"the batch callable made the columns {list(made.columns)}, not the features {features}")
             made.insert(0, "row_id", batch["row_id"].to_numpy())
             yield made.astype({f: str for f in features})
 

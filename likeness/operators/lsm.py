@@ -1,7 +1,9 @@
 """Tree sampling: fill a row's coordinates in random order from their conditionals.
 
-The order differs from row to row, so this runs on Arrow batches with numpy;
-Spark partitions the rows and ships the (size-checked) model to each worker.
+The order differs from row to row.  A model below the broadcast bound is shipped to the workers
+as flat arrays and rows are filled batch by batch (:class:`LeafSampler`).  A larger one stays
+a table: each step is one join of all rows, whichever column each visits, with leaves
+and guide cells (:func:`sample_by_joins`).  Both draw the same rows.
 """
 
 from __future__ import annotations
@@ -9,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions.draws import uniform
-from likeness.operators.conditionals import ConditionalModel
+from likeness.functions.ordering import draw_index, guide_cell, token_order_guide
+from likeness.operators.conditionals import ConditionalModel, Probe, descend, root_leaf, settle
 from likeness.operators.frames import tokenise
+from likeness.plans.materialise import keyed_join, store
 
 
 class LeafSampler:
@@ -22,7 +26,7 @@ class LeafSampler:
 
     def __init__(self, model: ConditionalModel):
         if not model.small:
-            raise ValueError("model too large to ship to workers; bar high-cardinality predictors first")
+            raise ValueError("only a model below the broadcast bound is shipped to workers")
         n = len(model.features)
         self.kind, self.depth, self.contexts = model.kind, model.depth, model.contexts
         tokens = sorted(((r["target"], tuple(r["leaf"]), r["token"], r["n"]) for r in model.tokens.df.collect()))
@@ -40,6 +44,7 @@ class LeafSampler:
             counts.append(cnt)
             owner.append(lid)
         self.codes = np.array(codes, dtype=np.int64)
+        self.starts = np.searchsorted(np.array(owner, dtype=np.int64), np.arange(len(self.leaf_id)))
         self.upto = np.cumsum(np.array(counts, dtype=np.int64))
         self.size = np.bincount(np.array(owner), weights=np.array(counts), minlength=len(self.leaf_id)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
@@ -119,22 +124,133 @@ class LeafSampler:
         return state
 
 
+class LeafScorer(LeafSampler):
+    """The same arrays, asked for counts instead of draws."""
+
+    def __init__(self, model: ConditionalModel):
+        super().__init__(model)
+        owner = np.repeat(np.arange(len(self.size)), np.diff(np.append(self.starts, len(self.codes))))
+        counts = np.diff(np.concatenate([[0], self.upto]))
+        self.key = owner * self.base + self.codes
+        by_key = np.argsort(self.key, kind="stable")
+        self.key, self.seen = self.key[by_key], counts[by_key]
+        self.most = np.zeros(len(self.size), np.int64)
+        np.maximum.at(self.most, owner, counts)
+
+    def values(self, target: int, state: np.ndarray, epsilon: float) -> np.ndarray:
+        """Alignment of ``target`` for each row of codes; NaN where it is blank or has no model."""
+        code = state[:, target]
+        if self.root[target] < 0 or not len(state):
+            return np.full(len(state), np.nan)
+        leaf = self.route(target, state)
+        key = leaf * self.base + np.where((code >= 0) & (code < self.base), code, 0)
+        pos = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        known = (self.key[pos] == key) & (code >= 0) & (code < self.base)
+        n, top = np.where(known, self.seen[pos], 0), self.most[leaf]
+        v = n / top if epsilon == 0.0 else (n / self.size[leaf] + epsilon) / (top / self.size[leaf] + epsilon)
+        return np.where(code == -1, np.nan, v)
+
+
+def coded(sampler: LeafSampler, batch, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token codes of a batch (-1: blank) and where a token is outside the alphabet."""
+    state = np.empty((len(batch), len(features)), dtype=np.int64)
+    for j, f in enumerate(features):
+        state[:, j] = batch[f].map(sampler.code[j]).fillna(-1).to_numpy(dtype=np.int64)
+    # A token outside the alphabet is observed: it stays, and no leaf knows it.
+    unknown = (batch[list(features)].to_numpy(dtype=object) != "") & (state < 0)
+    state[unknown] = np.iinfo(np.int64).max // (sampler.base + 1)
+    return state, unknown
+
+
+def array_values(df: DataFrame, model: ConditionalModel, keep: Sequence[str], epsilon: float = 0.0) -> DataFrame:
+    """(keep..., v0, v1, ...) by lookups in arrays: one pass for any number of columns and levels."""
+    features, keep = list(model.features), list(keep)
+    names = [f"v{i}" for i in range(len(features))]
+    shipped = df.sparkSession.sparkContext.broadcast(LeafScorer(model))
+
+    def run(batches: Iterator):
+        scorer = shipped.value
+        for batch in batches:
+            state, _ = coded(scorer, batch, features)
+            out = batch[keep].copy()
+            for i, name in enumerate(names):
+                out[name] = scorer.values(i, state, epsilon)
+            yield out
+
+    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    scored = tokenise(df, features, keep).mapInPandas(run, f"{kept}, " + ", ".join(f"{v} double" for v in names))
+    return scored.select(*keep, *[F.nanvl(v, F.lit(None)).alias(v) for v in names])
+
+
+def by_target(model: ConditionalModel, make) -> Column:
+    """``make(i)`` of the column a row visits."""
+    out = None
+    for i in range(len(model.features)):
+        hit = F.col("target") == i
+        out = F.when(hit, make(i)) if out is None else out.when(hit, make(i))
+    return out
+
+
+def sample_by_joins(rows: DataFrame, model: ConditionalModel, keep: Sequence[str], seed: int, steps: int | None) -> DataFrame:
+    """The rows of :func:`run_sampler` without the model on the driver or in a worker.
+
+    Every step is stored, so a plan spans one step, and lookups split the hot keys (roots, frequent leaves).
+    """
+    features, keep = list(model.features), list(keep)
+    n = len(features)
+    guide = store(
+        token_order_guide(model.tokens.df, ["target", "leaf"]).select(
+            F.col("target").alias("_t"), F.col("leaf").alias("_leaf"), "cell", F.col("token").alias("_drawn"), "lo", "hi"
+        )
+    )
+    key = F.concat_ws("|", *keep)
+    base = tokenise(rows, features, keep)
+    if steps is None:
+        first = F.array_sort(F.array(*[F.struct(uniform(seed, f"visit|{f}", key).alias("u"), F.lit(i).alias("i")) for i, f in enumerate(features)]))
+        order = F.transform(first, lambda v: v["i"])
+        draws = F.transform(order, lambda i: F.get(F.array(*[uniform(seed, f"fill|{f}", key) for f in features]), i))
+    else:
+        order = F.array(*[F.floor(uniform(seed, f"visit|{s}", key) * n).cast("int") for s in range(steps)])
+        draws = F.array(*[uniform(seed, f"fill|{s}", key) for s in range(steps)])
+    toks = F.array(*features)
+    free = F.transform(toks, lambda x: x == "")
+    state = base.select(*keep, toks.alias("_toks"), free.alias("_free"), order.alias("_order"), draws.alias("_draws"))
+    for s in range(n if steps is None else steps):
+        at = state.withColumn("target", F.get("_order", F.lit(s)))
+        if model.kind == "tree":
+            splits = F.array(*[F.lit(model.root_split.get(i)).cast("int") for i in range(n)])
+            at = at.withColumns({"leaf0": root_leaf(), "_split": F.get(splits, F.col("target"))})
+            at = descend(at, model, "leaf0", "_split").drop("_split")
+        else:
+            context = [F.get("_toks", F.lit(i)) for i in range(n)]
+            at = at.withColumn("leaf0", by_target(model, lambda i: model.start(Probe(i, F.lit(""), context))))
+        at = settle(at, model)
+        at = at.withColumn("_idx", draw_index(F.get("_draws", F.lit(s)), "leaf_n"))
+        at = at.withColumn("cell0", guide_cell(F.col("_idx"), F.col("leaf_k"), F.col("leaf_n")))
+        cells = guide.df.withColumn("_mass", F.col("hi") - F.col("lo"))
+        met = keyed_join(
+            at, cells, {"target": "_t", "leaf0": "_leaf", "cell0": "cell"}, guide.small, "_mass", model.training_rows
+        ).filter("lo is null or (lo <= _idx and _idx < hi)")
+        # An observed coordinate stays, and so does one of a column that was always blank.
+        filled = F.transform(
+            "_toks", lambda x, i: F.when((i == F.col("target")) & F.get("_free", i), F.coalesce("_drawn", x)).otherwise(x)
+        )
+        state = store(met.select(*keep, filled.alias("_toks"), "_free", "_order", "_draws")).df
+    return state.select(*keep, *[F.get("_toks", F.lit(i)).alias(f) for i, f in enumerate(features)])
+
+
 def run_sampler(rows: DataFrame, model: ConditionalModel, keep: Sequence[str], seed: int, steps: int | None) -> DataFrame:
     """``rows`` has ``keep`` and the features, ``''`` meaning missing."""
     features, keep = list(model.features), list(keep)
+    if not model.small:
+        return sample_by_joins(rows, model, keep, seed, steps)
     n = len(features)
     shipped = rows.sparkSession.sparkContext.broadcast(LeafSampler(model))
 
     def run(batches: Iterator):
         sampler = shipped.value
         for batch in batches:
-            state = np.empty((len(batch), len(features)), dtype=np.int64)
-            for j, f in enumerate(features):
-                state[:, j] = batch[f].map(sampler.code[j]).fillna(-1).to_numpy(dtype=np.int64)
-            # A token outside the alphabet is observed: it stays, and no leaf knows it.
-            given = batch[features].to_numpy(dtype=object) != ""
-            unknown = given & (state < 0)
-            state[unknown] = np.iinfo(np.int64).max // (sampler.base + 1)
+            state, unknown = coded(sampler, batch, features)
             first = np.column_stack([batch[c].to_numpy() for c in firsts])
             draws = np.column_stack([batch[c].to_numpy() for c in drawn])
             if steps is None:  # every column once, in the order of its rank; the draw goes with the column

@@ -147,7 +147,7 @@ def test_compute_upsilon_signature(cust, cust_model):
     assert got["upsilon_mean"] == pytest.approx(rows.agg(F.avg("upsilon")).first()[0])
     with pytest.raises(NotImplementedError):
         compute_upsilon(cust)
-    with pytest.raises(ValueError, match="Expected"):
+    with pytest.raises(ValueError, match="lacks the columns .'bal'."):
         compute_upsilon(cust.drop("bal"), model=cust_model)
 
 

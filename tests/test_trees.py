@@ -225,3 +225,48 @@ def test_trees_by_permutation_and_their_repeat(toy, tree):
     assert {t: s for t, s in tree.root_split.items() if t != 3} == {t: s for t, s in by_draws.root_split.items() if t != 3}
     with pytest.raises(ValueError, match="draws cannot reach"):
         tr.fit_trees(toy, COLS, draws=19)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.01])
+def test_scores_on_the_row_equal_the_long_form(spark, toy, tree, monkeypatch, epsilon):
+    odd = toy.withColumn("a", F.when(F.col("row_id") % 7 == 0, "").when(F.col("row_id") % 11 == 0, "new").otherwise(F.col("a")))
+    long = co.score(co.place(odd, [tree], ["row_id"]), tree, epsilon)
+    cells = {(r["row_id"], COLS[r["target"]]): (r["p_obs"], r["p_max"], r["v"]) for r in long.collect()}
+    on_row = al.upsilon_matrix(odd, tree, epsilon=epsilon)
+    assert {(r["row_id"], r["target"]): (r["p_obs"], r["p_max"], r["v"]) for r in on_row.collect()} == cells
+    rows = {r["row_id"]: r["upsilon"] for r in long.groupBy("row_id").agg(F.avg("v").alias("upsilon")).collect()}
+    for joins in (96, 0):  # by joins, by arrays
+        monkeypatch.setattr(al, "WIDE_JOINS", joins)
+        got = {r["row_id"]: r["upsilon"] for r in al.upsilon_rows(odd, tree, epsilon=epsilon).collect()}
+        assert got == pytest.approx(rows)
+
+
+def test_tree_scores_do_not_shuffle(spark, toy, tree, tmp_path):
+    path = str(tmp_path / "rows")
+    toy.write.parquet(path)
+    for scored in (al.upsilon_rows, al.upsilon_matrix):
+        text = plan(scored(spark.read.parquet(path), tree))
+        assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text and "BatchEvalPython" not in text
+
+
+@pytest.mark.parametrize("columns", [4, 40])
+def test_streams_take_trees_of_any_width(spark, toy, tmp_path, columns):
+    from likeness.streaming.scoring import score_stream
+
+    wide = toy.select("row_id", *[F.concat(F.col(COLS[i % 4]), F.lit("x" * (i // 4))).alias(f"c{i}") for i in range(columns)])
+    names = wide.columns[1:]
+    model = tr.fit_trees(wide, names, max_depth=2, allowed={n: names[:4] for n in names})
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    wide.repartition(2).write.parquet(path)
+    stream = spark.readStream.schema(wide.schema).parquet(path)
+    q = score_stream(stream, model).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "mark")
+    ).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["row_id"]: r["upsilon"] for r in spark.read.parquet(out).collect()}
+    long = co.score(co.place(wide, [model], ["row_id"]), model)
+    assert got == pytest.approx({r["row_id"]: r["u"] for r in long.groupBy("row_id").agg(F.avg("v").alias("u")).collect()})
