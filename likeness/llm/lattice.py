@@ -327,8 +327,10 @@ def similar_vectors(
         )
     )
     placed = stored(placed)
-    lead = placed.groupBy("component").agg(F.min("first").alias("lead"))
-    named = placed.join(lead, "component").select("cid", "n", "n_links", F.col("lead.id").alias("component_id"))
+    lead = placed.groupBy("component").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("members"))
+    named = keyed_join(placed, lead, {"component": "component"}, False, "members", placed.count()).select(
+        "cid", "n", "n_links", F.col("lead.id").alias("component_id")
+    )
     named = known.select("cid", "h1", "h2").join(named, "cid").drop("cid")
     total = known.agg(F.sum("n")).first()[0]
     found = keyed_join(rows.select("vec_id", "h1", "h2"), named, {"h1": "h1", "h2": "h2"}, False, "n", total)

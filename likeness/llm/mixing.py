@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from likeness.functions.ordering import running_total
-from likeness.llm.common import SPACE, numbered, stored, text_of
+from likeness.functions.draws import uniform
+from likeness.functions.ordering import ranged, running_total
+from likeness.llm.common import SPACE, text_of
+from likeness.plans.materialise import keyed_join, store
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 WORD = SPACE.replace("[", "[^", 1)
-_ROUNDS = 200
+# Draws of a source are counted in so many cells, at whose edges its threshold may lie.
+CELLS = 4096
 
 
 def word_count(text: str | Column) -> Column:
@@ -23,43 +26,34 @@ def word_count(text: str | Column) -> Column:
 
 
 def source_targets(
-    sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST
+    sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST
 ) -> DataFrame:
-    """source, source_size, n_docs, target, rate from rows of (source, size).
+    """source, source_size, n_docs, target, rate from rows of (source, source_size, n_docs), one a source.
 
     Sources in code-point order, NULL last, get the weights in turn.  A target never
     exceeds ``most`` times its source; what is cut off goes to the other sources by
-    weight.  Each round is one sum over the table of sources; the shared level only
-    rises, so the rounds end when no further source is capped.
+    weight.  In the order of cap over weight, the sources before one are capped when it
+    is reached, so running sums give the shared level at each: no rounds.
     """
-    sources = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")
-    )
-    order = sources.withColumn("_one", F.lit(1).cast("bigint")).withColumn(
-        "_bucket", F.coalesce(F.concat(F.lit("s"), F.substring(F.hex("source"), 1, 4)), F.lit("t"))
-    )
-    placed = running_total(order, "_bucket", [F.col("source").asc_nulls_last()], "_one", "place")
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    table = stored(
-        placed.select(
-            "source",
-            "source_size",
-            "n_docs",
-            F.get(turn, F.pmod("place", F.lit(len(weights))).cast("int")).alias("weight"),
-            (F.col("source_size") * F.lit(float(most))).alias("cap"),
-        )
-    )
-    total = float(table.agg(F.sum("source_size")).first()[0] or 0)
-    level, seen = 0.0, -1
-    for _ in range(_ROUNDS):
-        capped = F.col("cap") <= F.col("weight") * F.lit(level)
-        held, free, n = table.agg(
-            F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight"))), F.count_if(capped)
-        ).first()
-        if n == seen or not free:
-            break
-        seen, level = n, (total - (held or 0.0)) / free
-    target = F.least(F.col("cap"), F.col("weight") * F.lit(level))
+    one = sizes.withColumn("_one", F.lit(1).cast("bigint"))
+    placed = running_total(ranged(one, F.col("source").asc_nulls_last()), "_bucket", [F.col("source").asc_nulls_last()], "_one", "place")
+    table = placed.select(
+        "source",
+        "source_size",
+        "n_docs",
+        F.get(turn, F.pmod("place", F.lit(len(weights))).cast("int")).alias("weight"),
+        (F.col("source_size") * F.lit(float(most))).alias("cap"),
+    ).withColumn("ratio", F.col("cap") / F.col("weight"))
+    table = ranged(table, "ratio", "source")
+    order = ["ratio", F.col("source").asc_nulls_last()]
+    sums = running_total(running_total(table, "_bucket", order, "cap", "capped"), "_bucket", order, "weight", "spent")
+    total, of_all = table.agg(F.sum("source_size"), F.sum("weight")).first()
+    reached = (F.lit(float(total or 0)) - F.col("capped")) / (F.lit(float(of_all or 1)) - F.col("spent"))
+    # The first source that the level leaves below its cap; among equal ratios the first has the highest level.
+    free = sums.select("ratio", (-reached).alias("less")).filter("-less < ratio")
+    first = free.agg(F.min(F.struct("ratio", "less")).alias("f")).first()["f"]
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(-float(first["less"]) if first else 0.0))
     rate = F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(most))))
     return table.select(
         "source", "source_size", "n_docs", target.alias("target"), F.coalesce(rate, F.lit(0.0)).alias("rate")
@@ -78,38 +72,42 @@ def mix(
 ) -> DataFrame:
     """Decisions for each row of ``docs``: doc (a struct of ``carry``), size, source_size, target, rate, copies.
 
-    A document is taken floor(rate) times, and once more by a Bernoulli draw whose
-    probability is the rate's fraction.  The draws of a source share one hash-seeded
-    start and step through its documents by size, each document keeping exactly its
-    probability, so a source misses its target by about one document instead of by
-    the sum of independent errors.  They depend on ids, sizes and the seed alone.
+    A document is taken floor(rate) times, and once more if its own draw, a hash of the
+    seed, its id and its text, is below its source's threshold.  The threshold is the edge of a
+    cell of draws, next to the rate's fraction, at which the words below it come nearest
+    to the target; with the fraction itself a small source would miss it by several percent.
 
     NULL texts have size 0; NULL is a source of its own, the last; an empty table gives
-    an empty result; of repeated rows each is drawn for itself.
+    an empty result.  Rows of one id and text share their draw, so reruns agree.
     """
     carry = list(carry or docs.columns)
+    named = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_of(text_col).cast("binary")))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"),
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"),
+        F.floor(uniform(seed, "mix", named) * CELLS).cast("int").alias("cell"),
     )
-    targets = source_targets(docs.select(F.col(source_col).alias("source"), word_count(text_col).alias("size")), weights, most)
-    # Where the documents of each size start in their source's order: one row per source and size.
-    sizes = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("source", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    named = targets.withColumn("key", _source_key())
-    plan = stored(
-        starts.withColumn("key", _source_key()).drop("source").join(named, "key").drop("source")
+    # At most CELLS rows a source, from here on.
+    cells = store(rows.groupBy("source", "cell").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))).df
+    sizes = cells.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n_docs"))
+    targets = store(source_targets(sizes, weights, most).withColumn("key", _source_key()))
+    inside = W.partitionBy("key").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    below = cells.withColumn("key", _source_key()).drop("source").withColumn("below", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    wanted = (F.col("rate") - F.floor("rate")) * F.col("source_size")
+    edge = below.join(targets.df, "key").groupBy("key").agg(
+        F.min(
+            F.least(
+                F.struct(F.abs(F.col("below") - wanted).alias("miss"), F.col("cell").alias("edge")),
+                F.struct(F.abs(F.col("below") + F.col("size") - wanted).alias("miss"), (F.col("cell") + 1).alias("edge")),
+            )
+        ).alias("best")
     )
-    keyed = rows.withColumn("key", _source_key()).drop("source")
-    ranked = numbered(keyed, ["key", "size"], ["draw"], "at")
-    joined = ranked.join(plan, ["key", "size"])
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    part = F.col("rate") - F.floor("rate")
-    place = F.col("start") + F.col("at")
-    extra = F.floor(start + (place + 1) * part) - F.floor(start + place * part)
+    plan = store(targets.df.drop("source").join(edge, "key").select("key", "source_size", "n_docs", "target", "rate", F.col("best.edge").alias("edge")))
+    total = plan.df.agg(F.sum("n_docs")).first()[0]
+    keyed = rows.withColumn("_key", _source_key()).drop("source")
+    joined = keyed_join(keyed, plan.df, {"_key": "key"}, plan.small, "n_docs", total)
+    extra = (F.col("cell") < F.col("edge")).cast("int")
     return joined.select(
         "doc", "size", "source_size", "target", "rate", (F.floor("rate") + extra).cast("int").alias("copies")
     )

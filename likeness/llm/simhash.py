@@ -193,9 +193,13 @@ def near_duplicates(
     named = groups.join(member, groups["fp"] == member["node"], "left").select(
         "fp", "first", "n", F.coalesce("component", "fp").alias("component")
     )
-    named = stored(named)
-    lead = named.groupBy("component").agg(F.min("first").alias("lead"), F.sum("n").alias("size"))
-    placed = named.join(lead, "component").select("fp", "n", F.col("lead.id").alias("component_id"), "size")
+    named = store(named)
+    lead = named.df.groupBy("component").agg(
+        F.min("first").alias("lead"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("members")
+    )
+    placed = keyed_join(named.df, lead, {"component": "component"}, False, "members", named.rows).select(
+        "fp", "n", F.col("lead.id").alias("component_id"), "size"
+    )
     found = keyed_join(rows.df, placed, {"fp": "fp"}, False, "n", rows.rows)
     return found.select("doc_id", "fp", "component_id", F.col("size").alias("component_size"))
 

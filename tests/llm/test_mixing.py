@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from likeness.llm import mixing
 
@@ -51,10 +52,44 @@ def test_many_sources_reshare(spark):
     rows = [(i, "w " * (1 if i % 2 else 900), f"s{i:02}") for i in range(25)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     _, target = plain_targets(rows)
-    got = {r.source: r.target for r in mixing.source_targets(docs.select("source", mixing.word_count("text").alias("size"))).collect()}
+    sizes = docs.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("source_size"), F.count("*").alias("n_docs"))
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
     assert got == pytest.approx(target)
 
 
+def test_many_levels_of_reshare(spark):
+    """Each source that reaches its cap lifts the level to the next one's: as many levels as sources."""
+    rows = [(i, "w " * int(1.25**i), f"s{i:02}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    _, target = plain_targets(rows)
+    got = {r.doc.source: r.target for r in mixing.mix(docs, carry=["source"]).collect()}
+    assert got == pytest.approx(target)
+
+
+def test_each_document_draws_for_itself(spark):
+    """Over many seeds a document's extra copy has about the fraction's probability, whatever its neighbours do."""
+    rows = [(i, "w " * (5 + i % 7), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken: dict = defaultdict(list)
+    for seed in range(5):
+        for r in mixing.mix(docs, carry=["doc_id"], seed=seed).collect():
+            taken[r.doc.doc_id].append(r.copies - int(r.rate))
+            part = r.rate - int(r.rate)
+    assert all(set(t) <= {0, 1} for t in taken.values())
+    shares = [sum(t) / 5 for i, t in taken.items() if i % 2]
+    assert abs(sum(shares) / len(shares) - part) < 0.05 or part == 0
+    assert len({tuple(t) for t in taken.values()}) > 12
+
+
+def test_null_ids_draw_by_their_text(spark):
+    rows = [(None, f"word{i} " * (1 + i % 5), "ab"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixing.mix(docs, carry=["text", "source"]).collect()
+    for s in "ab":
+        mine = [r for r in found if r.doc.source == s]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 10
+
+
 def test_empty_and_wordless(no_docs, spark):
     assert mixing.mix(no_docs).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id bigint, text string, source string")
