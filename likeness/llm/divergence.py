@@ -31,7 +31,7 @@ TOP = 10
 SPLIT_CHARS = 4 << 20
 HELD = 400_000
 # Terms in a shard times sources of its language.
-SHARD_CELLS = 1 << 21
+SHARD_CELLS = 1 << 18
 SCALE = 1_000_000_000
 
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
