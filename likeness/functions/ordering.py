@@ -183,6 +183,11 @@ def inverse_cdf_guide(
     )
 
 
+def ranged(df: DataFrame, *order) -> DataFrame:
+    """``df``, stored, with ``_bucket``: the number of its range of ``order``, for :func:`running_total`."""
+    return store(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id())).df
+
+
 def token_order_guide(counts: DataFrame, by: Sequence[str], token: str = "token", n: str = "n") -> DataFrame:
     """Like :func:`inverse_cdf_guide` with tokens in their own order.
 
@@ -190,9 +195,9 @@ def token_order_guide(counts: DataFrame, by: Sequence[str], token: str = "token"
     group with very many tokens spreads over tasks.
     """
     by = list(by)
-    ranged = store(counts.repartitionByRange(*by, token).withColumn("_bucket", F.spark_partition_id())).df
-    placed = running_total(ranged, "_bucket", [token], n, "lo", by)
-    totals = ranged.groupBy(*by).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("k"))
+    cut = ranged(counts, *by, token)
+    placed = running_total(cut, "_bucket", [token], n, "lo", by)
+    totals = cut.groupBy(*by).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("k"))
     joined = placed.join(totals, by).withColumn("hi", F.col("lo") + F.col(n))
     first = guide_cell(F.col("lo"), F.col("k"), F.col("total"))
     last = guide_cell(F.col("hi") - 1, F.col("k"), F.col("total"))

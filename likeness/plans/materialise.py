@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,17 +37,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def run_dir(spark: SparkSession) -> str:
-    """The folder below :func:`scratch_dir` that holds this application's tables."""
-    return f"{scratch_dir(spark)}/likeness/{spark.sparkContext.applicationId}"
+# Names the part of the run's folder that tables go to; a finished part can be dropped by itself.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
 
 
-def drop_intermediates(spark: SparkSession) -> None:
-    """Delete the tables this application stored; frames that read them become invalid."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+def run_dir(spark: SparkSession, scope: str = "") -> str:
+    """The folder below :func:`scratch_dir` that holds this application's tables, or those of one scope."""
+    return f"{scratch_dir(spark)}/likeness/{spark.sparkContext.applicationId}" + (f"/{scope}" if scope else "")
+
+
+@contextmanager
+def scoped(name: str) -> Iterator[None]:
+    """Tables stored inside go to the scope ``name``."""
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+def drop_intermediates(spark: SparkSession, scope: str = "") -> None:
+    """Delete the tables this application stored (in a scope); frames that read them become invalid."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark, scope))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans nothing refers to any more; it does so after a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @dataclass(frozen=True)
 class Stored:
     """A written table, its measured row count and the bytes of its files."""
@@ -66,7 +89,7 @@ def store(df: DataFrame, path: str | None = None) -> Stored:
     """
     spark = df.sparkSession
     if path is None:
-        path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+        path = f"{run_dir(spark, _SCOPE.get())}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return load_stored(spark, path)
 
