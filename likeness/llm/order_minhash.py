@@ -14,13 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from likeness.llm.common import map_rows, text_of
+from likeness.plans.materialise import lookup, store
 
+# Text that a range of ids holds, and ranges at most (their bounds are literals of the plan).
+RANGE_BYTES = 32 << 20
+MOST_RANGES = 4096
 K = 6
 CELLS = 64
 TAKEN = 2
@@ -125,41 +129,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(chosen, make, f"doc_id {kind}, n_chars bigint, fingerprint string")
 
 
+def _place(id_col: str) -> Column:
+    """What rows are ordered by, downwards: the exact id, NULL as the last, then the text's hash."""
+    return F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("tie"))
+
+
 def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows sorted by descending id inside ranges of ids, each range ending with the next one's first row.
+    """Rows sorted by descending id inside ranges, each range ending with the next one's first row.
 
-    Columns: range, edge (the added row), place (the id as a number; NULL ids are the
-    last), tie, doc_id, text.  The ranges follow measured quantiles; only one small
-    row per range is collected and joined back, whose number is fixed by the number of
-    shuffle partitions.  After the last range comes the first row of all.
+    Columns: range, edge (the added row), n (rows of the same id and text, which are one here),
+    doc_id, text.  The ranges hold about RANGE_BYTES of text each and are cut between exact
+    (id, hash of the text), so they follow the corpus and no kind of id falls together.
+    Only one small row per range is collected.  After the last range comes the first row of all.
     """
     spark = docs.sparkSession
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
-    rows = docs.select(
-        place.alias("place"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")
-    ).withColumn("tie", F.xxhash64("text"))
-    cuts = docs.select(place.alias("place")).filter(F.col("place") > float("-inf"))
-    splits = sorted(set(cuts.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
-    if splits:
-        literal = F.array(*[F.lit(s) for s in splits])
-        rows = rows.withColumn("range", -F.size(F.filter(literal, lambda s: s <= F.col("place"))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = _once(rows).withColumn("place", _place("doc_id"))
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
+    keys = rows.select("place").repartitionByRange(int(ranges), "place").withColumn("_bucket", F.spark_partition_id())
+    firsts = keys.groupBy("_bucket").agg(F.min("place").alias("place")).orderBy("place")
+    cuts = [r["place"] for r in firsts.collect()][1:]
+    if cuts:
+        kind = rows.schema["doc_id"].dataType
+        literal = F.array(
+            *[F.struct(F.lit(c["known"]).alias("known"), F.lit(c["id"]).cast(kind).alias("id"), F.lit(c["tie"]).alias("tie")) for c in cuts]
+        )
+        rows = rows.withColumn("range", -F.size(F.filter(literal, lambda c: c <= F.col("place"))))
     else:
         rows = rows.withColumn("range", F.lit(0))
-    tops = rows.groupBy("range").agg(F.max(F.struct("place", "tie")).alias("top")).orderBy("range").collect()
-    follows = [(r["top"]["place"], r["top"]["tie"], tops[i - 1]["range"]) for i, r in enumerate(tops)]
-    table = spark.createDataFrame(follows, "place double, tie bigint, before int")
-    marked = rows.join(F.broadcast(table), ["place", "tie"], "left")
+    tops = rows.groupBy("range").agg(F.max("place").alias("top")).orderBy("range").collect()
+    follows = [(r["top"], tops[i - 1]["range"]) for i, r in enumerate(tops)]
+    marks = StructType().add("top", rows.schema["place"].dataType).add("before", "integer")
+    table = spark.createDataFrame(follows, marks).withColumns({"top_id": F.col("top.id"), "top_tie": F.col("top.tie")}).drop("top")
+    at_top = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))
+    marked = rows.join(F.broadcast(table), at_top, "left")
     here = F.struct(F.col("range"), F.lit(False).alias("edge"))
     there = F.struct(F.col("before").alias("range"), F.lit(True).alias("edge"))
     dealt = marked.withColumn("_to", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
     return (
-        dealt.select("_to.range", "_to.edge", "place", "tie", "doc_id", "text")
-        .repartition("range")
-        .sortWithinPartitions("range", "edge", F.desc("place"), F.desc("tie"))
+        dealt.select("_to.range", "_to.edge", "n", "place", "doc_id", "text")
+        .repartition(max(1, len(cuts) + 1), "range")
+        .sortWithinPartitions("range", "edge", F.desc("place"))
     )
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, tie) with those of the same id and text as one, and their number ``n``.
+
+    Only the repeated are grouped, and before they are shuffled, so a third of all rows may be one.
+    """
+    again = rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = store(again.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "n"))
+    if not again.rows:
+        return rows.withColumn("n", F.lit(1).cast("bigint"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
+    marked = rows.join(lookup(again.df, again.small), same, "left").drop("_id", "_tie")
+    single = marked.filter("n is null").withColumn("n", F.lit(1).cast("bigint"))
+    grouped = marked.filter("n is not null").groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    return single.unionByName(grouped)
+
+
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
@@ -171,24 +201,27 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = (
-        f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
+        f"times bigint, doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"
     )
-    columns = ["range", "edge", "doc_id", "text"]
+    columns = ["range", "edge", "n", "doc_id", "text"]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None
         for part in parts:
             out = []
-            for where, edge, doc_id, text in zip(*(part.column(c).to_pylist() for c in columns)):
+            for where, edge, n, doc_id, text in zip(*(part.column(c).to_pylist() for c in columns)):
                 sig = signature(text)
                 if waiting is not None and waiting[0] == where:
-                    out.append(_compared(*waiting[1:], text, sig))
+                    out.append((1, *_compared(*waiting[1:], text, sig)))
                 waiting = None if edge else (where, doc_id, text, sig)
-            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out) if out else [[]] * len(names))), schema=arrow)
+                if n > 1 and not edge:  # all but the last of its copies are followed by one of them
+                    out.append((n - 1, *_compared(*waiting[1:], text, sig)))
+            yield pa.RecordBatch.from_pydict(dict(zip(["times", *names], zip(*out) if out else [[]] * (1 + len(names)))), schema=arrow)
 
-    return with_following(docs, id_col, text_col).select(*columns).mapInArrow(batches, schema)
+    made = with_following(docs, id_col, text_col).select(*columns).mapInArrow(batches, schema)
+    return made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select(*names)
 
 
 def _compared(doc_id, text: str, sig: np.ndarray, next_text: str, next_sig: np.ndarray) -> tuple:

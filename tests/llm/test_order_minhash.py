@@ -65,3 +65,25 @@ def test_repeated_rows_one_row_and_none(docs, rows, no_docs, spark):
     one = om.compare_with_edits(spark.createDataFrame([(2**60 + 1, "abcdef")], "doc_id bigint, text string")).first()
     assert one.doc_id == 2**60 + 1 and one.near_next == 1.0
     assert om.fingerprints(docs).count() == len(rows)
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_ids_are_compared_exactly(spark, kind):
+    """Strings, and numbers that one double stands for, follow in their own order; copies of a row follow each other."""
+    rng = random.Random(9)
+    ids = [f"x{i}" for i in range(30)] if kind == "string" else [2**60 + i for i in range(30)]
+    rows = [(i, words(rng, 20)) for i in ids] + [(None, "a"), (None, "b c d e f g")]
+    rows += [rows[3]] * 4 + [(None, "a")]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(6)
+    found = sorted(((str(r.doc_id), r.edited_sha256) for r in om.compare_with_edits(docs).collect()))
+    known = sorted((r for r in rows if r[0] is not None), reverse=True)
+    # NULL ids come last in an order of their texts' hashes, so either text may be the first of them.
+    expected = []
+    for nulls in (["a", "a", "b c d e f g"], ["b c d e f g", "a", "a"]):
+        order = known + [(None, t) for t in nulls]
+        made = []
+        for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+            half = len(text) // 2
+            made.append((str(i), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+        expected.append(sorted(made))
+    assert found in expected
