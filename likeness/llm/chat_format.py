@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 
 import pandas as pd
@@ -23,23 +24,44 @@ _TYPES = {
 }
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces and characters as they are, but for lone surrogates, which stay escaped."""
+    made = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", made)
+
+
+def _parsed(text: str | None):
+    """(value, its canonical form); an error for what is no JSON, numbers beyond a double among it."""
+    value = json.loads(text or "", parse_constant=lambda c: 1 / 0)
+    return value, canonical(value)
+
+
+_NOT_JSON = (ValueError, ZeroDivisionError, RecursionError)
+
+
+def _is_kind(item, kind) -> bool:
+    """Whether ``item`` is of the named type, or of one of several; names JSON has not allow anything."""
+    if isinstance(kind, (list, tuple)):
+        return any(_is_kind(item, k) for k in kind)
+    if isinstance(item, bool) and kind in ("integer", "number"):
+        return False
+    return isinstance(item, _TYPES.get(kind, object))
 
 
 def check_arguments(name: str | None, text: str | None, schemas: Mapping[str, Mapping]) -> tuple[str, str | None]:
     """(canonical arguments or the raw text, fault or None).
 
     A schema is {"properties": {name: {"type": ..., "enum": [...]}}, "required": [...],
-    "additionalProperties": bool}, the part of JSON Schema that tools use.
+    "additionalProperties": bool}, the part of JSON Schema that tools use.  A type is a
+    name or a list of names.
     """
-    raw = text or ""
     try:
-        value = json.loads(raw, parse_constant=lambda c: 1 / 0)
-    except (ValueError, ZeroDivisionError, RecursionError):
-        return canonical(raw), "arguments are not JSON"
-    made = canonical(value)
+        value, made = _parsed(text)
+    except _NOT_JSON:
+        return canonical(text or ""), "arguments are not JSON"
     schema = schemas.get(name or "")
     if schema is None:
         return made, "unknown tool"
@@ -55,8 +77,8 @@ def check_arguments(name: str | None, text: str | None, schemas: Mapping[str, Ma
                 continue
             return made, f"unexpected {key}"
         kind, item = properties[key].get("type"), value[key]
-        if kind and (not isinstance(item, _TYPES[kind]) or (isinstance(item, bool) and kind in ("integer", "number"))):
-            return made, f"{key} is not {kind}"
+        if kind and not _is_kind(item, kind):
+            return made, f"{key} is not {kind if isinstance(kind, str) else ' or '.join(map(str, kind))}"
         if "enum" in properties[key] and item not in properties[key]["enum"]:
             return made, f"{key} is not allowed"
     return made, None
@@ -75,8 +97,8 @@ def _checked(schemas: Mapping[str, Mapping]):
 def canonical_text(value: str | None) -> str:
     """Content that is JSON, rewritten; other content as a JSON string."""
     try:
-        return canonical(json.loads(value, parse_constant=lambda c: 1 / 0))
-    except (TypeError, ValueError, ZeroDivisionError, RecursionError):
+        return _parsed(value)[1]
+    except _NOT_JSON:
         return canonical(value or "")
 
 
@@ -90,17 +112,17 @@ def _canonical_text(col: str):
 
 def _first_of(rows: DataFrame) -> DataFrame:
     """Whether a row is the first of its identifier; the others are duplicates."""
-    first = rows.filter("call_id is not null").groupBy("conv_id", "call_id").agg(
+    first = rows.filter("call_id is not null").groupBy("conv", "call_id").agg(
         F.min(F.struct("turn", "row")).alias("first")
     )
     # One small row per identifier: a hot one is a skewed join side, not a collected group.
-    return rows.join(first, ["conv_id", "call_id"], "left").withColumn(
+    return rows.join(first, ["conv", "call_id"], "left").withColumn(
         "is_first", F.coalesce(F.col("first.row") == F.col("row"), F.lit(False))
     ).drop("first")
 
 
 def _ordered(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, anchor, depth of first calls by doubling pointers along ``after``.
+    """conv, call_id, anchor, depth of first calls by doubling pointers along ``after``.
 
     A call comes after the call whose result it uses: depth counts such steps and
     anchor is the latest turn among them, so sorting by (anchor, depth) is a
@@ -108,28 +130,28 @@ def _ordered(calls: DataFrame) -> DataFrame:
     calls takes log2(n) rounds.  Calls on or behind a cycle never reach a start and
     get a NULL depth.
     """
-    nodes = calls.select("conv_id", "call_id", F.col("last_turn").alias("anchor"), F.col("after").alias("up"))
-    names = nodes.select("conv_id", F.col("call_id").alias("up"), F.lit(True).alias("_there"))
-    nodes = nodes.join(names, ["conv_id", "up"], "left")
+    nodes = calls.select("conv", "call_id", F.col("last_turn").alias("anchor"), F.col("after").alias("up"))
+    names = nodes.select("conv", F.col("call_id").alias("up"), F.lit(True).alias("_there"))
+    nodes = nodes.join(names, ["conv", "up"], "left")
     nodes = nodes.select(
-        "conv_id", "call_id", "anchor", F.when(F.col("_there"), F.col("up")).alias("up"),
+        "conv", "call_id", "anchor", F.when(F.col("_there"), F.col("up")).alias("up"),
         F.when(F.col("_there"), 1).otherwise(0).alias("depth"),
     )
     nodes = stored(nodes)
-    longest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    longest = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     for _ in range(int(longest).bit_length() + 1):
         if not nodes.filter("up is not null").limit(1).count():
             break
         above = nodes.select(
-            "conv_id",
+            "conv",
             F.col("call_id").alias("up"),
             F.col("anchor").alias("up_anchor"),
             F.col("up").alias("up_up"),
             F.col("depth").alias("up_depth"),
         )
         nodes = stored(
-            nodes.join(above, ["conv_id", "up"], "left").select(
-                "conv_id",
+            nodes.join(above, ["conv", "up"], "left").select(
+                "conv",
                 "call_id",
                 F.greatest("anchor", F.coalesce("up_anchor", "anchor")).alias("anchor"),
                 F.col("up_up").alias("up"),
@@ -137,7 +159,7 @@ def _ordered(calls: DataFrame) -> DataFrame:
             )
         )
     looped = F.col("up").isNotNull()
-    return nodes.select("conv_id", "call_id", "anchor", F.when(~looped, F.col("depth")).alias("depth"))
+    return nodes.select("conv", "call_id", "anchor", F.when(~looped, F.col("depth")).alias("depth"))
 
 
 def format_chats(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
@@ -146,7 +168,8 @@ def format_chats(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame
     ``events``: conv_id, turn, kind ("message", "call" or "result"), role, content
     (text, or a call's arguments as JSON), call_id, name (of the tool), after (the
     call whose result this call uses).  Other columns are ignored, NULLs allowed
-    everywhere.  Result: conv_id, anchor, depth, part (sort keys, in this order, then
+    everywhere: NULL is a conversation of its own, and a call or result without
+    identifier has no partner.  Result: conv_id, anchor, depth, part (sort keys, in this order, then
     turn), turn, kind, call_id, status, json.  Status of a call: linked, unanswered,
     cycle, duplicate, or invalid: <fault>; of a result: linked, early (it stands before
     its call), orphan or duplicate; of a message: ok.  Nothing is dropped, and no
@@ -155,6 +178,7 @@ def format_chats(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame
     rows = stored(
         events.select(
             F.monotonically_increasing_id().alias("row"),
+            F.coalesce(F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("null")).alias("conv"),
             *[F.col(c) for c in ("conv_id", "turn", "kind", "role", "content", "call_id", "name", "after")],
         )
     )
@@ -163,13 +187,13 @@ def format_chats(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame
     results = _first_of(rows.filter("kind = 'result'"))
     calls, results = stored(calls), stored(results)
     answers = results.filter("is_first").select(
-        "conv_id", "call_id", F.col("turn").alias("result_turn"), F.lit(True).alias("answered")
+        "conv", "call_id", F.col("turn").alias("result_turn"), F.lit(True).alias("answered")
     )
-    linked = calls.filter("is_first").join(answers, ["conv_id", "call_id"], "left")
+    linked = calls.filter("is_first").join(answers, ["conv", "call_id"], "left")
     order = _ordered(linked.withColumn("last_turn", F.greatest("turn", F.coalesce("result_turn", "turn"))))
-    order = stored(order.join(linked.select("conv_id", "call_id", "answered", F.col("turn").alias("call_turn")), ["conv_id", "call_id"]))
+    order = stored(order.join(linked.select("conv", "call_id", "answered", F.col("turn").alias("call_turn")), ["conv", "call_id"]))
 
-    checked = calls.join(order.drop("call_turn"), ["conv_id", "call_id"], "left").withColumn("_c", made)
+    checked = calls.join(order.drop("call_turn"), ["conv", "call_id"], "left").withColumn("_c", made)
     call_rows = checked.select(
         "conv_id",
         "turn",
@@ -186,8 +210,8 @@ def format_chats(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame
         .alias("status"),
         _json(arguments=F.col("_c.arguments"), id=_text("call_id"), name=_text("name"), role=F.lit('"assistant"')).alias("json"),
     )
-    known = order.select("conv_id", "call_id", "anchor", "depth", "call_turn", F.lit(True).alias("called"))
-    result_rows = results.join(known, ["conv_id", "call_id"], "left").select(
+    known = order.select("conv", "call_id", "anchor", "depth", "call_turn", F.lit(True).alias("called"))
+    result_rows = results.join(known, ["conv", "call_id"], "left").select(
         "conv_id",
         "turn",
         F.coalesce("anchor", "turn").alias("anchor"),

@@ -92,3 +92,37 @@ def test_conversations(spark):
     assert sorted(r.status for r in found) == ["invalid: missing turn", "linked", "linked", "ok", "ok"]
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert cf.format_chats(cf.conversation_events(empty), cf.REPLY_SCHEMA).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "made", "fault"),
+    [
+        ('{"a":1e999}', '"{\\"a\\":1e999}"', "arguments are not JSON"),
+        ('{"a":1,"unit":"\\ud800"}', '{"a":1,"unit":"\\ud800"}', "unit is not allowed"),
+        ('{"a":' + "9" * 5000 + "}", None, "arguments are not JSON"),
+        ("[" * 100_000, None, "arguments are not JSON"),
+    ],
+)
+def test_odd_arguments(text, made, fault):
+    got = cf.check_arguments("add", text, SCHEMAS)
+    assert got[1] == fault and (made is None or got[0] == made)
+    got[0].encode()
+
+
+@pytest.mark.parametrize(("value", "fault"), [("1", None), ('"x"', None), ("null", "v is not string or integer"), ("true", "v is not string or integer")])
+def test_schemas_with_several_types(value, fault):
+    schema = {"t": {"properties": {"v": {"type": ["string", "integer"]}, "w": {"type": "anything"}}}}
+    assert cf.check_arguments("t", f'{{"v":{value},"w":2}}', schema)[1] == fault
+
+
+def test_lone_surrogates_and_null_conversations(spark):
+    rows = [
+        (None, 0, "call", None, '{"a":1}', "x", "add", None),
+        (None, 1, "result", None, '"\\ud800"', "x", None, None),
+        (None, 2, "call", None, '{"a":2}', "y", "add", "x"),
+        (None, 3, "call", None, '{"a":2}', "y", "add", "x"),
+    ]
+    found = {r.turn: r for r in cf.format_chats(spark.createDataFrame(rows, SCHEMA), SCHEMAS).collect()}
+    assert [found[i].status for i in range(4)] == ["linked", "linked", "unanswered", "duplicate"]
+    assert json.loads(found[1].json)["content"] == "\ud800" and found[2].depth == 1
+    assert cf.canonical_text('"\\ud800"') == '"\\ud800"'
