@@ -62,23 +62,20 @@ MARKS = frozenset(
     "complementary responses overlay paywall alert toast".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _MARKED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "hidden", "parts", "holds", "hash")
+    __slots__ = ("tag", "marks", "hidden", "parts", "holds", "inner", "titled", "hash")
 
     def __init__(self, tag: str, marks: str = "", hidden: bool = False):
         self.tag, self.marks, self.hidden = tag, marks, hidden
         self.parts: list = []
-        self.holds = False
+        self.holds = self.inner = self.titled = False
         self.hash = 0
 
 
@@ -93,54 +90,120 @@ def _attributes(text: str) -> tuple[str, bool]:
     return " ".join(marks), hidden
 
 
+class _Tags:
+    """The markup of a page, token by token, in time that grows with the page however broken it is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        # Quotes from which a tag is known not to end: no scan passes the same one twice in vain.
+        self.dead: set[int] = set()
+        self.raw_ends: dict[str, re.Pattern] = {}
+
+    def _end(self, at: int) -> int:
+        """The place of the tag's closing mark, quoted ones passed over; -1 if there is none."""
+        page, seen = self.page, []
+        while True:
+            stop = _STOP.search(page, at)
+            if stop and page[stop.start()] == ">":
+                return stop.start()
+            if not stop or stop.start() in self.dead:
+                break
+            seen.append(stop.start())
+            close = page.find(stop[0], stop.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, closing) of the markup after ``at``; comments and the like have no name."""
+        page, start = self.page, at
+        while (start := page.find("<", start)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", False
+            if page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start + 9)
+                return start, len(page) if end < 0 else end + 3, "", "", False
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                return start, len(page) if end < 0 else end + 1, "", "", False
+            name = _NAME.match(page, start + 1)
+            end = self._end(name.end()) if name else -1
+            if end >= 0:
+                return start, end + 1, name[2].lower(), page[name.end() : end], bool(name[1])
+            start += 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        end = self.raw_ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*>", re.I)).search(self.page, at)
+        return end.end() if end else len(self.page)
+
+
+class _Open:
+    """The open elements, and by name where they stand, so none is looked for along the whole path."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, at: int) -> None:
+        """Ends the element at this place and all inside it."""
+        while len(self.path) > at:
+            node = self.path.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+
 def parse(page: str) -> Node:
     """A tree of elements and decoded text; never fails, whatever the markup."""
     root = Node("html")
-    stack = [root]
+    tags, now = _Tags(page), _Open(root)
     at = 0
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        found = tags.next(at)
+        text = page[at : found[0]] if found else page[at:]
         if text:
-            stack[-1].parts.append(html.unescape(text))
-        if not m:
+            now.path[-1].parts.append(html.unescape(text))
+        if not found:
             return root
-        at = m.end()
-        if m[2] is None:
+        _, at, tag, attributes, closing = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if closing:
+            if place := now.last((tag,)):
+                now.cut(place)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not m[3].endswith("/"):
-                at = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                at = tags.raw_end(tag, at)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+        # A block ends the paragraph it stands in.
+        if tag in CLOSES_P and now.blocks and now.path[now.blocks[-1]].tag == "p":
+            now.cut(now.blocks[-1])
         if tag in ENDS:
             ended, stop = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ended:
-                    del stack[i:]
-                    break
-                if stack[i].tag in stop:
-                    break
-        node = Node(tag, *(_attributes(m[3]) if m[3] else ()))
-        stack[-1].parts.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            place = now.last(ended)
+            if place > now.last(stop - ended):
+                now.cut(place)
+        node = Node(tag, *(_attributes(attributes) if attributes else ()))
+        now.path[-1].parts.append(node)
+        if tag not in VOID and not attributes.endswith("/"):
+            now.push(node)
 
 
 def _post_order(root: Node) -> list[Node]:
@@ -166,7 +229,11 @@ def _by_role(node: Node) -> bool:
 
 
 def hashed(root: Node) -> list[Node]:
-    """All nodes, children first, with ``hash`` set and ``holds`` where an article or title is inside."""
+    """All nodes, children first, with ``hash`` set.
+
+    ``holds`` says that an article is here or inside, ``inner`` that an ``article`` element is
+    inside, and ``titled`` that a title is here or inside.
+    """
     order = _post_order(root)
     for node in order:
         made = xxhash.xxh64(f"{node.tag}\0{node.marks}")
@@ -174,10 +241,13 @@ def hashed(root: Node) -> list[Node]:
             if isinstance(part, Node):
                 made.update(part.hash.to_bytes(8, "little"))
                 node.holds |= part.holds
+                node.inner |= part.inner or (part.tag == "article" and not _by_role(part))
+                node.titled |= part.titled
             else:
                 made.update(_SPACE.sub(" ", part).encode("utf-8", "surrogatepass"))
         node.hash = made.intdigest()
         node.holds |= _is_article(node)
+        node.titled |= node.tag in ("h1", "h2")
     return order
 
 
@@ -191,7 +261,7 @@ def _articles(root: Node) -> list[Node]:
         while stack:
             node = stack.pop()
             marked = _by_role(node)
-            if not marked and (node.tag == "article" or (_is_article(node) and not _holds_article(node))):
+            if not marked and (node.tag == "article" or (_is_article(node) and not node.inner)):
                 found.append(node)
             elif not marked or (under_marked and node.holds):
                 stack.extend(p for p in reversed(node.parts) if isinstance(p, Node))
@@ -200,14 +270,6 @@ def _articles(root: Node) -> list[Node]:
     return [root]
 
 
-def _holds_article(node: Node) -> bool:
-    return any(n.tag == "article" and not _by_role(n) for n in _post_order(node) if n is not node)
-
-
-def _has_title(node: Node) -> bool:
-    return any(n.tag in ("h1", "h2") for n in _post_order(node))
-
-
 def _main_blocks(articles: list[Node], place: dict[int, int]) -> list[tuple[int, int, int]]:
     """(length, hash, place) of the blocks of text that role lets stay, longest first."""
     blocks, stack = [], list(articles)
@@ -304,7 +366,7 @@ def main_text(page: str | None, templates=frozenset()) -> str:
 
 def _removed(node: Node, inside: bool, templates) -> bool:
     if _by_role(node) or node.tag == "header":
-        titled = inside and (node.tag == "header" or "header" in node.marks) and _has_title(node)
+        titled = inside and (node.tag == "header" or "header" in node.marks) and node.titled
         return not titled
     if node.tag not in BLOCK:
         return False

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from likeness.llm import html_text as h
@@ -94,3 +96,22 @@ def test_copied_articles_and_rare_headings_stay(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert h.extract(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a '" * 60_000, "<a \"'" * 60_000, "<b>" * 60_000 + "<p>" * 30_000, "<script/>" * 60_000, "<main>" * 30_000, "<header>" * 30_000 + "<h1>x"],
+)
+def test_broken_pages_take_time_in_proportion(page):
+    def seconds(part):
+        start = time.process_time()
+        h.subtrees(part)
+        h.main_text(part)
+        return time.process_time() - start
+
+    assert seconds(page) < 10 * seconds(page[: len(page) // 4]) + 1
+
+
+def test_quotes_and_tags_that_never_end():
+    assert h.main_text("a < b <a 'x <p>one</p> <b>two") == "a < b <a 'x\n\none\n\ntwo"
+    assert h.main_text("<p title='a>b'>in</p><p title=\"it's\">out") == "in\n\nout"
