@@ -23,6 +23,7 @@ from likeness.plans.materialise import scratch_dir, store
 from likeness.sources import fixtures as fx
 from likeness.sources.models import load_model, save_model
 from likeness.sources.tables import read_table, write_table
+from likeness.streaming import drift as dr
 
 QUERIES = {}
 
@@ -600,6 +601,37 @@ def exact_reuse(spark, sf):
     return rounded(no.exact_reuse(fx.line(spark, sf), line_perm(spark, sf), fx.LINE), 9, "share")
 
 
+def wide_synths(spark, sf):
+    """A table with one column permuted, and one with half of them."""
+    real = fx.wide(spark, sf)
+    far = fr.permute_columns(real, fx.WIDE[::2])
+    return fr.label_union({"near": fr.permute_column(real, "segment"), "far": far}, fx.WIDE)
+
+
+@query
+def nearest_real_wide(spark, sf):
+    """Nearest real row over twenty columns, at one disagreement and at many."""
+    out = no.nearest_real(fx.wide(spark, sf), wide_synths(spark, sf), fx.WIDE, ["dataset", "row_id"])
+    return rounded(out, 9, "eta")
+
+
+@query
+def similarity_report(spark, sf):
+    """Nearest rows and block means of two generators beside a real table with blanks."""
+    synths = fr.label_union({"permuted": cust_perm(spark, sf), "baseline": cust_base(spark, sf)}, fx.CUST)
+    out = no.similarity_report(fx.cust_missing(spark, sf), synths, fx.CUST, by=["dataset"])
+    return rounded(out, 6, *[c for c in out.columns if c not in ("dataset", "n_real", "n_synth", "missing_token")])
+
+
+@query
+def upsilon_drift(spark, sf):
+    """Alignment of events by day under a model of all of them."""
+    events = fx.shop(spark, sf)
+    model = co.fit_context(events, fx.EVENTS, fx.EVENT_CONTEXTS)
+    days = dr.drift(events, model, "ts")
+    return days.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_rows", "cells", r("upsilon_mean", 9).alias("upsilon_mean"))
+
+
 # -- classifier two-sample test ----------------------------------------------
 
 
@@ -649,6 +681,17 @@ def c2st_cv(spark, sf):
     return rounded(out.drop("aucs"), 4, "auc_mean", "auc_std")
 
 
+@query
+def c2st_tree_holdout(spark, sf):
+    """A classifier that sees pairs of columns tells a permuted table from the real one."""
+    return rounded(ts.c2st_tree(fx.cust(spark, sf), cust_perm(spark, sf), fx.CUST), 9, "auc")
+
+
+@query
+def c2st_tree_cv(spark, sf):
+    return rounded(ts.c2st_tree(fx.cust(spark, sf), cust_base(spark, sf), fx.CUST, folds=3, depth=1), 9, "auc")
+
+
 # -- comparison --------------------------------------------------------------
 
 

@@ -183,6 +183,12 @@ def permute_column(df: DataFrame, column: str, seed="s", id_col: str = "row_id")
 
     Keeps every marginal and breaks the dependence.
     """
-    here = hash_rank(df.drop(column), id_col, seed, "to", "_rank")
-    there = hash_rank(df.select(id_col, column), id_col, seed, "from", "_rank").select("_rank", column)
+    return permute_columns(df, [column], seed, id_col)
+
+
+def permute_columns(df: DataFrame, columns: Sequence[str], seed="s", id_col: str = "row_id") -> DataFrame:
+    """As :func:`permute_column` for several columns, which move together."""
+    columns = list(columns)
+    here = hash_rank(df.drop(*columns), id_col, seed, "to", "_rank")
+    there = hash_rank(df.select(id_col, *columns), id_col, seed, "from", "_rank").select("_rank", *columns)
     return here.join(there, "_rank").select(*df.columns)

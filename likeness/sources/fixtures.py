@@ -10,6 +10,12 @@ LINE = ["flag", "status", "disc", "tax", "ship_year", "ship_qtr", "ship_half"]
 PART = ["brand", "type", "size_band", "price_band"]
 ORD = ["status", "priority", "year", "month"]
 RUNS = ["run", "wave", "segment", "mixed"]
+WIDE = [
+    "region", "nation", "segment", "band5000", "band2000", "band1000", "band500", "digit0", "digit1", "digit2", "digit3",
+    "mod2", "mod3", "mod5", "mod7", "mod11", "mod13", "block", "tens", "paid",
+]
+EVENTS = ["kind", "band", "k", "user"]
+EVENT_CONTEXTS = {"kind": ["user"], "band": ["kind"], "k": ["kind", "band"], "user": []}
 NUM3 = ["l_quantity", "l_extendedprice", "l_discount"]
 
 CUST_CONTEXTS = {
@@ -71,6 +77,39 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty columns of a customer: names, bands and digits of the balance, residues of the key."""
+    balance, key = F.floor(F.col("c_acctbal")), F.col("c_custkey")
+    bands = [_int_token(F.floor(balance / w)).alias(f"band{w}") for w in (5000, 2000, 1000, 500)]
+    digits = [_int_token(F.floor(F.abs(balance) / 10**k) % 10).alias(f"digit{k}") for k in range(4)]
+    residues = [_int_token(key % m).alias(f"mod{m}") for m in (2, 3, 5, 7, 11, 13)]
+    names = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, sf_dir, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("row_id"),
+        F.col("r_name").alias("region"),
+        F.col("n_name").alias("nation"),
+        F.col("c_mktsegment").alias("segment"),
+        *bands,
+        *digits,
+        *residues,
+        _int_token(F.floor(key / 500)).alias("block"),
+        _int_token(F.floor(key / 10) % 10).alias("tens"),
+        F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.lit("paid")).alias("paid"),
+    )
+
+
+def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records: kind, bands of value and of the property k, residue of the user, and the time."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("row_id"),
+        "ts",
+        F.col("event_type").alias("kind"),
+        _int_token(F.floor(F.col("value") / 10)).alias("band"),
+        _int_token(F.floor(F.get_json_object("props", "$.k").cast("bigint") / 20)).alias("k"),
+        _int_token(F.col("user_id") % 5).alias("user"),
+    )
+
+
 def line_id() -> Column:
     """(order, line number) repeats in these tables; with part, supplier and date it does not."""
     return F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").cast("string"))

@@ -4,7 +4,7 @@ import pytest
 
 from tests.conftest import SF
 from catalog.queries import QUERIES
-from catalog.tree_oracle import ORACLE
+from catalog.wide_oracle import ORACLE
 from tools.check_oracle import compare, duck
 
 
