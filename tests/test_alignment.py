@@ -36,7 +36,7 @@ def test_scores_lie_in_unit_interval_and_map_rows_score_one(cust, cust_model):
 def test_wide_and_long_scoring_agree(cust, cust_model, monkeypatch):
     perm = fr.permute_column(cust, "region")
     wide = {r["row_id"]: r["upsilon"] for r in al.upsilon_rows(perm, cust_model).collect()}
-    monkeypatch.setattr(al, "WIDE_COLUMNS", 0)
+    monkeypatch.setattr(al, "can_score_wide", lambda model: False)
     long = {r["row_id"]: r["upsilon"] for r in al.upsilon_rows(perm, cust_model).collect()}
     assert wide.keys() == long.keys()
     assert all(math.isclose(wide[k], long[k], abs_tol=1e-12) for k in wide)
