@@ -10,10 +10,11 @@ mixed by weights that a gate selects, how much the contexts have seen, and an
 adaptive table refines the mix.  The log probabilities of all bits add up to the
 text's score.
 
-Counts are gathered from every training text: each task counts its bits and emits its
-tables once, in slices that are summed per slice.  Weights and refinement are learned
-online, in order, from a bounded sample of training texts (MIXED_TEXTS); to them each
-count is shown without their own bit.
+One pass goes over every training text, whole, in blocks of bits: a task predicts a
+block from what it has counted so far, takes an online step of weights and refinement
+on the errors, then counts the block.  It emits its tables once, in slices that are
+summed per slice, and its weights, which are averaged over all tasks by the bits behind
+them.  The number of counters follows the training tokens.
 """
 
 from __future__ import annotations
@@ -21,28 +22,35 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likeness.llm.common import SPACE, map_rows, stored, text_of
+from likeness.llm.common import SLICE_ROWS, SPACE, map_rows, stored, text_of
 from likeness.plans.materialise import keyed_join, store
 
-# Fixed sizes of the model, whatever the corpus: words with a path of their own, words
-# whose counts are sent along, counters per predictor, texts the mixer learns from.
-TREE_WORDS = 1 << 17
-SENT_WORDS = 1 << 18
-TABLE_BITS = 22
+# Each predictor has a counter for so many training tokens, a power of two of them in
+# all, at most 2 ** MAX_TABLE_BITS: a counting worker holds 12 bytes for each, a scoring
+# one 6.  More contexts than counters share them, as hashed contexts do.
+TOKENS_PER_SLOT = 6
+MIN_TABLE_BITS, MAX_TABLE_BITS = 16, 24
+# Bounds of a worker's dictionary: words with a path of their own, words sent with counts.
+# What all workers hold is bounded by these three; counts of words have no bound.
+TREE_WORDS = 1 << 18
+SENT_WORDS = 1 << 19
 PREDICTORS = 3
-MIXED_TEXTS = 600
-MIXED_CHARS = 50_000
 SLICE = 1 << 16
+# Bits of one online step.
+BLOCK = 1 << 15
+# Words spelled at a time; a longer text is cut into pieces whose contexts begin anew.
+PIECE = 1 << 15
 # Input splits that one counting task reads.
 JOINED_SPLITS = 4
 # Rarer words are spelled, so that the letters of unseen words are learned from them.
-TREE_COUNT = 3
+TREE_COUNT = 8
 # The last of so many most frequent words tells the language a text is in just now.
 COMMON = 64
 
@@ -79,11 +87,10 @@ def huffman(counts: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Code:
-    """Concatenated paths: symbol s has nodes[start[s]:start[s + 1]] and as many bits."""
+    """Concatenated paths: symbol s has steps[start[s]:start[s + 1]], each a node times two plus the bit."""
 
     start: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
+    steps: np.ndarray
 
     @classmethod
     def of(cls, counts: Sequence[int]) -> Code:
@@ -94,24 +101,24 @@ class Code:
             length[below] += 1
             at = np.where(below, parent[at], at)
         start = np.concatenate([[0], np.cumsum(length)])
-        nodes, bits = np.zeros(start[-1], np.uint32), np.zeros(start[-1], np.uint8)
+        steps = np.zeros(start[-1], np.uint32)
         # From the leaves up: every round fills one step of all paths that are not at the root yet.
         at, end, symbols = np.arange(n), start[1:].copy(), np.arange(n)
         while len(symbols := symbols[at[symbols] != root]):
             end[symbols] -= 1
-            nodes[end[symbols]] = parent[at[symbols]] - n
-            bits[end[symbols]] = side[at[symbols]]
+            steps[end[symbols]] = 2 * (parent[at[symbols]] - n) + side[at[symbols]]
             at[symbols] = parent[at[symbols]]
-        return cls(start, nodes, bits)
+        return cls(start, steps)
 
     def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into ``symbols``, node, bit) of all bits in order."""
+        """Number of bits of each symbol; node and bit of all bits in order."""
         first = self.start[symbols]
         length = self.start[symbols + 1] - first
-        index = np.repeat(np.arange(len(symbols)), length)
-        within = np.arange(len(index)) - np.repeat(np.cumsum(length) - length, length)
-        at = first[index] + within
-        return index, self.nodes[at], self.bits[at]
+        ends = np.cumsum(length)
+        at = np.repeat(first - ends + length, length)
+        at += np.arange(len(at))
+        steps = self.steps[at]
+        return length, steps >> np.uint32(1), (steps & np.uint32(1)).astype(np.uint8)
 
 
 def byte_counts(words: Sequence[bytes]) -> np.ndarray:
@@ -127,7 +134,6 @@ def byte_counts(words: Sequence[bytes]) -> np.ndarray:
 # ------------------------------------------------------------------ contexts
 
 _ODD = tuple(np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
-_SHIFT = np.uint32(32 - TABLE_BITS)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -136,10 +142,18 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def _slots(node: np.ndarray, index: np.ndarray, contexts: Sequence[np.ndarray]) -> list[np.ndarray]:
-    """The table slot of each bit under each context; ``contexts`` are hashes per symbol."""
+def _slots(node: np.ndarray, length: np.ndarray, contexts: Sequence[np.ndarray], table_bits: int) -> list[np.ndarray]:
+    """The table slot of each bit under each context; ``contexts`` are hashes per symbol of ``length`` bits."""
     own = node * _ODD[0]
-    return [((own ^ c[index]) * _ODD[1]) >> _SHIFT for c in contexts]
+    shift = np.uint32(32 - table_bits)
+    out = []
+    for c in contexts:
+        slot = np.repeat(c, length)
+        slot ^= own
+        slot *= _ODD[1]
+        slot >>= shift
+        out.append(slot)
+    return out
 
 
 @dataclass
@@ -155,30 +169,35 @@ class Bits:
         total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
         return total[np.append(self.start[1:], len(value))] - total[self.start]
 
+    def blocks(self) -> Iterator[slice]:
+        return (slice(k, k + BLOCK) for k in range(0, len(self.bit), BLOCK))
+
 
 class Speller:
     """Turns texts into streams of bits with their contexts' table slots."""
 
-    def __init__(self, words: Sequence[bytes], tree_words: int, tree: Code, letters: Code):
+    def __init__(self, words: Sequence[bytes], tree_words: int, tree: Code, letters: Code, table_bits: int):
         """``words`` by falling count; the first ``tree_words`` have paths of their own."""
         self.place = {w: i for i, w in enumerate(words)}
-        self.tree_words, self.tree, self.letters = tree_words, tree, letters
+        self.tree_words, self.tree, self.letters, self.table_bits = tree_words, tree, letters, table_bits
 
     def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all words in the list (-1: not there), and where each text begins; no end marks."""
-        get = self.place.get
-        flat = np.fromiter((get(w, -1) for t in texts for w in t), np.int64)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        found = map(self.place.get, chain.from_iterable(texts), repeat(-1))
+        flat = np.fromiter(found, np.int64, int(lengths.sum()))
         return flat, np.cumsum(lengths) - lengths
 
-    def stream(self, texts: list[list[bytes]], places: np.ndarray, begins: np.ndarray) -> list[Bits]:
-        """The bits of the words' paths, and those of spelled words."""
-        n = len(texts)
+    def stream(
+        self, texts: list[list[bytes]], places: np.ndarray, begins: np.ndarray, ended: np.ndarray | None = None
+    ) -> list[Bits]:
+        """The bits of the words' paths, and those of spelled words; an end follows where ``ended`` (all)."""
+        ended = np.ones(len(texts), bool) if ended is None else ended
         rare = (places < 0) | (places >= self.tree_words)
-        ids = np.insert(np.where(rare, ESCAPE, places + 2), np.append(begins[1:], len(places)), END)
-        first = begins + np.arange(n)
+        ids = np.insert(np.where(rare, ESCAPE, places + 2), np.append(begins[1:], len(places))[ended], END)
+        first = begins + np.cumsum(ended) - ended
         prev = np.empty_like(ids)
-        prev[1:], prev[0] = ids[:-1], END
+        prev[1:], prev[first] = ids[:-1], END
         prev2 = np.empty_like(ids)
         prev2[1:], prev2[0] = prev[:-1], END
         prev2[first] = END
@@ -189,10 +208,9 @@ class Speller:
         one, two = prev.astype(np.uint32), prev2.astype(np.uint32)
         language = _scramble(last + np.uint32(1))
         contexts = [language, _scramble(one * _ODD[2] + np.uint32(3)), _scramble(one * _ODD[3] + _scramble(two))]
-        index, node, bit = self.tree.spell(ids)
-        lengths = self.tree.start[ids + 1] - self.tree.start[ids]
-        ends = np.cumsum(lengths)
-        parts = [Bits(False, bit, _slots(node, index, contexts), ends[first] - lengths[first])]
+        lengths, node, bit = self.tree.spell(ids)
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        parts = [Bits(False, bit, _slots(node, lengths, contexts, self.table_bits), before[first])]
         if rare.any():
             parts.append(self._spelled(texts, rare, begins, language[ids == ESCAPE]))
         return parts
@@ -214,13 +232,13 @@ class Speller:
         c1 = _scramble(back[0] * _ODD[2] + (tongue | np.uint32(1)))
         c2 = _scramble(c1 + back[1] * _ODD[3] + np.uint32(11))
         c3 = _scramble((back[0] * np.uint32(257) + back[1]) * np.uint32(257) + back[2] + np.uint32(1 << 30))
-        index, node, bit = self.letters.spell(data.astype(np.int64))
-        lengths = np.add.reduceat(self.letters.start[data.astype(np.int64) + 1] - self.letters.start[data], starts)
+        each, node, bit = self.letters.spell(data.astype(np.int64))
+        lengths = np.add.reduceat(each, starts)
         per_text = np.add.reduceat(np.append(rare, False), np.minimum(begins, len(rare)))
         per_text[np.append(begins[1:], len(rare)) == begins] = 0
         ends = np.concatenate([[0], np.cumsum(lengths)])
         first = np.cumsum(per_text) - per_text
-        return Bits(True, bit, _slots(node ^ np.uint32(1 << 28), index, [c1, c2, c3]), ends[first])
+        return Bits(True, bit, _slots(node ^ np.uint32(1 << 28), each, [c1, c2, c3], self.table_bits), ends[first])
 
 
 # -------------------------------------------------------------------- mixing
@@ -235,12 +253,9 @@ _FIRST = 1024
 STRETCH = np.zeros(_FIRST + 16 * 1024, np.float32)
 STRETCH[: (EXACT + 1) ** 2] = np.log((_ONES.ravel() + 0.3) / (_ZEROS.ravel() + 0.3))
 STRETCH[_FIRST:] = np.tile((np.arange(1024) - 511.5) / 64, 16)
+_KNOWN = np.digitize(np.arange(21), [1, 4, 20]).astype(np.uint8)
 SEEN = np.full(len(STRETCH), 3, np.uint8)
-SEEN[: (EXACT + 1) ** 2] = np.digitize((_ZEROS + _ONES).ravel(), [1, 4, 20])
-# A counter without one of its zeros or ones, as a training bit must see it.
-WITHOUT = np.tile(np.arange(len(STRETCH), dtype=np.uint16), (2, 1))
-WITHOUT[0, : (EXACT + 1) ** 2] = _PAIR[np.maximum(_ZEROS - 1, 0), _ONES].ravel()
-WITHOUT[1, : (EXACT + 1) ** 2] = _PAIR[_ZEROS, np.maximum(_ONES - 1, 0)].ravel()
+SEEN[: (EXACT + 1) ** 2] = _KNOWN[np.minimum(_ZEROS + _ONES, 20).ravel()]
 
 
 def as_cells(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -257,6 +272,19 @@ BUCKETS = 33
 _LN2 = float(np.log(2.0))
 
 
+# Log odds from -8 to 8 in so many steps, for scoring.
+STEPS = 2048
+
+
+def _at(table: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Elements at 64-bit indices known to be inside; unlike subscripts, without a test of each."""
+    return table.take(index, mode="clip")
+
+
+def _average(total: np.ndarray, weight: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    return np.where(weight > 0, total / np.maximum(weight, 1e-300), otherwise).astype(np.float32)
+
+
 class Mixer:
     """Gated weights and the adaptive refinement of their result."""
 
@@ -264,55 +292,86 @@ class Mixer:
         self.weights = np.full((PREDICTORS + 1, GATES), 0.4, np.float32)
         self.weights[-1] = 0.0
         self.refined = np.tile(np.linspace(-8, 8, BUCKETS, dtype=np.float32), GATES)
+        # Bits behind each weight and cell, and the squares of their steps so far.
+        self.bits, self.hits = np.zeros(GATES), np.zeros(GATES * BUCKETS)
+        self.moved, self.turned = np.full((PREDICTORS + 1, GATES), 1e-9), np.full(GATES * BUCKETS, 1e-9)
 
-    def _mixed(self, cells: list[np.ndarray], spelled: bool):
-        inputs = [STRETCH[c] for c in cells]
-        seen = [SEEN[c] for c in cells]
+    def _mixed(self, inputs: list[np.ndarray], seen: list[np.ndarray], spelled: bool):
         gate = (seen[0] == 3) * np.uint8(16) + seen[1] * np.uint8(4) + seen[2] + np.uint8(32 * spelled)
-        x = self.weights[PREDICTORS][gate]
+        gate = gate.astype(np.int64)
+        x = _at(self.weights[PREDICTORS], gate)
         for j in range(PREDICTORS):
-            x += self.weights[j][gate] * inputs[j]
-        return inputs, gate, np.clip(x, -7.99, 7.99, out=x)
+            x += _at(self.weights[j], gate) * inputs[j]
+        return gate, np.clip(x, -7.99, 7.99, out=x)
 
-    def _refine(self, x: np.ndarray, gate: np.ndarray):
-        """Interpolates the gate's table; the result is averaged with the mix, in log odds."""
+    def learn(self, inputs: list[np.ndarray], seen: list[np.ndarray], bit: np.ndarray, spelled: bool, rate=0.02):
+        """One online step over a block of bits, each step as long as the steps before allow."""
+        gate, x = self._mixed(inputs, seen, spelled)
         place = (x + np.float32(8.0)) * np.float32((BUCKETS - 1) / 16.0)
-        low = place.astype(np.int32)
-        part = place - low
-        low += gate.astype(np.int32) * BUCKETS
-        below = self.refined[low]
-        final = below + (self.refined[low + 1] - below) * part
-        final += x
-        final *= np.float32(0.5)
-        return final, low, part
-
-    def log2(self, cells: list[np.ndarray], bits: Bits) -> np.ndarray:
-        """log2 of the probability of each bit."""
-        _, gate, x = self._mixed(cells, bits.spelled)
-        final, _, _ = self._refine(x, gate)
-        np.negative(final, out=final, where=bits.bit.astype(bool))
-        return np.log1p(np.exp(final)) * np.float32(-1 / _LN2)
-
-    def learn(self, cells: list[np.ndarray], bits: Bits, rate: float) -> None:
-        """One online step over a block of bits."""
-        inputs, gate, x = self._mixed(cells, bits.spelled)
-        final, low, part = self._refine(x, gate)
-        size = np.sqrt(np.bincount(gate, minlength=GATES) + 1.0)
-        error = bits.bit - 1 / (1 + np.exp(-x))
+        low = place.astype(np.int64)
+        part = place - low.astype(np.float32)
+        low += gate * BUCKETS
+        below = _at(self.refined, low)
+        final = (below + (_at(self.refined, low + 1) - below) * part + x) * np.float32(0.5)
+        error = bit - 1 / (1 + np.exp(-x))
+        self.bits += np.bincount(gate, minlength=GATES)
         for j in range(PREDICTORS + 1):
-            term = error * inputs[j] if j < PREDICTORS else error
-            self.weights[j] += (rate * np.bincount(gate, term, GATES) / size).astype(np.float32)
-        error = bits.bit - 1 / (1 + np.exp(-final))
-        for shift, share in ((0, 1 - part), (1, part)):
-            flat = np.bincount(low + shift, error * share, GATES * BUCKETS)
-            much = np.bincount(low + shift, share, GATES * BUCKETS)
-            self.refined += (rate * 4 * flat / np.sqrt(much + 1.0)).astype(np.float32)
+            step = np.bincount(gate, error * inputs[j] if j < PREDICTORS else error, GATES)
+            self.moved[j] += step * step
+            self.weights[j] += (rate * step / np.sqrt(self.moved[j])).astype(np.float32)
+        error = bit - 1 / (1 + np.exp(-final))
+        right = error * part
+        step = np.bincount(low, error - right, GATES * BUCKETS)
+        step[1:] += np.bincount(low, right, GATES * BUCKETS)[:-1]
+        much = np.bincount(low, minlength=GATES * BUCKETS)
+        self.hits += much
+        self.hits[1:] += much[:-1]
+        self.turned += step * step
+        self.refined += (4 * rate * step / np.sqrt(self.turned)).astype(np.float32)
         np.clip(self.refined, -9, 9, out=self.refined)
 
+    def state(self) -> np.ndarray:
+        """Sums that add up over mixers: bits and weighted values of weights, then of refined cells."""
+        cells = np.stack([self.hits, self.hits * self.refined])
+        return np.concatenate([self.bits, (self.bits * self.weights).ravel(), cells.ravel()])
+
+    @classmethod
+    def averaged(cls, state: np.ndarray) -> Mixer:
+        """The mixer whose every value is the mean of others, by the bits behind it."""
+        out = cls()
+        cut = GATES * (PREDICTORS + 2)
+        out.bits, sums = state[:GATES], state[GATES:cut].reshape(PREDICTORS + 1, GATES)
+        out.hits, cells = state[cut:].reshape(2, GATES * BUCKETS)
+        out.weights = _average(sums, out.bits, out.weights)
+        out.refined = _average(cells, out.hits, out.refined)
+        return out
+
+    def table(self) -> np.ndarray:
+        """log2 of the probability of a bit, by (gate, step of the mixed log odds, bit)."""
+        x = ((np.arange(STEPS) + 0.5) * (16.0 / STEPS) - 8.0)[None, :]
+        place = (x + 8.0) * ((BUCKETS - 1) / 16.0)
+        low = place.astype(np.int64)
+        rows = self.refined.reshape(GATES, BUCKETS).astype(np.float64)
+        below = rows[:, low[0]]
+        final = 0.5 * (x + below + (rows[:, low[0] + 1] - below) * (place - low))
+        return np.stack([np.logaddexp(0, final), np.logaddexp(0, -final)], axis=2).ravel() / -_LN2
+
+    def log2(self, cells: list[np.ndarray], bit: np.ndarray, spelled: bool, table: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each bit of a block."""
+        cells = [c.astype(np.int64) for c in cells]
+        gate, x = self._mixed([_at(STRETCH, c) for c in cells], [_at(SEEN, c) for c in cells], spelled)
+        x += np.float32(8.0)
+        x *= np.float32(STEPS / 16.0)
+        at = x.astype(np.int64)
+        at += gate * STEPS
+        at <<= 1
+        at |= bit
+        return _at(table, at)
+
 
 @dataclass
 class Model:
-    """What a scoring task needs; its size does not grow with the corpus."""
+    """What a scoring task needs."""
 
     words: list[bytes]
     tree_words: int
@@ -322,40 +381,70 @@ class Model:
     mixer: Mixer
 
     def speller(self) -> Speller:
-        return Speller(self.words, self.tree_words, self.tree, self.letters)
+        table_bits = self.tables.shape[1].bit_length() - 1
+        return Speller(self.words, self.tree_words, self.tree, self.letters, table_bits)
 
-    def cells(self, bits: Bits) -> list[np.ndarray]:
-        return [self.tables[j][bits.slots[j]] for j in range(PREDICTORS)]
+    def score(self, streams: list[Bits], table: np.ndarray) -> np.ndarray:
+        """log2 probability of each text; ``table`` is the mixer's."""
+        total = 0.0
+        for bits in streams:
+            each = np.empty(len(bits.bit))
+            for k in bits.blocks():
+                cells = [_at(self.tables[j], bits.slots[j][k].astype(np.int64)) for j in range(PREDICTORS)]
+                each[k] = self.mixer.log2(cells, bits.bit[k], bits.spelled, table)
+            total = total + bits.sums(each)
+        return total
 
-    def score(self, streams: list[Bits]) -> np.ndarray:
-        """log2 probability of each text."""
-        return sum(bits.sums(self.mixer.log2(self.cells(bits), bits)) for bits in streams)
 
-    def learn(self, texts: list[str]) -> None:
-        """Online steps over texts that are among those counted."""
-        speller = self.speller()
-        for rate in (0.02, 0.01, 0.005):
-            for run in _chunks(texts, 40_000):
-                words = [tokens(t) for t in run]
-                for bits in speller.stream(words, *speller.places(words)):
-                    cells = [WITHOUT[bits.bit, c] for c in self.cells(bits)]
-                    self.mixer.learn(cells, bits, rate)
+class Counter:
+    """Counts bits, zeros and ones side by side, and teaches a mixer by what it has counted before.
+
+    A counter that passes HALF is halved before its next block, so 16 bits suffice.
+    """
+
+    HALF = 1 << 15
+
+    def __init__(self, table_bits: int):
+        self.tables = np.zeros((PREDICTORS, 2 << table_bits), np.uint16)
+        self.mixer = Mixer()
+
+    def add(self, bits: Bits) -> None:
+        for k in bits.blocks():
+            bit, inputs, seen = bits.bit[k], [], []
+            for j in range(PREDICTORS):
+                slot = bits.slots[j][k].astype(np.int64)
+                pair = _at(self.tables[j].view(np.uint32), slot)
+                zeros, ones = pair & np.uint32(0xFFFF), pair >> np.uint32(16)
+                if (large := pair & np.uint32(self.HALF << 16 | self.HALF)).any():
+                    self.tables[j].reshape(-1, 2)[np.unique(slot[large > 0])] >>= 1
+                seen.append(_at(_KNOWN, np.minimum(zeros + ones, np.uint32(20)).astype(np.int64)))
+                odds = (ones.astype(np.float32) + np.float32(0.3)) / (zeros.astype(np.float32) + np.float32(0.3))
+                inputs.append(np.log(odds))
+                # Index and addend of these types take numpy's fast path.
+                slot <<= 1
+                slot |= bit
+                np.add.at(self.tables[j], slot, np.uint16(1))
+            self.mixer.learn(inputs, seen, bit, bits.spelled)
 
 
 # --------------------------------------------------------------------- Spark
 
 
-def _chunks(texts: list, most: int = 400_000) -> Iterator[list]:
-    """Runs of texts with about ``most`` bytes; a longer text is a run of its own."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+def _runs(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray]]:
+    """(numbers of texts, their words, whether their ends follow), of about PIECE words."""
+    own, words, ended, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        split = tokens(text)
+        for k in range(0, max(1, len(split)), PIECE):
+            own.append(i)
+            words.append(split[k : k + PIECE])
+            ended.append(k + PIECE >= len(split))
+            size += len(words[-1])
+            if size >= PIECE:
+                yield own, words, np.array(ended)
+                own, words, ended, size = [], [], [], 0
+    if own:
+        yield own, words, np.array(ended)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -366,23 +455,19 @@ def word_counts(train: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
 
 
-def bit_counts(train: DataFrame, shared) -> DataFrame:
-    """(predictor, part, counts): sums of all tasks' counters, a slice of a table in each row."""
+def bit_counts(train: DataFrame, shared, table_bits: int) -> DataFrame:
+    """(predictor, part, cells): all tasks' counters, a slice of a table in each row; predictor -1 is the mixer's state."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(*shared.value)
-        tables = np.zeros((PREDICTORS, 2 << TABLE_BITS), np.uint32)
+        speller, counter = Speller(*shared.value, table_bits), Counter(table_bits)
         for part in parts:
-            for run in _chunks(part.column("text").to_pylist()):
-                words = [tokens(t) for t in run]
-                for bits in speller.stream(words, *speller.places(words)):
-                    for j in range(PREDICTORS):
-                        # Index and addend of these types take numpy's fast path.
-                        at = (bits.slots[j].astype(np.int64) << 1) | bits.bit
-                        np.add.at(tables[j], at, np.uint32(1))
+            for at in range(0, part.num_rows, SLICE_ROWS):
+                for _, words, ended in _runs(part.column("text").slice(at, SLICE_ROWS).to_pylist()):
+                    for bits in speller.stream(words, *speller.places(words), ended):
+                        counter.add(bits)
         for j in range(PREDICTORS):
-            for k in range(0, 2 << TABLE_BITS, SLICE):
-                own = tables[j, k : k + SLICE]
+            for k in range(0, 2 << table_bits, SLICE):
+                own = counter.tables[j, k : k + SLICE]
                 at = np.flatnonzero(own)
                 if len(at):
                     yield pa.RecordBatch.from_pydict(
@@ -390,10 +475,12 @@ def bit_counts(train: DataFrame, shared) -> DataFrame:
                             "predictor": [j],
                             "part": [k // SLICE],
                             "at": [at.astype(np.uint16).tobytes()],
-                            "n": [own[at].astype(np.uint32).tobytes()],
+                            "n": [own[at].tobytes()],
                         },
                         schema=sparse,
                     )
+        state = {"predictor": [-1], "part": [0], "at": [b""], "n": [counter.mixer.state().tobytes()]}
+        yield pa.RecordBatch.from_pydict(state, schema=sparse)
 
     sparse = pa.schema([("predictor", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
     # Each task emits its tables once, so fewer and longer tasks shuffle less.
@@ -404,11 +491,15 @@ def bit_counts(train: DataFrame, shared) -> DataFrame:
     )
 
     def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLICE, np.int64)
+        mixer = key[0].as_py() < 0
+        total = np.zeros(len(Mixer().state()) if mixer else SLICE, np.float64 if mixer else np.int64)
         for part in parts:
             for at, n in zip(part.column("at").to_pylist(), part.column("n").to_pylist()):
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
-        cells = as_cells(total[0::2], total[1::2])
+                if mixer:
+                    total += np.frombuffer(n)
+                else:
+                    total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+        cells = total if mixer else as_cells(total[0::2], total[1::2])
         yield pa.RecordBatch.from_pydict(
             {"predictor": [key[0].as_py()], "part": [key[1].as_py()], "cells": [cells.tobytes()]}, schema=dense
         )
@@ -429,16 +520,17 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, np.ndarray]:
     rest = (total or 0) - (ends or 0) - int(sizes[:tree_words].sum())
     tree = Code.of([max(1, ends or 0), max(1, rest), *sizes[:tree_words].tolist()])
     letters = Code.of(byte_counts(words[tree_words // 2 : tree_words + 20_000]).tolist())
+    wanted = ((total or 0) // TOKENS_PER_SLOT).bit_length() - 1
+    table_bits = min(MAX_TABLE_BITS, max(MIN_TABLE_BITS, wanted))
     shared = spark.sparkContext.broadcast((words[:tree_words], tree_words, tree, letters))
-    tables = np.zeros((PREDICTORS, 1 << TABLE_BITS), np.uint16)
-    for row in stored(bit_counts(train, shared)).toLocalIterator():
+    tables, mixer = np.zeros((PREDICTORS, 1 << table_bits), np.uint16), Mixer()
+    for row in stored(bit_counts(train, shared, table_bits)).toLocalIterator():
+        if row["predictor"] < 0:
+            mixer = Mixer.averaged(np.frombuffer(row["cells"]))
+            continue
         first = row["part"] * (SLICE // 2)
         tables[row["predictor"], first : first + SLICE // 2] = np.frombuffer(row["cells"], np.uint16)
-    model = Model(words, tree_words, tree, letters, tables, Mixer())
-    share = min(1.0, 3 * MIXED_TEXTS / max(1, ends or 0))
-    place = F.pmod(F.xxhash64(F.lit("mix"), "text"), F.lit(1 << 30))
-    sample = train.filter((place < int(share * (1 << 30))) & (F.length("text") <= MIXED_CHARS))
-    model.learn([r["text"] for r in sample.orderBy(place, "text").limit(MIXED_TEXTS).collect()])
+    model = Model(words, tree_words, tree, letters, tables, mixer)
     return model, np.append(sizes, [ends or 0])
 
 
@@ -447,8 +539,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram,
     log10), score (the mixture's log10 probability), bits_per_byte (of the words with
-    one byte after each).  NULL text is empty: its end mark is scored.  Without training
-    texts all counts are 0 and every predictor is even.
+    one byte after each).  NULL text is empty: its end mark is scored.  Rows that are
+    repeated teach and are scored each time; a NULL id counts as the empty text when rows
+    are held out.  Without training texts all counts are 0 and every predictor is even.
+    Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
@@ -470,23 +564,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def make(part: dict[str, list]) -> dict:
         if not ready:
             model, log, known = shared.value
-            ready.extend((model, model.speller(), log, known))
-        model, speller, log, known = ready
-        out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes", "others")}
-        for run in _chunks(part["text"]):
-            words = [tokens(t) for t in run]
+            ready.extend((model, model.speller(), model.mixer.table(), log, known))
+        model, speller, table, log, known = ready
+        n = len(part["text"])
+        out = {c: [0] * n for c in ("n_tokens", "n_known", "n_bytes")}
+        out |= {c: [0.0] * n for c in ("base_score", "score")} | {"others": [[] for _ in range(n)]}
+        for numbers, words, ended in _runs(part["text"]):
             places, begins = speller.places(words)
-            out["score"] += (model.score(speller.stream(words, places, begins)) * np.log10(2.0)).tolist()
-            for own, first in zip(words, begins.tolist()):
+            scores = model.score(speller.stream(words, places, begins, ended), table) * np.log10(2.0)
+            for i, own, first, last, score in zip(numbers, words, begins.tolist(), ended.tolist(), scores.tolist()):
                 at = places[first : first + len(own)]
-                missing = np.flatnonzero(at < 0)
                 found = at[at >= 0]
-                out["n_tokens"].append(len(own) + 1)
-                out["n_known"].append(len(found) + int(known[-1]))
-                out["base_score"].append(float(log[found].sum() + log[-1] - (len(own) + 1) * base))
-                out["n_bytes"].append(sum(map(len, own)) + len(own) + 1)
-                spelled = [] if everything else [own[i].decode("utf-8", "replace") for i in missing.tolist()]
-                out["others"].append(spelled)
+                out["score"][i] += score
+                out["n_tokens"][i] += len(own) + last
+                out["n_known"][i] += len(found) + int(last and known[-1])
+                out["base_score"][i] += float(log[found].sum() + last * log[-1] - (len(own) + last) * base)
+                out["n_bytes"][i] += sum(map(len, own)) + len(own) + last
+                if not everything:
+                    out["others"][i] += [own[k].decode("utf-8", "replace") for k in np.flatnonzero(at < 0).tolist()]
         return {"doc_id": part["doc_id"], "held_out": part["held_out"], **out}
 
     scored = map_rows(rows, make, schema)
