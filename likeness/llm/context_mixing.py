@@ -455,6 +455,25 @@ def word_counts(train: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
 
 
+def packed(own: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """A slice of counters, either those above 0 with their places or, where that is shorter,
+    one byte of each without places and then what is above a byte."""
+    at = np.flatnonzero(own)
+    over = at[own[at] > 255]
+    if 4 * len(at) > len(own) + 4 * len(over):
+        yield b"", np.minimum(own, 255).astype(np.uint8).tobytes()
+        at, own = over, own - np.minimum(own, 255)
+    if len(at):
+        yield at.astype(np.uint16).tobytes(), own[at].astype(np.uint16).tobytes()
+
+
+def add_packed(total: np.ndarray, at: bytes, n: bytes) -> None:
+    if at:
+        total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+    else:
+        total += np.frombuffer(n, np.uint8)
+
+
 def bit_counts(train: DataFrame, shared, table_bits: int) -> DataFrame:
     """(predictor, part, cells): all tasks' counters, a slice of a table in each row; predictor -1 is the mixer's state."""
 
@@ -467,18 +486,9 @@ def bit_counts(train: DataFrame, shared, table_bits: int) -> DataFrame:
                         counter.add(bits)
         for j in range(PREDICTORS):
             for k in range(0, 2 << table_bits, SLICE):
-                own = counter.tables[j, k : k + SLICE]
-                at = np.flatnonzero(own)
-                if len(at):
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "predictor": [j],
-                            "part": [k // SLICE],
-                            "at": [at.astype(np.uint16).tobytes()],
-                            "n": [own[at].tobytes()],
-                        },
-                        schema=sparse,
-                    )
+                for at, n in packed(counter.tables[j, k : k + SLICE]):
+                    row = {"predictor": [j], "part": [k // SLICE], "at": [at], "n": [n]}
+                    yield pa.RecordBatch.from_pydict(row, schema=sparse)
         state = {"predictor": [-1], "part": [0], "at": [b""], "n": [counter.mixer.state().tobytes()]}
         yield pa.RecordBatch.from_pydict(state, schema=sparse)
 
@@ -498,7 +508,7 @@ def bit_counts(train: DataFrame, shared, table_bits: int) -> DataFrame:
                 if mixer:
                     total += np.frombuffer(n)
                 else:
-                    total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+                    add_packed(total, at, n)
         cells = total if mixer else as_cells(total[0::2], total[1::2])
         yield pa.RecordBatch.from_pydict(
             {"predictor": [key[0].as_py()], "part": [key[1].as_py()], "cells": [cells.tobytes()]}, schema=dense

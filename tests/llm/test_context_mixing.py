@@ -180,6 +180,18 @@ def test_counters_are_halved_before_they_are_full():
     assert counter.tables[0, 14:16].tolist() == [cm.BLOCK // 8, expected >> 1]
 
 
+def test_packed_slices_add_up_again():
+    rng = np.random.default_rng(4)
+    for share, most in ((0.01, 9), (0.9, 9), (0.9, 300), (0.5, 60_000), (0.0, 2)):
+        own = (rng.integers(1, most, 1 << 16) * (rng.random(1 << 16) < share)).astype(np.uint16)
+        total = np.ones(1 << 16, np.int64)
+        rows = list(cm.packed(own))
+        for at, n in rows:
+            cm.add_packed(total, at, n)
+        assert (total == own + 1).all()
+        assert sum(len(at) + len(n) for at, n in rows) <= 4 * np.count_nonzero(own)
+
+
 def test_mixers_are_averaged_by_the_bits_behind_them():
     a, b = cm.Mixer(), cm.Mixer()
     a.weights[:, 3], a.bits[3], b.weights[:, 3], b.bits[3] = 1.0, 30, 2.0, 10
