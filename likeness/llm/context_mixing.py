@@ -23,13 +23,14 @@ import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain, repeat
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likeness.llm.common import SLICE_ROWS, SPACE, map_rows, stored, text_of
+from likeness.llm.common import SLICE_ROWS, map_rows, stored, text_of
 from likeness.plans.materialise import keyed_join, store
 
 # Each predictor has a counter for so many training tokens, a power of two of them in
@@ -44,7 +45,7 @@ SENT_WORDS = 1 << 19
 PREDICTORS = 3
 SLICE = 1 << 16
 # Bits of one online step.
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 # Words spelled at a time; a longer text is cut into pieces whose contexts begin anew.
 PIECE = 1 << 15
 # Input splits that one counting task reads.
@@ -449,10 +450,11 @@ def _runs(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[bytes]
 
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, c): words of all training texts, and one end for each text under the empty word."""
-    lower = F.translate(text_of("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, SPACE), lambda w: w != "")
-    each = train.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("word"))
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    # All six spaces become one, which splits without a pattern.
+    lower = F.translate(text_of("text"), ascii_uppercase + "\t\n\x0b\f\r", ascii_lowercase + " " * 5)
+    each = train.select(F.explode(F.split(lower, " ")).alias("word")).filter("word <> ''")
+    ends = train.select(F.lit("").alias("word"))
+    return each.unionAll(ends).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
 
 
 def packed(own: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
