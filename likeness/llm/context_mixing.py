@@ -37,7 +37,7 @@ from likeness.plans.materialise import keyed_join, store
 # all, at most 2 ** MAX_TABLE_BITS: a counting worker holds 12 bytes for each, a scoring
 # one 6.  More contexts than counters share them, as hashed contexts do.
 TOKENS_PER_SLOT = 6
-MIN_TABLE_BITS, MAX_TABLE_BITS = 16, 24
+MIN_TABLE_BITS, MAX_TABLE_BITS = 20, 24
 # Bounds of a worker's dictionary: words with a path of their own, words sent with counts.
 # What all workers hold is bounded by these three; counts of words have no bound.
 TREE_WORDS = 1 << 18

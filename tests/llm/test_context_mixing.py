@@ -133,7 +133,7 @@ def plain_bits(text, place, tree_words, tree, letters, table_bits):
 def plain_score(model, text):
     mixer, total = model.mixer, 0.0
     place = {w: i for i, w in enumerate(model.words)}
-    for spelled, bit, slots in plain_bits(text, place, model.tree_words, model.tree, model.letters, 16):
+    for spelled, bit, slots in plain_bits(text, place, model.tree_words, model.tree, model.letters, cm.MIN_TABLE_BITS):
         cells = [int(t[s]) for t, s in zip(model.tables, slots)]
         seen = [int(cm.SEEN[c]) for c in cells]
         gate = 32 * spelled + 16 * (seen[0] == 3) + 4 * seen[1] + seen[2]
@@ -150,11 +150,11 @@ def test_scores_match_plain_python(spark, corpus, scored):
     train = [t or "" for i, t in corpus if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     frame = spark.createDataFrame([(t,) for t in train], "text string")
     model, _ = cm.fit(frame, cm.word_counts(frame))
-    assert model.tables.shape == (3, 1 << 16) and 0 < model.tree_words < len(model.words)
+    assert model.tables.shape == (3, 1 << cm.MIN_TABLE_BITS) and 0 < model.tree_words < len(model.words)
     place = {w: i for i, w in enumerate(model.words)}
-    counts = np.zeros((2, 3, 1 << 16), np.int64)
+    counts = np.zeros((2, 3, 1 << cm.MIN_TABLE_BITS), np.int64)
     for text in train:
-        for _, bit, slots in plain_bits(text, place, model.tree_words, model.tree, model.letters, 16):
+        for _, bit, slots in plain_bits(text, place, model.tree_words, model.tree, model.letters, cm.MIN_TABLE_BITS):
             for j, slot in enumerate(slots):
                 counts[bit, j, slot] += 1
     assert counts.max() < cm.Counter.HALF
