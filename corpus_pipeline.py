@@ -46,7 +46,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingle similarity, the one with the smallest id."""
+    """One document of each group linked by five-word shingle similarity, the one with the smallest id.
+
+    SimHash fingerprints and MinHash bands propose the pairs; the whole shingle sets decide.
+    """
     return drop_near_duplicates(docs, words=5, similarity=0.8)
 
 

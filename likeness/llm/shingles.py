@@ -1,6 +1,7 @@
 """Near duplicates by word shingles: MinHash bands propose pairs, exact Jaccard similarity decides.
 
-At a similarity of 0.8 the fingerprints of :mod:`simhash` differ in about eight bits, and no
+SimHash fingerprints within two bits, found by the Golay keys of :mod:`simhash`, propose the
+closest pairs.  At a similarity of 0.8 fingerprints differ in about eight bits, and no
 key of a 64-bit fingerprint that survives so many errors is selective.  A text's minima
 under BANDS x DEPTH permutations are selective: two texts with similarity s share a band
 with probability 1 - (1 - s^DEPTH)^BANDS, 0.9996 at 0.8.
@@ -15,13 +16,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likeness.llm import simhash
 from likeness.llm.common import map_rows, smallest_first, stored, text_of
 from likeness.llm.components import components
 from likeness.plans.materialise import keyed_join, lookup, store
 
 BANDS, DEPTH = 20, 5
-# The texts of a band key shared by more than this first meet a central one; then only those not yet connected meet.
-HOT_KEY = 64
+# The texts of a band key shared by more than this first meet a central one; then only those not yet connected meet,
+# by their rarest shingles.  A shingle's frequency is counted in one of so many cells.
+HOT_KEY = 16
+CELLS = 1 << 20
+# Rows of one frequent shingle that meet in one task.
+PART_ROWS = 64
 _PART = 1 << 12
 
 _draw = np.random.default_rng(42)
@@ -81,10 +87,10 @@ def sketch_limit(similarity: float) -> int:
 
 
 def _with_keys(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, node, n, keys, s0, s1): ``node`` is a hash of the shingle set, ``n`` its size, s0 and s1 its sketch."""
+    """(doc_id, node, n, keys, s0, s1, fp): a hash of the shingle set, its size, band keys, sketch and SimHash."""
 
     def make(rows: dict[str, list]) -> dict:
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "node": [], "n": [], "keys": [], "s0": [], "s1": []}
+        out: dict[str, list] = {"doc_id": rows["doc_id"], "node": [], "n": [], "keys": [], "s0": [], "s1": [], "fp": []}
         for text in rows["text"]:
             found = shingle_set(text, words)
             least = minima(found)
@@ -94,11 +100,13 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
             out["keys"].append(_keys(least).view(np.int64))
             out["s0"].append(low)
             out["s1"].append(high)
+            out["fp"].append(simhash.fingerprint(text, words))
+        out["fp"] = np.array(out["fp"], np.uint64).view(np.int64)
         return out
 
     kind = dict(docs.dtypes)[id_col]
     chosen = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return map_rows(chosen, make, f"doc_id {kind}, node bigint, n int, keys array<bigint>, s0 bigint, s1 bigint")
+    return map_rows(chosen, make, f"doc_id {kind}, node bigint, n int, keys array<bigint>, s0 bigint, s1 bigint, fp bigint")
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -112,23 +120,41 @@ def _alike(similarity: float) -> Column:
     return near & (apart <= sketch_limit(similarity))
 
 
-def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
-    return rows.select(*keys, F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "s0", "s1")])
+def _side(rows: DataFrame, side: str, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select(*keys, F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "s0", "s1", *more)])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def pairs_by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs that connect the nodes whose SimHash fingerprints differ in at most two bits, found by Golay keys.
+
+    Nodes of one fingerprint meet the smallest of them.
+    """
+    prints = store(nodes.groupBy("fp").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("often")))
+    total = nodes.count()
+    same = keyed_join(nodes.select("fp", F.col("node").alias("a")), prints.df, {"fp": "fp"}, prints.small, "often", total)
+    near = stored(simhash.links(prints.df.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb")))
+    for side in "ab":
+        named = prints.df.select(F.col("fp").alias(f"f{side}"), F.col("b").alias(side))
+        near = near.join(named, f"f{side}")
+    return _ordered(same).unionByName(_ordered(near))
+
+
 def banded(nodes: DataFrame) -> DataFrame:
-    """(key, sub, node, n, s0, s1, size): a row per node and band key that at least two nodes share."""
+    """(key, sub, node, n, s0, s1, size): a row per node and band key that at least two nodes share.
+
+    Most keys are of one node; they are dropped before sizes and sketches join the rows.
+    """
     after = F.concat(F.slice("keys", 2, BANDS - 1), F.slice("keys", 1, 1))
-    each = nodes.select("node", "n", "s0", "s1", F.explode(F.arrays_zip("keys", after.alias("after"))).alias("k"))
-    rows = stored(each.select("node", "n", "s0", "s1", F.col("k.keys").alias("key"), F.xxhash64("k.keys", "k.after").alias("sub")))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sizes = store(sizes)
+    each = nodes.select("node", F.explode(F.arrays_zip("keys", after.alias("after"))).alias("k"))
+    rows = each.select("node", F.col("k.keys").alias("key"), F.xxhash64("k.keys", "k.after").alias("sub"))
+    sizes = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     # Hot keys are few; the join with the others is no larger than its rows.
-    return stored(keyed_join(rows, sizes.df, {"key": "key"}, sizes.small, "size", nodes.count()).filter("size is not null"))
+    shared = keyed_join(rows, sizes.df, {"key": "key"}, sizes.small, "size", nodes.count()).filter("size is not null")
+    return stored(stored(shared).join(nodes.select("node", "n", "s0", "s1"), "node"))
 
 
 def pairs_of_cool_keys(rows: DataFrame, similarity: float, hot_key: int) -> DataFrame:
@@ -137,45 +163,100 @@ def pairs_of_cool_keys(rows: DataFrame, similarity: float, hot_key: int) -> Data
     return met.select("a", "b")
 
 
+def _majority_sketch(rows: DataFrame, key: str) -> DataFrame:
+    """(key, m0, m1): of each bit of a key's sketches the more frequent value."""
+    counts = [F.sum(F.shiftright(c, i).bitwiseAND(F.lit(1))).alias(f"{c}_{i}") for c in ("s0", "s1") for i in range(64)]
+    summed = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members"), *counts)
+
+    def word(c: str) -> Column:
+        bits = [F.when(F.col(f"{c}_{i}") * 2 > F.col("members"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
+        return sum(bits[1:], bits[0])
+
+    return summed.filter("members > 1").select(key, "members", word("s0").alias("m0"), word("s1").alias("m1"))
+
+
 def pairs_with_centres(rows: DataFrame, similarity: float, hot_key: int) -> DataFrame:
-    """The nodes of a hot key, each with the one that occurs under the most such keys, of the key and of the
+    """The nodes of a hot key, each with the one whose sketch is nearest to the majority of them, of the key and of the
     key with the next band beside it: two pairs a row, however large the group is.
     """
-    hot = rows.filter(F.col("size") > hot_key)
-    degree = hot.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    hot = store(hot.join(degree, "node"))
+    hot = store(rows.filter(F.col("size") > hot_key))
     pairs = None
     for key in ("key", "sub"):
-        central = hot.df.groupBy(key).agg(
-            F.min(F.struct(-F.col("degree"), "node", "n", "s0", "s1")).alias("c"), F.count(F.lit(1)).alias("members")
-        )
-        central = stored(
-            central.filter("members > 1").select(
-                key, "members", F.col("c.node").alias("b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("n", "s0", "s1")]
-            )
+        middle = store(_majority_sketch(hot.df, key))
+        placed = keyed_join(hot.df, middle.df, {key: key}, middle.small, "members", hot.rows).filter("members is not null")
+        apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(m))) for s, m in (("s0", "m0"), ("s1", "m1")))
+        central = placed.groupBy(key).agg(F.min(F.struct(apart.alias("apart"), "node", "n", "s0", "s1")).alias("c"), F.first("members").alias("members"))
+        central = store(
+            central.select(key, "members", F.col("c.node").alias("b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("n", "s0", "s1")])
         )
-        met = keyed_join(_side(hot.df, "a", key), central, {key: key}, False, "members", hot.rows)
+        met = keyed_join(_side(hot.df, "a", key), central.df, {key: key}, central.small, "members", hot.rows)
         part = _ordered(met.filter(_alike(similarity)).select("a", "b"))
         pairs = part if pairs is None else pairs.unionByName(part)
     return pairs
 
 
-def pairs_across(rows: DataFrame, member: DataFrame, similarity: float, hot_key: int) -> DataFrame:
-    """Pairs of a hot key whose nodes are not yet connected; ``member`` has (of, component).
-
-    The largest component of a key need not meet itself, so a group of near copies adds next to nothing.
-    A key's rows are dealt out by a hash, and each meets every part.
-    """
+def open_nodes(rows: DataFrame, member: DataFrame, hot_key: int) -> DataFrame:
+    """(node, n, s0, s1, at) of hot keys whose nodes are not all connected; ``member`` has (of, component), ``at`` is it."""
     hot = rows.filter(F.col("size") > hot_key).join(member, F.col("node") == F.col("of"), "left")
     hot = stored(hot.withColumn("at", F.coalesce("component", "node")).drop("of", "component"))
     mixed = hot.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("key")
-    open_rows = hot.join(mixed, "key", "left_semi")
-    parts = F.ceil(F.col("size") / hot_key).cast("int")
-    left = _side(open_rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")), "a", "key", "part", "at")
-    every = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = _side(every.withColumnRenamed("at", "at_b"), "b", "key", "part", "at_b")
-    met = left.join(right, ["key", "part"])
-    return met.filter((F.col("a") < F.col("b")) & (F.col("at") != F.col("at_b")) & _alike(similarity)).select("a", "b")
+    return stored(hot.join(mixed, "key", "left_semi").select("node", "n", "s0", "s1", "at").distinct())
+
+
+def rare_shingles(found: DataFrame, similarity: float) -> DataFrame:
+    """(node, shingle, most): the rarest of each set, so many that two sets of this similarity share one of them.
+
+    Of n shingles a similar set has at least ``similarity * n``, so if none of the first
+    ``n - similarity * n + 1`` in an order common to all sets is shared, the sets are not similar.  Any order is exact; one by frequency
+    leaves out what a large group has in common.  Frequencies are counts of CELLS hashes, a table of bounded size.
+    ``most`` counts the shingles that another set can hold: one alone in its cell is in no other.
+    """
+    cell = F.pmod(F.col("shingle"), F.lit(CELLS)).cast("int")
+    cells = found.select(F.explode("shingles").alias("shingle")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    table = cells.filter("n > 1").toArrow()
+    often = np.zeros(CELLS, np.int64)
+    often[table["cell"].to_numpy()] = table["n"].to_numpy()
+    shared = found.sparkSession.sparkContext.broadcast(often)
+
+    def make(part: dict[str, list]) -> dict:
+        out: dict[str, list] = {"node": [], "shingle": [], "most": []}
+        for node, values in zip(part["node"], part["shingles"]):
+            hashes = np.array(values, np.int64)
+            count = shared.value[hashes % CELLS]
+            most = int((count > 0).sum())
+            if most < similarity * len(hashes) - 1e-9:
+                continue
+            keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+            order = np.lexsort((hashes, count))[:keep]
+            first = hashes[order[count[order] > 0]]
+            out["node"] += [node] * len(first)
+            out["shingle"] += first.tolist()
+            out["most"] += [most] * len(first)
+        return out
+
+    return map_rows(found.select("node", "shingles"), make, "node bigint, shingle bigint, most int")
+
+
+def pairs_across(rows: DataFrame, member: DataFrame, sets: ShingleSets, similarity: float, hot_key: int) -> DataFrame:
+    """All similar pairs among the nodes of hot keys that are not yet connected, and few others.
+
+    Nodes meet in the rarest shingles of their sets, where most of a large group have none in common, so
+    a group of near copies adds next to nothing.  A frequent shingle's rows are dealt out by a hash, and each meets every part.
+    """
+    left_over = open_nodes(rows, member, hot_key)
+    rare = stored(rare_shingles(sets.of(left_over.select("node")), similarity))
+    sizes = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    hot = stored(rare.join(sizes, "shingle").join(left_over, "node"))
+    mixed = hot.groupBy("shingle").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("shingle")
+    hot = hot.join(mixed, "shingle", "left_semi")
+    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    left = _side(hot.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")), "a", "shingle", "part", more=("at", "most"))
+    every = hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    right = _side(every, "b", "shingle", "part", more=("at", "most"))
+    # Of n_a + n_b shingles at most the lesser ``most`` are in both sets.
+    enough = F.least("most_a", "most_b") * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9
+    met = left.join(right, ["shingle", "part"])
+    return met.filter((F.col("a") < F.col("b")) & (F.col("at_a") != F.col("at_b")) & enough & _alike(similarity)).select("a", "b").distinct()
 
 
 class ShingleSets:
@@ -217,18 +298,18 @@ def verified(pairs: DataFrame, sets: ShingleSets, similarity: float) -> DataFram
 
 
 def links(nodes: DataFrame, sets: ShingleSets, similarity: float, hot_key: int = HOT_KEY) -> DataFrame:
-    """(a, b): pairs of similar nodes that connect all those which share a band.
+    """(a, b): pairs of similar nodes that connect all those which share a band, and those near by fingerprint.
 
     Pairs of cool keys are compared all; the nodes of a hot key first with central ones, then with
-    those of the key that no link has connected them with so far.
+    those that no link has connected them with so far, if they share a rare shingle, as similar sets do.
     """
     rows = banded(nodes)
-    found = pairs_of_cool_keys(rows, similarity, hot_key)
+    found = pairs_of_cool_keys(rows, similarity, hot_key).unionByName(pairs_by_fingerprint(nodes))
     if not rows.filter(F.col("size") > hot_key).limit(1).count():
         return verified(found, sets, similarity)
     first = verified(found.unionByName(pairs_with_centres(rows, similarity, hot_key)), sets, similarity)
     member = components(first, "a", "b").withColumnRenamed("node", "of")
-    rest = store(pairs_across(rows, member, similarity, hot_key))
+    rest = store(pairs_across(rows, member, sets, similarity, hot_key))
     return first.unionByName(verified(rest.df, sets, similarity)) if rest.rows else first
 
 
@@ -251,6 +332,7 @@ def similar_documents(
             F.min(smallest_first("doc_id")).alias("first"),
             F.count(F.lit(1)).alias("rows"),
             *[F.first(c).alias(c) for c in ("n", "keys", "s0", "s1")],
+            F.min("fp").alias("fp"),
         )
     )
     sets = ShingleSets(docs, groups, id_col, text_col, words)

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from likeness.llm.common import map_rows, smallest_first, stored, text_of
 from likeness.llm.components import components
-from likeness.llm.shingles import similar_documents
 from likeness.plans.materialise import keyed_join, store
 
 # Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -214,11 +213,14 @@ def drop_near_duplicates(
     """``docs`` with one document of each component, the one of the smallest id; all columns kept.
 
     Links are fingerprints within ``DISTANCE`` bits or, with a ``similarity``, texts whose
-    word shingles have at least that Jaccard similarity.  Of rows that repeat this id one stays.
+    word shingles have at least that Jaccard similarity: those fingerprints propose pairs, and MinHash
+    bands the pairs further apart.  Of rows that repeat this id one stays.
     """
     if similarity is None:
         found = near_duplicates(docs, id_col, text_col, words)
     else:
+        from likeness.llm.shingles import similar_documents  # it builds on this module
+
         found = similar_documents(docs, id_col, text_col, words, similarity)
     ids = stored(found.select("doc_id", "component_id"))
     keep = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()

@@ -90,5 +90,40 @@ def test_members_of_hot_keys_meet_their_centre(spark, edited):
     assert {r.component_id for r in found} == {0} and len(found) == 80
 
 
+def group_of_copies(spark, n):
+    """Copies of one text of which most have too many edits to be similar to any other."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        edits = set(rng.sample(range(100), rng.choice([1, 3, 4, 5])))
+        rows.append((i, " ".join(f"e{i}" if k in edits else w for k, w in enumerate(base))))
+    return rows
+
+
+def test_pairs_of_a_group_of_copies_grow_with_the_group(spark, monkeypatch):
+    """Every pair of the group shares band keys and passes the sketches; few can be similar."""
+    seen, check = [], shingles.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.distinct().count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "verified", counted)
+    rows = group_of_copies(spark, 300)
+    found = shingles.similar_documents(frame(spark, rows), hot_key=8).collect()
+    assert {r.doc_id: r.component_id for r in found} == plain_leads(rows)
+    assert sum(seen) < 12 * len(rows), seen
+
+
+def test_near_stage_pairs_documents_by_fingerprint(spark, monkeypatch):
+    """SimHash pairs are verified beside those of the bands: without bands they are what is found."""
+    monkeypatch.setattr(shingles, "pairs_of_cool_keys", lambda rows, *_: rows.selectExpr("node as a", "node as b").limit(0))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(words[::-1]))]
+    left = corpus_pipeline.near_stage(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 def test_empty_table(no_docs):
     assert shingles.similar_documents(no_docs).count() == 0
