@@ -63,19 +63,19 @@ def hash_rank(
 
     The first ``digits`` hex digits are the bucket, so buckets are even and no
     key can be hot; the offsets table has at most ``16**digits`` rows per group.
+    The shuffle carries the bucket alone: the hash is computed again where the rows arrive.
     """
-    keyed = df.withColumn("_hash", hash_hex(seed, name, id_col)).withColumn(
-        "_bucket", F.substring("_hash", 1, digits)
-    )
-    ranked = running_total(
-        keyed.withColumn("_one", F.lit(1).cast("bigint")),
-        "_bucket",
-        ["_hash", id_col],
-        "_one",
-        out,
-        by,
-    )
-    return ranked.withColumn(out, F.col(out) + 1).drop("_hash", "_bucket", "_one")
+    by = list(by)
+    digest = hash_hex(seed, name, id_col)
+    keyed = df.withColumn("_bucket", F.conv(F.substring(digest, 1, digits), 16, 10).cast("int"))
+    sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy(*by, "_bucket").orderBy("_hash", id_col)
+    local = keyed.repartition(*by, "_bucket").withColumn("_hash", digest)
+    local = local.withColumn("_inside", F.row_number().over(inside)).drop("_hash")
+    ranked = local.join(offsets, [*by, "_bucket"]).withColumn(out, F.col("_offset") + F.col("_inside"))
+    return ranked.select(*df.columns, out)
 
 
 def first_n(df: DataFrame, key: Column, tiebreak: Sequence[str], n: int) -> DataFrame:
