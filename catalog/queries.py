@@ -371,8 +371,10 @@ def upsilon_histogram(spark, sf):
 @query
 def upsilon_quantiles(spark, sf):
     both = fr.label_union({"real": fx.line(spark, sf), "perm": line_perm(spark, sf)}, fx.LINE)
-    rows = al.upsilon_rows(both, line_model(spark, sf), ["dataset", "row_id"])
-    return rounded(al.upsilon_quantiles(rows), 6, "median", "p95")
+    # Equal rows score alike: each distinct record once, with its count.
+    counted = store(co.record_counts(both, fx.LINE, ["dataset"])).df
+    rows = al.upsilon_rows(counted, line_model(spark, sf), ["dataset", "_rows"])
+    return rounded(al.upsilon_quantiles(rows, weight="_rows"), 6, "median", "p95")
 
 
 @query
@@ -395,10 +397,12 @@ def delta_upsilon(spark, sf):
 @query
 def map_distance(spark, sf):
     real, perm = fx.line(spark, sf), line_perm(spark, sf)
-    model1 = co.fit_context(real, fx.LINE, fx.LINE_CONTEXTS)
-    model2 = co.fit_context(perm, fx.LINE, fx.LINE_CONTEXTS)
-    pool = fr.label_union({"a": real, "b": perm}, fx.LINE)
-    out = al.map_distance(pool, model1, model2, 0.05, 0.01, 0.01)
+    # Both models and the distance read the distinct records with their counts.
+    pool = store(co.record_counts(fr.label_union({"a": real, "b": perm}, fx.LINE), fx.LINE, ["dataset"])).df
+    model1, model2 = (
+        co.fit_context(pool.filter(F.col("dataset") == name), fx.LINE, fx.LINE_CONTEXTS, "_rows") for name in "ab"
+    )
+    out = al.map_distance(pool, model1, model2, 0.05, 0.01, 0.01, weight="_rows")
     return rounded(out, 6, "distance", "radius", "ci_lower", "ci_upper")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +15,32 @@ from likeness.operators.conditionals import (
     Probe,
     place,
     probabilities,
+    record_counts,
     root_leaf,
     score,
 )
 from likeness.operators.frames import label_union, tokenise
 from likeness.operators.lsm import array_values
+from likeness.plans.materialise import Stored, store
 
 # Scoring a row on the row itself plans two joins a column and one for each level of its tree.  Beyond so
 # many the plan itself is the burden, and a worker looks all columns up in arrays.
 WIDE_JOINS = 96
+# Up to so many distinct records are scored once each; a row then looks its record up.  They are only
+# counted where the model's alphabets allow at most POSSIBLE_RECORDS.
+FEW_RECORDS = 100_000
+POSSIBLE_RECORDS = 1 << 20
 
 
 def score_counts(df: DataFrame, model: ConditionalModel, by: Sequence[str] = (), epsilon: float = 0.0) -> DataFrame:
     """Distinct (by..., target, leaf, token) with their ``rows`` and scores.
 
-    Rows collapse map-side before anything is joined, so a context shared by a
-    third of the table is one row per token here.  Every dataset-level measure
+    Rows collapse map-side to distinct records, and those to coordinates, before anything is joined, so a
+    context shared by a third of the table is one row per token here.  Every dataset-level measure
     is a weighted aggregate of this.
     """
-    cells = place(df, [model], by).groupBy(*by, "target", "leaf0", "token").agg(F.count(F.lit(1)).alias("rows"))
+    records = record_counts(df, model.features, by)
+    cells = place(records, [model], [*by, "_rows"]).groupBy(*by, "target", "leaf0", "token").agg(F.sum("_rows").alias("rows"))
     return score(cells, model, epsilon)
 
 
@@ -174,36 +183,74 @@ def wide_values(df: DataFrame, model: ConditionalModel, keep: Sequence[str], eps
     return wide_counts(df, model, keep).select(*keep, *values)
 
 
+def few_records(df: DataFrame, model: ConditionalModel) -> Stored | None:
+    """The distinct records of ``df``, stored, if they are few: None where the model's tokens allow more, or on a stream."""
+    alphabets = [model.roots[i][2] + 1 if i in model.roots else 1 for i in range(len(model.features))]
+    if df.isStreaming or not model.small or planned_joins(model) > WIDE_JOINS or prod(alphabets) > POSSIBLE_RECORDS:
+        return None
+    records = store(tokenise(df, model.features).distinct())
+    return records if records.rows <= FEW_RECORDS and records.small else None
+
+
+def by_record(df: DataFrame, scored: DataFrame, model: ConditionalModel, keep: Sequence[str], out: str) -> DataFrame:
+    """(keep..., out) of every row from its record's: one broadcast lookup; blanks are tokens, so none is NULL."""
+    named = scored.select(*[F.col(f).alias(f"_f{i}") for i, f in enumerate(model.features)], F.col(out).alias("_out"))
+    rows = tokenise(df, model.features, keep)
+    on = [F.col(f) == F.col(f"_f{i}") for i, f in enumerate(model.features)]
+    return rows.join(F.broadcast(named), on).select(*keep, F.col("_out").alias(out))
+
+
 def upsilon_matrix(
     df: DataFrame, model: ConditionalModel, keep: Sequence[str] = ("row_id",), epsilon: float = 0.0
 ) -> DataFrame:
     """(keep..., target, p_obs, p_max, v) for every coordinate; no shuffle while the model is small.
 
-    Trees are descended once on the row, instead of once for each of its coordinates with all its tokens.
+    Few distinct records are scored once each.  Otherwise trees are descended once on the row, instead of once
+    for each of its coordinates with all its tokens.
     """
-    if model.kind == "tree" and model.small and planned_joins(model) <= WIDE_JOINS:
+    records = few_records(df, model)
+    if records or (model.kind == "tree" and model.small and planned_joins(model) <= WIDE_JOINS):
         cells = []
         for i, f in enumerate(model.features):
             k = F.lit(model.roots.get(i, (None, None, None))[2]).cast("bigint")
             parts = probabilities(F.col(f"_o{i}"), F.col(f"_n{i}"), F.col(f"_m{i}"), k, epsilon)
             seen = {name: parts[name] if name == "p_max" else F.when(F.col(f) != "", parts[name]) for name in ("p_obs", "p_max", "v")}
             cells.append(F.struct(F.lit(f).alias("target"), *[c.alias(name) for name, c in seen.items()]))
+        if records:
+            scored = wide_counts(records.df, model, ()).select(*model.features, F.array(*cells).alias("_cells"))
+            return by_record(df, scored, model, keep, "_cells").select(*keep, F.inline("_cells"))
         return wide_counts(df, model, keep).select(*keep, F.inline(F.array(*cells)))
     cells = score(place(df, [model], keep), model, epsilon).withColumn("target", model.target_name())
     return cells.select(*keep, "target", "p_obs", "p_max", "v")
 
 
+def mean_value(model: ConditionalModel) -> Column:
+    """The mean of the defined ones of v0, v1, ..."""
+    vs = [F.col(f"v{i}") for i in range(len(model.features))]
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in vs), F.lit(0.0))
+    defined = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in vs), F.lit(0))
+    return F.when(defined > 0, total / defined)
+
+
+def scored_records(records: DataFrame, model: ConditionalModel, epsilon: float = 0.0) -> DataFrame:
+    """(features..., upsilon) of distinct records."""
+    kept = records.select(*[F.col(f).alias(f"_k{i}") for i, f in enumerate(model.features)], *model.features)
+    values = wide_values(kept, model, [f"_k{i}" for i in range(len(model.features))], epsilon)
+    return values.select(*[F.col(f"_k{i}").alias(f) for i, f in enumerate(model.features)], mean_value(model).alias("upsilon"))
+
+
 def upsilon_rows(
     df: DataFrame, model: ConditionalModel, keep: Sequence[str] = ("row_id",), epsilon: float = 0.0
 ) -> DataFrame:
-    """(keep..., upsilon): mean alignment of each row; ``keep`` must identify a row."""
+    """(keep..., upsilon): mean alignment of each row; ``keep`` must identify a row.
+
+    Few distinct records are scored once each.
+    """
+    records = few_records(df, model)
+    if records:
+        return by_record(df, scored_records(records.df, model, epsilon), model, keep, "upsilon")
     if can_score_wide(model):
-        vs = [F.col(f"v{i}") for i in range(len(model.features))]
-        total = sum((F.coalesce(v, F.lit(0.0)) for v in vs), F.lit(0.0))
-        defined = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in vs), F.lit(0))
-        return wide_values(df, model, keep, epsilon).select(
-            *keep, F.when(defined > 0, total / defined).alias("upsilon")
-        )
+        return wide_values(df, model, keep, epsilon).select(*keep, mean_value(model).alias("upsilon"))
     scored = score(place(df, [model], keep), model, epsilon)
     return scored.groupBy(*keep).agg(F.avg("v").alias("upsilon"))
 
@@ -218,8 +265,11 @@ def upsilon_histogram(rows: DataFrame, bins: int = 20, by: Sequence[str] = ("dat
     )
 
 
-def upsilon_quantiles(rows: DataFrame, probs: Mapping[str, float] | None = None, by: Sequence[str] = ("dataset",)) -> DataFrame:
-    return exact_quantiles(rows, "upsilon", dict(probs or {"median": 0.5, "p95": 0.95}), by)
+def upsilon_quantiles(
+    rows: DataFrame, probs: Mapping[str, float] | None = None, by: Sequence[str] = ("dataset",), weight: str | None = None
+) -> DataFrame:
+    """Quantiles of row scores; ``weight`` names the count of rows that each stands for."""
+    return exact_quantiles(rows, "upsilon", dict(probs or {"median": 0.5, "p95": 0.95}), by, weight=weight)
 
 
 def clip(c: Column, low: float, high: float) -> Column:
@@ -265,18 +315,20 @@ def map_distance(
     eps1: float = 0.0,
     eps2: float = 0.0,
     epsilon: float = 0.0,
+    weight: str | None = None,
 ) -> DataFrame:
     """Mean absolute gap between the two models' alignments over the pooled records.
 
-    Coordinates equal under both models collapse before either lookup.
+    Equal records, and coordinates equal under both models, collapse before either lookup; ``weight`` names
+    the count of rows that each record of ``pool`` stands for.
     """
     check_alpha(alpha)
     if model1.features != model2.features:
         raise ValueError("the two models describe different features")
     cells = (
-        place(pool, [model1, model2])
+        place(record_counts(pool, model1.features, weight=weight), [model1, model2], ["_rows"])
         .groupBy("target", "leaf0", "leaf1", "token")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("_rows").alias("rows"))
     )
     scored = score(score(cells, model1, epsilon, "leaf0", "_1"), model2, epsilon, "leaf1", "_2").withColumn(
         "gap", F.abs(F.col("v_1") - F.col("v_2"))

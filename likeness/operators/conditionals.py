@@ -264,10 +264,23 @@ def context_indices(features: Sequence[str], contexts: Mapping[str, Sequence[str
     return out
 
 
-def fit_context(df: DataFrame, features: Sequence[str], contexts: Mapping[str, Sequence[str]]) -> ConditionalModel:
-    """Frequency tables given named context columns: one scan, one shuffle of partial counts.
+def record_counts(
+    df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weight: str | None = None, out: str = "_rows"
+) -> DataFrame:
+    """(by..., features..., out): distinct records and how many rows each stands for.
+
+    ``weight`` names that count in a table that is already collapsed.
+    """
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    return tokenise(df, features, [*by, weight] if weight else by).groupBy(*by, *features).agg(rows.alias(out))
+
+
+def fit_context(
+    df: DataFrame, features: Sequence[str], contexts: Mapping[str, Sequence[str]], weight: str | None = None
+) -> ConditionalModel:
+    """Frequency tables given named context columns: one scan, one shuffle of distinct records, one of partial counts.
 
-    The counts are stored, and the marginals come from the stored table.  Blanks are
+    ``weight`` names the count of rows a record stands for.  The counts are stored, and the marginals come from the stored table.  Blanks are
     missing values: they are no tokens, and a context with a blank is none, so its rows
     count for the marginal alone.
     """
@@ -284,11 +297,11 @@ def fit_context(df: DataFrame, features: Sequence[str], contexts: Mapping[str, S
         ]
     )
     counts = (
-        tokenise(df, features)
-        .select(F.inline(cells))
+        record_counts(df, features, weight=weight)
+        .select("_rows", F.inline(cells))
         .filter("token <> ''")
         .groupBy("target", "leaf", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_rows").alias("n"))
     )
     counts = store(counts).df
     marginals = (
