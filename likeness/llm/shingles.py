@@ -13,21 +13,22 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.llm import simhash
 from likeness.llm.common import map_rows, smallest_first, stored, text_of
 from likeness.llm.components import components
-from likeness.plans.materialise import keyed_join, lookup, store
+from likeness.plans.materialise import Stored, forget_shuffles, keyed_join, lookup, store
 
 BANDS, DEPTH = 20, 5
 # The texts of a band key shared by more than this first meet a central one; then only those not yet connected meet,
-# by their rarest shingles.  A shingle's frequency is counted in one of so many cells.
+# by the rarest shingles in which they differ from what most have in common.
 HOT_KEY = 16
-CELLS = 1 << 20
 # Rows of one frequent shingle that meet in one task.
-PART_ROWS = 64
+PART_ROWS = 256
+# Bounds on whole numbers of shingles allow for rounding of the similarity; the sets decide.
+SLACK = 1e-6
 _PART = 1 << 12
 
 _draw = np.random.default_rng(42)
@@ -175,88 +176,113 @@ def _majority_sketch(rows: DataFrame, key: str) -> DataFrame:
     return summed.filter("members > 1").select(key, "members", word("s0").alias("m0"), word("s1").alias("m1"))
 
 
-def pairs_with_centres(rows: DataFrame, similarity: float, hot_key: int) -> DataFrame:
-    """The nodes of a hot key, each with the one whose sketch is nearest to the majority of them, of the key and of the
+def centres(hot: Stored, key: str) -> Stored:
+    """(key, members, b, n_b, s0_b, s1_b): of the nodes of a key the one whose sketch is nearest to the majority of them."""
+    middle = store(_majority_sketch(hot.df, key))
+    placed = keyed_join(hot.df, middle.df, {key: key}, middle.small, "members", hot.rows).filter("members is not null")
+    apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(m))) for s, m in (("s0", "m0"), ("s1", "m1")))
+    central = placed.groupBy(key).agg(F.min(F.struct(apart.alias("apart"), "node", "n", "s0", "s1")).alias("c"), F.first("members").alias("members"))
+    return store(central.select(key, "members", F.col("c.node").alias("b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("n", "s0", "s1")]))
+
+
+def pairs_with_centres(hot: Stored, central: dict[str, Stored], similarity: float) -> DataFrame:
+    """The nodes of hot keys, each with the central ones of the key and of the
     key with the next band beside it: two pairs a row, however large the group is.
     """
-    hot = store(rows.filter(F.col("size") > hot_key))
-    pairs = None
-    for key in ("key", "sub"):
-        middle = store(_majority_sketch(hot.df, key))
-        placed = keyed_join(hot.df, middle.df, {key: key}, middle.small, "members", hot.rows).filter("members is not null")
-        apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(m))) for s, m in (("s0", "m0"), ("s1", "m1")))
-        central = placed.groupBy(key).agg(F.min(F.struct(apart.alias("apart"), "node", "n", "s0", "s1")).alias("c"), F.first("members").alias("members"))
-        central = store(
-            central.select(key, "members", F.col("c.node").alias("b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("n", "s0", "s1")])
-        )
-        met = keyed_join(_side(hot.df, "a", key), central.df, {key: key}, central.small, "members", hot.rows)
-        part = _ordered(met.filter(_alike(similarity)).select("a", "b"))
-        pairs = part if pairs is None else pairs.unionByName(part)
-    return pairs
+    parts = []
+    for key, table in central.items():
+        met = keyed_join(_side(hot.df, "a", key), table.df, {key: key}, table.small, "members", hot.rows)
+        parts.append(_ordered(met.filter(_alike(similarity)).select("a", "b")))
+    return parts[0].unionByName(parts[1])
 
 
-def open_nodes(rows: DataFrame, member: DataFrame, hot_key: int) -> DataFrame:
-    """(node, n, s0, s1, at) of hot keys whose nodes are not all connected; ``member`` has (of, component), ``at`` is it."""
-    hot = rows.filter(F.col("size") > hot_key).join(member, F.col("node") == F.col("of"), "left")
-    hot = stored(hot.withColumn("at", F.coalesce("component", "node")).drop("of", "component"))
-    mixed = hot.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("key")
-    return stored(hot.join(mixed, "key", "left_semi").select("node", "n", "s0", "s1", "at").distinct())
+def open_nodes(hot: Stored, central: Stored, member: DataFrame) -> Stored:
+    """(centre, node, n, s0, s1, at) of hot keys whose nodes are not all connected, by the central node of the key.
 
+    ``member`` has (of, component); ``at`` is the component.  Most keys of a group have the same central node.
+    """
+    rows = stored(hot.df.join(member, F.col("node") == F.col("of"), "left").withColumn("at", F.coalesce("component", "node")))
+    mixed = rows.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("key")
+    named = store(central.df.join(mixed, "key", "left_semi").select("key", "members", F.col("b").alias("centre")))
+    met = keyed_join(rows.drop("of", "component"), named.df, {"key": "key"}, named.small, "members", hot.rows).filter("centre is not null")
+    return store(met.select("centre", "node", "n", "s0", "s1", "at").distinct())
 
-def rare_shingles(found: DataFrame, similarity: float) -> DataFrame:
-    """(node, shingle, most): the rarest of each set, so many that two sets of this similarity share one of them.
 
-    Of n shingles a similar set has at least ``similarity * n``, so if none of the first
-    ``n - similarity * n + 1`` in an order common to all sets is shared, the sets are not similar.  Any order is exact; one by frequency
-    leaves out what a large group has in common.  Frequencies are counts of CELLS hashes, a table of bounded size.
-    ``most`` counts the shingles that another set can hold: one alone in its cell is in no other.
+def _deviations(nodes: Stored, sets: ShingleSets, share: float) -> Stored:
+    """The nodes with ``apart``, the shingles that just one of a set and its centre's has, and ``excess``, how many more
+    they are than ``share`` of the set.
     """
-    cell = F.pmod(F.col("shingle"), F.lit(CELLS)).cast("int")
-    cells = found.select(F.explode("shingles").alias("shingle")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    table = cells.filter("n > 1").toArrow()
-    often = np.zeros(CELLS, np.int64)
-    often[table["cell"].to_numpy()] = table["n"].to_numpy()
-    shared = found.sparkSession.sparkContext.broadcast(often)
-
-    def make(part: dict[str, list]) -> dict:
-        out: dict[str, list] = {"node": [], "shingle": [], "most": []}
-        for node, values in zip(part["node"], part["shingles"]):
-            hashes = np.array(values, np.int64)
-            count = shared.value[hashes % CELLS]
-            most = int((count > 0).sum())
-            if most < similarity * len(hashes) - 1e-9:
-                continue
-            keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-            order = np.lexsort((hashes, count))[:keep]
-            first = hashes[order[count[order] > 0]]
-            out["node"] += [node] * len(first)
-            out["shingle"] += first.tolist()
-            out["most"] += [most] * len(first)
-        return out
-
-    return map_rows(found.select("node", "shingles"), make, "node bigint, shingle bigint, most int")
+    found = sets.of(nodes.df.select("node").distinct())
+    often = nodes.df.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
+    core = found.withColumnsRenamed({"node": "centre", "shingles": "core"}).join(often, "centre")
+    beside = keyed_join(nodes.df.join(found, "node"), core, {"centre": "centre"}, False, "members", nodes.rows)
+    apart = F.array_union(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
+    beside = beside.withColumn("apart", apart).drop("shingles", "core", "members")
+    return store(beside.withColumn("excess", F.size("apart") - F.col("n") * share))
+
+
+def _with_need(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """(centre, node, excess, m, need) of the nodes that may be similar to one of another component: ``m`` elements
+    they share with some, ``need`` at least with any similar one.
+
+    A similar pair shares at least half the sum of both excesses, so each has as many elements:
+    ``m - excess / 2`` of one is at least half the other's excess.  Of those that pass, the least excess gives ``need``;
+    ``close`` nodes are connected and need not meet.
+    """
+    own = elements.groupBy("centre", "node").agg(F.count(F.lit(1)).alias("m"))
+    own = nodes.join(own, ["centre", "node"])
+    own = store(own.withColumn("level", F.floor(F.col("m") - F.col("excess") / 2 + SLACK)))
+    least = own.df.groupBy("centre", "level", "close").agg(F.min("excess").alias("least"), F.count(F.lit(1)).alias("members"))
+    steps = least.groupBy("centre").agg(
+        F.collect_list(F.struct("level", F.col("close").alias("near"), "least")).alias("steps"), F.sum("members").alias("members")
+    )
+    beside = keyed_join(own.df, steps, {"centre": "centre"}, False, "members", own.rows)
+    passing = F.filter("steps", lambda s: (s["level"] >= F.floor(F.col("excess") / 2 - SLACK)) & ~(s["near"] & F.col("close")))
+    need = F.ceil((F.col("excess") + F.array_min(F.transform(passing, lambda s: s["least"]))) / 2 - SLACK)
+    beside = beside.withColumn("need", F.when(F.size(passing) > 0, F.greatest(need, F.lit(1))))
+    return stored(beside.filter("need <= m").select("centre", "node", "n", "s0", "s1", "excess", "m", "need"))
 
 
-def pairs_across(rows: DataFrame, member: DataFrame, sets: ShingleSets, similarity: float, hot_key: int) -> DataFrame:
-    """All similar pairs among the nodes of hot keys that are not yet connected, and few others.
+def pairs_across(hot: Stored, central: Stored, member: DataFrame, sets: ShingleSets, similarity: float) -> DataFrame:
+    """Pairs that connect all similar nodes of hot keys that are not yet connected, and few others.
 
-    Nodes meet in the rarest shingles of their sets, where most of a large group have none in common, so
-    a group of near copies adds next to nothing.  A frequent shingle's rows are dealt out by a hash, and each meets every part.
+    Two sets of a key differ in elements that just one of them has apart from the key's centre, and are similar if these
+    are at most ``share`` of both sizes.  So those whose excesses sum to 0 or less are similar, and so is
+    each of them to the node of the least excess: one pair a node connects them, however many there are.  Any other similar
+    pair shares so many elements apart from the centre that one is among the rarest ``m - need + 1`` of
+    both; what all copies have in common is not compared.  Elements of a single component count for nothing, which the second round takes up for nodes the first left out.
     """
-    left_over = open_nodes(rows, member, hot_key)
-    rare = stored(rare_shingles(sets.of(left_over.select("node")), similarity))
-    sizes = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    hot = stored(rare.join(sizes, "shingle").join(left_over, "node"))
-    mixed = hot.groupBy("shingle").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("shingle")
-    hot = hot.join(mixed, "shingle", "left_semi")
+    share = (1 - similarity) / (1 + similarity)
+    nodes = _deviations(open_nodes(hot, central, member), sets, share)
+    best = nodes.df.groupBy("centre").agg(F.min(F.struct("excess", "node", "at")).alias("best"), F.count(F.lit(1)).alias("members"))
+    best = store(best)
+    beside = keyed_join(nodes.df, best.df, {"centre": "centre"}, best.small, "members", nodes.rows).drop("members")
+    close = F.col("excess") + F.col("best.excess") <= 1e-9
+    around = beside.filter(close & (F.col("at") != F.col("best.at"))).select(F.col("node").alias("a"), F.col("best.node").alias("b"))
+    beside = beside.withColumns({"at": F.when(close, F.col("best.at")).otherwise(F.col("at")), "close": close})
+    nodes = beside.drop("best", "apart")
+    elements = store(beside.select("centre", "node", "at", F.explode("apart").alias("shingle")))
+    on = ["centre", "shingle"]
+    for _ in range(2):
+        seen = elements.df.groupBy(*on).agg(F.count(F.lit(1)).alias("often"), F.min("at").alias("low"), F.max("at").alias("high"))
+        seen = store(seen.filter("low <> high").drop("low", "high"))
+        shared = keyed_join(elements.df, seen.df, dict(zip(on, on)), seen.small, "often", elements.rows).filter("often is not null")
+        shared = stored(shared)
+        needed = _with_need(nodes.drop("at"), shared)
+        elements = store(shared.join(needed.select("centre", "node"), ["centre", "node"], "left_semi").drop("often"))
+    order = Window.partitionBy("centre", "node").orderBy("often", "shingle")
+    rare = shared.withColumn("rank", F.row_number().over(order)).join(needed, ["centre", "node"])
+    rare = stored(rare.filter(F.col("rank") <= F.col("m") - F.col("need") + 1).drop("often", "rank", "need"))
+    sizes = rare.groupBy(*on).agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("low"), F.max("at").alias("high"))
+    rare = rare.join(sizes.filter("low <> high").drop("low", "high"), on)
+    # A frequent element's rows are dealt out by a hash, and each meets every part.
     parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
-    left = _side(hot.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")), "a", "shingle", "part", more=("at", "most"))
-    every = hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = _side(every, "b", "shingle", "part", more=("at", "most"))
-    # Of n_a + n_b shingles at most the lesser ``most`` are in both sets.
-    enough = F.least("most_a", "most_b") * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9
-    met = left.join(right, ["shingle", "part"])
-    return met.filter((F.col("a") < F.col("b")) & (F.col("at_a") != F.col("at_b")) & enough & _alike(similarity)).select("a", "b").distinct()
+    left = _side(rare.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")), "a", *on, "part", more=("at", "m", "excess"))
+    every = rare.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    right = _side(every, "b", *on, "part", more=("at", "m", "excess"))
+    enough = F.least("m_a", "m_b") >= (F.col("excess_a") + F.col("excess_b")) / 2 - SLACK
+    met = left.join(right, [*on, "part"]).filter((F.col("a") < F.col("b")) & (F.col("at_a") != F.col("at_b")) & enough & _alike(similarity))
+    return _ordered(around).unionByName(met.select("a", "b").distinct())
 
 
 class ShingleSets:
@@ -301,15 +327,20 @@ def links(nodes: DataFrame, sets: ShingleSets, similarity: float, hot_key: int =
     """(a, b): pairs of similar nodes that connect all those which share a band, and those near by fingerprint.
 
     Pairs of cool keys are compared all; the nodes of a hot key first with central ones, then with
-    those that no link has connected them with so far, if they share a rare shingle, as similar sets do.
+    those that no link has connected them with so far, if they differ alike from a central one.
     """
     rows = banded(nodes)
     found = pairs_of_cool_keys(rows, similarity, hot_key).unionByName(pairs_by_fingerprint(nodes))
-    if not rows.filter(F.col("size") > hot_key).limit(1).count():
+    hot = store(rows.filter(F.col("size") > hot_key))
+    if not hot.rows:
         return verified(found, sets, similarity)
-    first = verified(found.unionByName(pairs_with_centres(rows, similarity, hot_key)), sets, similarity)
+    central = {key: centres(hot, key) for key in ("key", "sub")}
+    first = verified(found.unionByName(pairs_with_centres(hot, central, similarity)), sets, similarity)
     member = components(first, "a", "b").withColumnRenamed("node", "of")
-    rest = store(pairs_across(rows, member, sets, similarity, hot_key))
+    # Plans and shuffles of the steps so far would stay until the driver happens to collect its garbage.
+    forget_shuffles(nodes.sparkSession)
+    rest = store(pairs_across(hot, central["key"], member, sets, similarity))
+    forget_shuffles(nodes.sparkSession)
     return first.unionByName(verified(rest.df, sets, similarity)) if rest.rows else first
 
 

@@ -116,6 +116,29 @@ def test_pairs_of_a_group_of_copies_grow_with_the_group(spark, monkeypatch):
     assert sum(seen) < 12 * len(rows), seen
 
 
+@pytest.mark.parametrize("n", [150, 450])
+def test_edited_copies_that_are_not_similar_seldom_meet(spark, monkeypatch, n):
+    """Each copy alone is near enough to the text all come from; two of them have twice as many edits."""
+    met, across = [], shingles.pairs_across
+
+    def counted(*args):
+        pairs = across(*args).localCheckpoint()
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(shingles, "pairs_across", counted)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        edits = set(rng.sample(range(150), rng.choice([1, 2, 3, 5, 6, 8])))
+        rows.append((i, " ".join(f"e{i}" if k in edits else w for k, w in enumerate(base))))
+    rows += [(n + i, text + " more") for i, text in rows[: n // 3]]
+    found = shingles.similar_documents(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == plain_leads(rows)
+    assert len(met) == 1 and met[0] < 4 * len(rows), met
+
+
 def test_near_stage_pairs_documents_by_fingerprint(spark, monkeypatch):
     """SimHash pairs are verified beside those of the bands: without bands they are what is found."""
     monkeypatch.setattr(shingles, "pairs_of_cool_keys", lambda rows, *_: rows.selectExpr("node as a", "node as b").limit(0))
