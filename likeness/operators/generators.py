@@ -19,6 +19,7 @@ from likeness.operators.conditionals import (
     settle,
 )
 from likeness.operators.frames import assert_features, from_rows, sample_n
+from likeness.operators.lsm import sample_in_order
 from likeness.operators.marginals import clean, split_types, token_counts
 from likeness.operators.trees import fit_trees
 from likeness.plans.materialise import Stored, lookup, store
@@ -154,7 +155,13 @@ def fit_sequential(
 
 
 def gen_sequential(rows: DataFrame, model: ConditionalModel, seed=123) -> DataFrame:
-    """Draw the columns of ``rows`` (a ``row_id`` column) in model order."""
+    """Draw the columns of ``rows`` (a ``row_id`` column) in model order.
+
+    A model below the broadcast bound goes to the workers as arrays; with a larger one each
+    column is a join.  Both draw the same rows.
+    """
+    if model.small:
+        return sample_in_order(rows, model, seed)
     guide = model_guide(model)
     out = rows.select("row_id")
     for i, f in enumerate(model.features):

@@ -8,11 +8,15 @@ and guide cells (:func:`sample_by_joins`).  Both draw the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from likeness.functions.draws import uniform
 from likeness.functions.ordering import draw_index, guide_cell, token_order_guide
@@ -22,14 +26,20 @@ from likeness.plans.materialise import keyed_join, store
 
 
 class LeafSampler:
-    """A model as flat arrays: token codes, leaf ranges, routes."""
+    """A model as flat arrays: token codes, leaf ranges, routes.
 
-    def __init__(self, model: ConditionalModel):
+    A draw finds its token among those of a leaf laid end to end, in the order of ``place`` (their own).
+    """
+
+    def __init__(self, model: ConditionalModel, place: Callable[[str], str] = str):
         if not model.small:
             raise ValueError("only a model below the broadcast bound is shipped to workers")
         n = len(model.features)
         self.kind, self.depth, self.contexts = model.kind, model.depth, model.contexts
-        tokens = sorted(((r["target"], tuple(r["leaf"]), r["token"], r["n"]) for r in model.tokens.df.collect()))
+        tokens = sorted(
+            ((r["target"], tuple(r["leaf"]), r["token"], r["n"]) for r in model.tokens.df.collect()),
+            key=lambda t: (t[0], t[1], place(t[2]), t[2]),
+        )
         self.alphabet: list[list[str]] = [[] for _ in range(n)]
         for target, leaf, tok, _ in tokens:
             if not leaf:
@@ -280,6 +290,33 @@ def run_sampler(rows: DataFrame, model: ConditionalModel, keep: Sequence[str], s
     return keyed.mapInPandas(run, schema)
 
 
+def sample_in_order(rows: DataFrame, model: ConditionalModel, seed) -> DataFrame:
+    """``row_id`` and the features of a small model, each drawn given those before it.
+
+    Tokens lie in the order of their md5, as in the guide cells that larger models are drawn by.
+    """
+    features = list(model.features)
+    sampler = LeafSampler(model, lambda token: md5(token.encode()).hexdigest())
+    shipped = rows.sparkSession.sparkContext.broadcast(sampler)
+    kept = f"row_id {rows.schema['row_id'].dataType.simpleString()}"
+    schema = StructType.fromDDL(f"{kept}, " + ", ".join(f"`{f}` string" for f in features))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = shipped.value
+        names = [pa.array([*a, ""], pa.string()) for a in sampler.alphabet]
+        for batch in batches:
+            state = np.full((batch.num_rows, len(features)), -1, np.int64)
+            for j in range(len(features)):
+                if sampler.root[j] >= 0:
+                    state[:, j] = sampler.draw(sampler.route(j, state), batch.column(j + 1).to_numpy())
+            texts = [n.take(pa.array(np.where(c < 0, len(n) - 1, c))) for n, c in zip(names, state.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *texts], schema=arrow)
+
+    drawn = rows.select("row_id", *[uniform(seed, f, "row_id").alias(f"_draw{j}") for j, f in enumerate(features)])
+    return drawn.mapInArrow(run, schema)
+
+
 def gen_lsm(rows: DataFrame, model: ConditionalModel, seed: int = 0, steps: int | None = None) -> DataFrame:
     """Sample whole rows from all-missing starts.
 

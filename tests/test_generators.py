@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +128,17 @@ def test_sequential_trees_keep_the_dependence(toy, tree):
     assert as_set(synth) == as_set(ge.gen_sequential(rows.repartition(3), model, 3))
 
 
+@pytest.mark.parametrize("learner", ["tree", "context"])
+def test_sequential_draws_the_same_from_arrays_and_from_joins(toy, learner):
+    model = ge.fit_sequential(toy, COLS, learner)
+    rows = ge.ids(toy, 1500)
+    large = replace(model, tokens=replace(model.tokens, rows=10**9))
+    quick, joined = ge.gen_sequential(rows, model, 3), ge.gen_sequential(rows, large, 3)
+    assert as_set(quick) == as_set(joined) and quick.dtypes == joined.dtypes
+    plan = quick._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # each column was a join or two, whose cost grew with rows times columns
+
+
 def test_sequential_predictors_are_earlier_columns_only():
     assert ge.earlier_only(["a", "b", "c"], {"a": ["b"], "c": ["a", "b"]}, None) == {"a": [], "b": [], "c": ["a", "b"]}
     assert ge.earlier_only(["a", "b", "c"], None, 1) == {"a": [], "b": ["a"], "c": ["b"]}
