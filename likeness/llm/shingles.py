@@ -196,14 +196,33 @@ def pairs_with_centres(hot: Stored, central: dict[str, Stored], similarity: floa
     return parts[0].unionByName(parts[1])
 
 
-def open_nodes(hot: Stored, central: Stored, member: DataFrame) -> Stored:
+def _busiest_centres(named: DataFrame, similar: DataFrame) -> Stored:
+    """(centre, merged) for the central nodes of ``named`` (key, members, centre): the one of most rows among a central
+    node and those verified ``similar`` (a, b) to it.
+    """
+    often = store(named.groupBy("centre").agg(F.sum("members").alias("often")))
+    total = int(often.df.agg(F.sum("often")).first()[0] or 0)
+    edges = similar.select("a", "b").union(similar.select("b", "a")).union(often.df.select("centre", "centre"))
+    for side in "ab":
+        table = often.df.select(F.col("centre").alias(f"of_{side}"), F.col("often").alias(f"often_{side}"))
+        edges = keyed_join(edges, table, {side: f"of_{side}"}, often.small, f"often_{side}", total).filter(f"often_{side} is not null")
+    best = edges.groupBy("a").agg(F.max(F.struct("often_b", "b")).alias("best"), F.first("often_a").alias("often"))
+    return store(best.select(F.col("a").alias("centre"), F.col("best.b").alias("merged"), "often"))
+
+
+def open_nodes(hot: Stored, central: Stored, member: DataFrame, similar: DataFrame) -> Stored:
     """(centre, node, n, s0, s1, at) of hot keys whose nodes are not all connected, by the central node of the key.
 
-    ``member`` has (of, component); ``at`` is the component.  Most keys of a group have the same central node.
+    ``member`` has (of, component); ``at`` is the component.  The keys of a group have many central nodes, most of
+    them ``similar``; any node may stand for a key's centre, so one of these does, and a node is met about once and
+    not once a band.
     """
     rows = stored(hot.df.join(member, F.col("node") == F.col("of"), "left").withColumn("at", F.coalesce("component", "node")))
     mixed = rows.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("key")
-    named = store(central.df.join(mixed, "key", "left_semi").select("key", "members", F.col("b").alias("centre")))
+    named = stored(central.df.join(mixed, "key", "left_semi").select("key", "members", F.col("b").alias("centre")))
+    busiest = _busiest_centres(named, similar)
+    named = keyed_join(named, busiest.df, {"centre": "centre"}, busiest.small, "often", hot.rows)
+    named = store(named.select("key", "members", F.col("merged").alias("centre")))
     met = keyed_join(rows.drop("of", "component"), named.df, {"key": "key"}, named.small, "members", hot.rows).filter("centre is not null")
     return store(met.select("centre", "node", "n", "s0", "s1", "at").distinct())
 
@@ -243,7 +262,9 @@ def _with_need(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     return stored(beside.filter("need <= m").select("centre", "node", "n", "s0", "s1", "excess", "m", "need"))
 
 
-def pairs_across(hot: Stored, central: Stored, member: DataFrame, sets: ShingleSets, similarity: float) -> DataFrame:
+def pairs_across(
+    hot: Stored, central: Stored, member: DataFrame, similar: DataFrame, sets: ShingleSets, similarity: float
+) -> DataFrame:
     """Pairs that connect all similar nodes of hot keys that are not yet connected, and few others.
 
     Two sets of a key differ in elements that just one of them has apart from the key's centre, and are similar if these
@@ -253,7 +274,7 @@ def pairs_across(hot: Stored, central: Stored, member: DataFrame, sets: ShingleS
     both; what all copies have in common is not compared.  Elements of a single component count for nothing, which the second round takes up for nodes the first left out.
     """
     share = (1 - similarity) / (1 + similarity)
-    nodes = _deviations(open_nodes(hot, central, member), sets, share)
+    nodes = _deviations(open_nodes(hot, central, member, similar), sets, share)
     best = nodes.df.groupBy("centre").agg(F.min(F.struct("excess", "node", "at")).alias("best"), F.count(F.lit(1)).alias("members"))
     best = store(best)
     beside = keyed_join(nodes.df, best.df, {"centre": "centre"}, best.small, "members", nodes.rows).drop("members")
@@ -339,7 +360,7 @@ def links(nodes: DataFrame, sets: ShingleSets, similarity: float, hot_key: int =
     member = components(first, "a", "b").withColumnRenamed("node", "of")
     # Plans and shuffles of the steps so far would stay until the driver happens to collect its garbage.
     forget_shuffles(nodes.sparkSession)
-    rest = store(pairs_across(hot, central["key"], member, sets, similarity))
+    rest = store(pairs_across(hot, central["key"], member, first, sets, similarity))
     forget_shuffles(nodes.sparkSession)
     return first.unionByName(verified(rest.df, sets, similarity)) if rest.rows else first
 

@@ -139,6 +139,22 @@ def test_edited_copies_that_are_not_similar_seldom_meet(spark, monkeypatch, n):
     assert len(met) == 1 and met[0] < 4 * len(rows), met
 
 
+def test_a_node_is_met_by_one_centre_of_a_group_not_one_a_band(spark, monkeypatch):
+    """The band keys of a group have many central texts that are similar to each other."""
+    met, opened = [], shingles.open_nodes
+
+    def counted(*args):
+        rows = opened(*args)
+        met.append((rows.rows, rows.df.select("node").distinct().count()))
+        return rows
+
+    monkeypatch.setattr(shingles, "open_nodes", counted)
+    rows = group_of_copies(spark, 300)
+    found = shingles.similar_documents(frame(spark, rows), hot_key=8).collect()
+    assert {r.doc_id: r.component_id for r in found} == plain_leads(rows)
+    assert len(met) == 1 and met[0][0] <= 1.5 * met[0][1], met
+
+
 def test_near_stage_pairs_documents_by_fingerprint(spark, monkeypatch):
     """SimHash pairs are verified beside those of the bands: without bands they are what is found."""
     monkeypatch.setattr(shingles, "pairs_of_cool_keys", lambda rows, *_: rows.selectExpr("node as a", "node as b").limit(0))
