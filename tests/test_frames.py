@@ -211,3 +211,37 @@ def test_drift_on_a_stream_equals_the_batch(spark, tmp_path):
     late.awaitTermination(120)
     emitted = {r["start"]: (r["n_rows"], round(r["upsilon_mean"], 9)) for r in spark.table("drifted").collect()}
     assert len(emitted) >= len(batch) - 1 and set(emitted) <= set(batch)
+
+
+def test_packed_columns_come_back(spark):
+    from likeness.functions.packing import joined_texts, long_key, short_key, split_texts
+
+    keys = ["12|3|4-5", "1", "", "f", "ff", "123", "1230", "12 3", "a|1", "\u00ff1", "12\n", None, "0", "00"]
+    texts = ["", None, "\x1f", "\x1e", "\x1e1", "\x1e2", "\x1f\x1e0", "plain", "", None, "x", "y", "z", "\u00e4"]
+    df = spark.createDataFrame(list(zip(keys, texts, reversed(texts))), "k string, a string, b string")
+    packed = df.select("*", short_key(F.col("k")).alias("s"), joined_texts([F.col("a"), F.col("b")]).alias("t"))
+    back = packed.select("k", "a", "b", "s", long_key(F.col("s")).alias("k2"), *[c.alias(f"c{i}") for i, c in enumerate(split_texts(F.col("t"), 2))])
+    rows = back.collect()
+    assert all((r.k, r.a, r.b) == (r.k2, r.c0, r.c1) for r in rows)
+    assert len({bytes(r.s) for r in rows if r.s is not None}) == len(keys) - 1
+    assert len(next(r.s for r in rows if r.k == "12|3|4-5")) == 4
+
+
+def test_permuted_rows_are_shuffled_once(spark):
+    """As the ranks say, with NULL, blank and repeated values; the rows move to their bucket and no further."""
+    import hashlib
+
+    rows = [(f"{i}|x", [None, "", "p", "q\x1f"][i % 4], i % 5, f"v{i % 7}" if i % 6 else None) for i in range(400)]
+    df = spark.createDataFrame([*rows, (None, "lost", 1, "v")], "row_id string, a string, n int, b string")
+    perm = fr.permute_column(df, "b")
+    plan = perm._jdf.queryExecution().executedPlan().toString()  # as first planned
+    moves = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moves) <= 3, moves
+
+    def order(name):
+        return sorted(rows, key=lambda r: hashlib.md5(f"s|{name}|{r[0]}".encode()).hexdigest())
+
+    expected = {(*to[:3], source[3]) for to, source in zip(order("to"), order("from"))}
+    assert perm.columns == ["row_id", "a", "n", "b"]
+    got = [tuple(r) for r in perm.collect()]
+    assert set(got) == expected and len(got) == len(rows)
