@@ -234,6 +234,7 @@ def test_permuted_rows_are_shuffled_once(spark):
     rows = [(f"{i}|x", [None, "", "p", "q\x1f"][i % 4], i % 5, f"v{i % 7}" if i % 6 else None) for i in range(400)]
     df = spark.createDataFrame([*rows, (None, "lost", 1, "v")], "row_id string, a string, n int, b string")
     perm = fr.permute_column(df, "b")
+    numbers = fr.permute_columns(df, ["n", "b"])  # another type moves too
     plan = perm._jdf.queryExecution().executedPlan().toString()  # as first planned
     moves = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len(moves) <= 3, moves
@@ -245,3 +246,5 @@ def test_permuted_rows_are_shuffled_once(spark):
     assert perm.columns == ["row_id", "a", "n", "b"]
     got = [tuple(r) for r in perm.collect()]
     assert set(got) == expected and len(got) == len(rows)
+    both = {(*to[:2], *source[2:]) for to, source in zip(order("to"), order("from"))}
+    assert {tuple(r) for r in numbers.collect()} == both and numbers.schema == df.schema
